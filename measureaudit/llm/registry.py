@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, lexicon, pii, quality, sharding, simhash, urls
+from . import bitpack, chat, decontam, html, lexicon, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_tokens": bitpack.op5_tokens,
     "op6_shards": sharding.op6_shards,
+    "op7_html": html.op7_html,
     "op8_quality": quality.op8_quality,
     "op9_bpe": lexicon.op9_bpe,
+    "op10_decontam": decontam.op10_decontam,
 }
 ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL}
