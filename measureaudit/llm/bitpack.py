@@ -31,7 +31,7 @@ MAGIC, BLOCK = b"FWB1", 1 << 14
 FILE_IDS = 1 << 20
 END_ID = 0
 #: Cached parts of text per worker; beyond it the cache starts anew.
-CACHE = 600_000
+CACHE = 1_200_000
 _GROUP = 512
 _HEAD = struct.Struct("<4sBIQI")
 
@@ -97,10 +97,9 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-_UNSAFE = re.compile(r" \s|\s ")
+#: White space other than spaces and line feeds, as Python's patterns have it.
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: A space and text without spaces whose ends are no white space: it stays the same within a longer text.
-_PLAIN = re.compile(r" [^\s](?:[^ ]*[^\s])?")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -126,18 +125,24 @@ class ByteEncoder:
         self.cache: dict[str, bytes] = {}
 
     def parts(self, text: str) -> list[str]:
-        if _SEPARATORS.search(text) or any(s in text for s in self.special):
-            return [text]
-        if _UNSAFE.search(text):
+        if _ODD.search(text) or any(s in text for s in self.special):
+            if _SEPARATORS.search(text) or any(s in text for s in self.special):
+                return [text]
+            return _CHUNK.findall(text)
+        if "  " in text or "\n " in text or " \n" in text:
             return _CHUNK.findall(text)
         first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + p for p in rest]] if rest != [""] else [text]
+        if not rest or text[-1] == " ":
+            return _CHUNK.findall(text)
+        own = [" " + p for p in rest]
+        return [first, *own] if first else own
 
     def _learn(self, new: list[str]) -> None:
         """Cache the ids of parts. Parts that open with their only space go to the library as one text, in which each of
         them starts at a token that opens with a space; others go one by one."""
-        plain = [p for p in new if _PLAIN.fullmatch(p)]
-        other = [p for p in new if not _PLAIN.fullmatch(p)]
+        plain, other = [], []
+        for p in new:
+            (plain if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and " " not in p[1:] else other).append(p)
         for p, e in zip(other, self.own.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.cache[p] = np.array(e.ids, "<u4").tobytes()
         for i in range(0, len(plain), 20_000):
@@ -153,9 +158,10 @@ class ByteEncoder:
         cut = [self.parts(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = set().union(*cut) - self.cache.keys()
+        cache = self.cache
+        new = [p for p in set().union(*cut) if p not in cache]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
 
