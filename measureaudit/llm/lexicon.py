@@ -249,22 +249,17 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> bytes:
 
 
 class Lexicon:
-    """The automaton's arrays, mapped from files. ranks() walks all words at once."""
+    """The automaton's arrays, mapped into memory. ranks() walks all words at once."""
 
     def __init__(self, data: bytes):
-        # The arrays are unpacked once per machine into a folder named by their content; workers map them from there.
-        place = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}")
-        if not os.path.isdir(place):
-            own = tempfile.mkdtemp(prefix="lexicon-", dir=tempfile.gettempdir())
+        # Each worker maps files of its own and takes their names away at once: they go with the worker, and nothing stays.
+        with tempfile.TemporaryDirectory(prefix="lexicon-") as place:
+            own = {}
             for name, x in np.load(io.BytesIO(data)).items():
-                np.save(os.path.join(own, f"{name}.npy"), x)
-            try:
-                os.rename(own, place)
-            except OSError:  # another worker was first
-                place = place if os.path.isdir(place) else own
-        get = lambda name: np.load(os.path.join(place, f"{name}.npy"), mmap_mode="r")
-        self.keys, self.to, self.before, self.final, self.starts, self.ids = map(get, ("keys", "to", "before", "final", "starts", "ids"))
-        self.root = int(get("root")[()])
+                np.save(os.path.join(place, f"{name}.npy"), x)
+                own[name] = np.load(os.path.join(place, f"{name}.npy"), mmap_mode="r" if x.size else None)
+        self.keys, self.to, self.before, self.final, self.starts, self.ids = (own[k] for k in ("keys", "to", "before", "final", "starts", "ids"))
+        self.root = int(own["root"][()])
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for words that the automaton lacks."""
