@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import cut, table
 from .bitpack import vocabulary_file
 
 #: Words in the automaton, the most frequent of the corpus first.
@@ -372,8 +372,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS) -> bytes:
-    """The automaton of the `words` most frequent words of docs (ties by the word), as bytes; bounded by `words` and LONGEST."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """The automaton of the most frequent words of docs, as bytes. It takes the words of the highest counts, as many counts
+    as keep it within `words`; words seen once never enter. So what reaches the driver is bounded by `words` and LONGEST."""
+    counts = cut(word_counts(docs, text_col).where("n > 1"))
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    # How many words have a count of n or more, for the counts that matter: the running sum is over distinct counts only.
+    ranked = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("n", "words")), asc=False).alias("c")).first()
+    least, total = None, 0
+    for n, k in ranked["c"] or []:
+        total += k
+        if total > words:
+            break
+        least = n
+    top = counts.where(F.col("n") >= least).select("word").collect() if least else []
     own = sorted(w for r in top if 0 < len(w := r.word.encode()) <= LONGEST)
     bpe = word_bpe(tokenizer)
     return compile_words(own, [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_all(own)])
