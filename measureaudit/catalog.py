@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import conflicts
+
+_PARTS = (conflicts,)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
