@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import census, conflicts, entities, network
+from .plans import census, conflicts, entities, evaluation, network
 
-_PARTS = (conflicts, census, entities, network)
+_PARTS = (conflicts, census, entities, network, evaluation)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
