@@ -106,23 +106,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; of rows given twice under that id, one.
+#: Near copies: five-word shingles, and the Jaccard similarity from which two texts are near copies.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: The wide fingerprint of near copies: LANES of 64 bits over a text's distinct words; BANDS keys of KEY_BITS of its bits each.
+LANES, BANDS, KEY_BITS = 3, 20, 22
+_LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_hash_of: dict[bytes, int] = {}
 
-    Components without any id keep one row: the first by the row's content.
+
+def _bands() -> np.ndarray:
+    rng = np.random.default_rng(20)
+    return np.array([rng.choice(64 * LANES, KEY_BITS, replace=False) for _ in range(BANDS)])
+
+
+def band_keys(text: str | None, bands: np.ndarray) -> list[int]:
+    """The keys of a text's wide fingerprint: the bits of each band, with the band's number above them."""
+    words = set((text or "").encode().lower().split())
+    if len(_hash_of) > 500_000:
+        _hash_of.clear()
+    own = []
+    for w in words:
+        h = _hash_of.get(w)
+        if h is None:
+            h = _hash_of[w] = xxhash.xxh64_intdigest(w, 7)
+        own.append(h)
+    bits = np.zeros(64 * LANES, bool)
+    if own:
+        h = np.array(own, "<u8")
+        for i, m in enumerate(_LANE_MIX[:LANES]):
+            x = (h ^ (h >> np.uint64(29))) * np.uint64(m)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            ones = np.zeros(64, np.int64)
+            for k in range(0, len(x), _PIECE):
+                ones += np.unpackbits(x[k : k + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            bits[64 * i : 64 * (i + 1)] = 2 * ones > len(x)
+    keys = bits[bands] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+    return (keys + (np.arange(BANDS, dtype=np.int64) << KEY_BITS)).tolist()
+
+
+def shingles(text: str | None, n: int = COPY_WORDS) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the five-word shingles; 1 for two texts without words."""
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+#: Up to so many nodes are broadcast to pick out their texts (under 40 bytes each); more are joined by a shuffle.
+MAX_PICKED = 500_000
+
+
+def copy_links(nodes: DataFrame, docs: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
+    """(a, b), a < b: links between near copies among nodes (node, keys), whose texts are in docs (node, text).
+
+    Texts that share a band key meet there in rounds. In a round every text of a key meets the smallest one only, its leader;
+    those whose shingles verify are linked and leave the key, the leader leaves too, and the rest meet again. So a key costs
+    no pairs among its texts, and a large group of copies goes in one round.
     """
-    names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(keep, F.col(id_col) == F.col("_kept")).drop("_kept").dropDuplicates([id_col])
-    none = found.where("component_id is null").select("fingerprint").distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    marked = unnamed.join(
-        fingerprints(unnamed.select(F.col(text_col).alias("id"), F.col(text_col).alias("text")), "id", "text").distinct().select(F.col("id").alias("_text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("_fp")),
-        F.col(text_col).eqNullSafe(F.col("_text")),
-    )
-    rest = marked.join(none, F.col("_fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"])
-    return named.unionByName(rest.select(*names))
+    here = nodes.select("node", F.explode("keys").alias("key"))
+    shared = here.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+    here = cut(here.join(shared.drop("n"), "key"))
+    wanted = cut(here.select("node").distinct())
+    few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
+    texts = cut(docs.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
+    done = None
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    while True:
+        pairs = here.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        said = cut(met.select("a", "b", "ta", "tb").mapInArrow(verify, "a string, b string, ok boolean"))
+        found = said.where("ok").select("a", "b")
+        done = found if done is None else done.unionByName(found)
+        failed = said.where("not ok").select(F.col("a").alias("lead"), F.col("b").alias("node"))
+        left = here.join(failed, ["lead", "node"], "left_semi").select("node", "key")
+        again = left.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+        here = cut(left.join(again.drop("n"), "key"))
+        if here.isEmpty():
+            return done.distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, least: float = COPY_SIMILARITY) -> DataFrame:
+    """docs without the near-duplicates of a document that stays: of each group, the row with the smallest id.
+
+    Groups are reached over fingerprint links and over near copies, texts whose five-word shingles are at least that similar.
+    Of rows given twice under the smallest id, one stays; rows without id come after all others, in the order of a hash of
+    their text. Null and empty texts are one group. An empty table gives an empty result; all columns are kept.
+    """
+    bands, kind = _bands(), docs.schema[id_col].dataType.simpleString()
+    # Nodes are distinct texts, named by a hash, so that exact copies meet by hash and never by pairs.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.md5(text).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([band_keys(t, bands) for t in texts], pa.list_(pa.int64()))], names=["node", "id", "fp", "keys"])
+
+    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, keys array<long>")
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("keys").alias("keys")))
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    near = links(by_fp, max_bits)
+    tied = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    edges = tied.unionByName(same).unionByName(copy_links(nodes.select("node", "keys"), given.select("node", "text"), least))
+    placed = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("f")).select("f.*")
+    # Joined by id and text together, a group's rows lie apart, however large it is.
+    key = lambda i, n: F.md5(F.concat_ws("|", i.cast("string"), n))
+    keep = first.select(key(F.col("least"), F.col("node")).alias("_kept"))
+    marked = docs.withColumn("_kept", key(F.col(id_col), F.md5(text)))
+    return marked.join(keep, "_kept").dropDuplicates(["_kept"]).drop("_kept")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
