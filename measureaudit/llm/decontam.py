@@ -29,7 +29,7 @@ PLAIN_WORDS = 4
 COVERAGE = 0.5
 #: Up to so many benchmark windows travel to each task; larger sets are joined by a shuffle.
 MAX_SHIPPED = 1_000_000
-_CACHE = 300_000
+_CACHE = 100_000
 
 # Unit words after a number.
 UNITS = frozenset(

@@ -33,7 +33,7 @@ WORDS = 100_000
 #: Longer words are merged, not compiled.
 LONGEST = 40
 #: Cached chunks per worker; beyond it the cache starts anew.
-CACHE = 500_000
+CACHE = 200_000
 _GROUP = 512
 
 # The white space of the tokenizer's pattern language.
@@ -363,7 +363,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.update(chunks(normal(t or "")))
-                if len(held) > 2 * CACHE:
+                if len(held) > CACHE:
                     yield out()
         if held:
             yield out()

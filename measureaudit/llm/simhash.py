@@ -122,7 +122,7 @@ def _bands() -> np.ndarray:
 def band_keys(text: str | None, bands: np.ndarray) -> list[int]:
     """The keys of a text's wide fingerprint: the bits of each band, with the band's number above them."""
     words = set((text or "").encode().lower().split())
-    if len(_hash_of) > 500_000:
+    if len(_hash_of) > 200_000:
         _hash_of.clear()
     own = []
     for w in words:
