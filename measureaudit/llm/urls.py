@@ -104,7 +104,7 @@ def _joined(urls: DataFrame, laid: DataFrame, id_col: str, default: str) -> Data
     """The same for rule tables of any size: hosts meet rules on the prefixes of their keys, then paths are compared."""
     hosts = urls.select("key").distinct()
     n = F.size(F.split("key", "\\.")) - 1
-    ups = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring_index("key", ".", i), F.lit(".")))).alias("up"))
+    ups = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(F.split("key", "\\."), 1, i), "."), F.lit(".")))).alias("up"))
     near = ups.join(laid.withColumnRenamed("key", "up"), "up").select("key", "up", "rule_path", "rule", "says")
     fit = urls.select("key", "path").distinct().join(near, "key").where("startswith(path, rule_path)")
     best = fit.groupBy("key", "path").agg(
