@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Near copies: five-word shingles, and the Jaccard similarity from which two texts are near copies.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: The wide fingerprint of near copies: LANES of 64 bits over a text's distinct words; BANDS keys of KEY_BITS of its bits each.
-LANES, BANDS, KEY_BITS = 3, 20, 22
+LANES, BANDS, KEY_BITS = 3, 16, 22
 _LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _hash_of: dict[bytes, int] = {}
 
@@ -162,18 +162,22 @@ MAX_PICKED = 500_000
 
 
 def copy_links(nodes: DataFrame, docs: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
-    """(a, b), a < b: links between near copies among nodes (node, keys), whose texts are in docs (node, text).
+    """(a, b), a < b: links between near copies among nodes (node, least id, keys), whose texts are in docs (node, text).
 
     Texts that share a band key meet there in rounds. In a round every text of a key meets the smallest one only, its leader;
     those whose shingles verify are linked and leave the key, the leader leaves too, and the rest meet again. So a key costs
     no pairs among its texts, and a large group of copies goes in one round.
     """
-    here = nodes.select("node", F.explode("keys").alias("key"))
-    shared = here.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+    # Nodes are numbers here; nodes is checkpointed, so they stay the same.
+    named = nodes.withColumn("k", F.monotonically_increasing_id())
+    here = named.select(F.col("k").alias("node"), "least", F.explode("keys").alias("key"))
+    # The text with the smallest id leads: copies tend to come after what they copy, and are closer to it than to each other.
+    leader = F.min(F.struct("least", "node"))["node"].alias("lead")
+    shared = here.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1")
     here = cut(here.join(shared.drop("n"), "key"))
-    wanted = cut(here.select("node").distinct())
+    wanted = cut(named.select("k", "node").join(here.select(F.col("node").alias("k")).distinct(), "k", "left_semi"))
     few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
-    texts = cut(docs.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))
+    texts = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select(F.col("k").alias("node"), "text").dropDuplicates(["node"]))
     done = None
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,25 +188,28 @@ def copy_links(nodes: DataFrame, docs: DataFrame, least: float = COPY_SIMILARITY
     while True:
         pairs = here.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        said = cut(met.select("a", "b", "ta", "tb").mapInArrow(verify, "a string, b string, ok boolean"))
+        said = cut(met.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, ok boolean"))
         found = said.where("ok").select("a", "b")
         done = found if done is None else done.unionByName(found)
         failed = said.where("not ok").select(F.col("a").alias("lead"), F.col("b").alias("node"))
-        left = here.join(failed, ["lead", "node"], "left_semi").select("node", "key")
-        again = left.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+        left = here.join(failed, ["lead", "node"], "left_semi").select("node", "least", "key")
+        again = left.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1")
         here = cut(left.join(again.drop("n"), "key"))
         if here.isEmpty():
-            return done.distinct()
+            break
+    ends = [wanted.select(F.col("k").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab"]
+    return done.distinct().join(ends[0], "a").join(ends[1], "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, least: float = COPY_SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
     """docs without the near-duplicates of a document that stays: of each group, the row with the smallest id.
 
-    Groups are reached over fingerprint links and over near copies, texts whose five-word shingles are at least that similar.
+    Groups are reached over fingerprint links and, with least, over near copies too: texts whose five-word shingles are at
+    least that similar.
     Of rows given twice under the smallest id, one stays; rows without id come after all others, in the order of a hash of
     their text. Null and empty texts are one group. An empty table gives an empty result; all columns are kept.
     """
-    bands, kind = _bands(), docs.schema[id_col].dataType.simpleString()
+    names, bands, kind = docs.columns, _bands(), docs.schema[id_col].dataType.simpleString()
     # Nodes are distinct texts, named by a hash, so that exact copies meet by hash and never by pairs.
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.md5(text).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
@@ -211,22 +218,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             texts = b.column(2).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([band_keys(t, bands) for t in texts], pa.list_(pa.int64()))], names=["node", "id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([band_keys(t, bands) if least is not None else None for t in texts], pa.list_(pa.int64()))], names=["node", "id", "fp", "keys"])
 
     rows = given.mapInArrow(of, f"node string, id {kind}, fp long, keys array<long>")
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("keys").alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("keys").alias("keys")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     near = links(by_fp, max_bits)
     tied = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    edges = tied.unionByName(same).unionByName(copy_links(nodes.select("node", "keys"), given.select("node", "text"), least))
-    placed = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("f")).select("f.*")
-    # Joined by id and text together, a group's rows lie apart, however large it is.
-    key = lambda i, n: F.md5(F.concat_ws("|", i.cast("string"), n))
-    keep = first.select(key(F.col("least"), F.col("node")).alias("_kept"))
-    marked = docs.withColumn("_kept", key(F.col(id_col), F.md5(text)))
-    return marked.join(keep, "_kept").dropDuplicates(["_kept"]).drop("_kept")
+    edges = tied.unionByName(same)
+    if least is not None:
+        edges = edges.unionByName(copy_links(nodes.select("node", "least", "keys"), given.select("node", "text"), least))
+    placed = nodes.select("node", "least", "n").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
+    # Marked are the texts that go, and those that stay but were given in several rows; all others stay as they are.
+    stays = F.col("node") == F.col("head")
+    marks = cut(placed.join(first, "root").where(~stays | (F.col("n") > 1)).select(F.col("node").alias("_node"), stays.alias("_stays"), F.col("least").alias("_least")))
+    few = marks.limit(MAX_PICKED + 1).count() <= MAX_PICKED
+    marked = docs.withColumn("_node", F.md5(text)).join(F.broadcast(marks) if few else marks, "_node", "left")
+    alone = marked.where("_stays is null").select(*names)
+    again = marked.where(F.col("_stays") & F.col(id_col).eqNullSafe(F.col("_least"))).dropDuplicates(["_node"]).select(*names)
+    return alone.unionByName(again)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

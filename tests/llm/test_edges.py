@@ -90,7 +90,8 @@ def test_one_of_each_keeps_one_per_group(spark, docs):
     assert out.columns == docs.columns
     assert ids(out) == [None, 1, 4, 7, 8, 9, 10, 11, 12, 13]
     many = spark.createDataFrame([(k, BASE + f" tail{k}") for k in range(60)] + [(100 + k, prose(90, 100 + k)) for k in range(30)], "doc_id long, text string")
-    assert ids(simhash.one_of_each(many)) == [0, *range(100, 130)]
+    assert ids(simhash.one_of_each(many, least=0.8)) == [0, *range(100, 130)]
+    assert ids(simhash.one_of_each(docs, least=0.8)) == ids(out)
 
 
 def test_quality_ledger_is_brute_force(spark, docs):
@@ -316,7 +317,7 @@ def test_pipeline_over_documents_matches_brute_force(spark, sf_dir):
         return x
 
     for a, b in itertools.combinations(sorted(left), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3 or simhash.similarity(left[a], left[b]) >= 0.8:
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
             x, y = sorted((find(a), find(b)))
             root[y] = x
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
