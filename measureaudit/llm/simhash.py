@@ -11,12 +11,14 @@ distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut, table
@@ -108,42 +110,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Near copies: five-word shingles, and the Jaccard similarity from which two texts are near copies.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: The wide fingerprint of near copies: LANES of 64 bits over a text's distinct words; BANDS keys of KEY_BITS of its bits each.
-LANES, BANDS, KEY_BITS = 3, 16, 22
-_LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_hash_of: dict[bytes, int] = {}
-
-
-def _bands() -> np.ndarray:
-    rng = np.random.default_rng(20)
-    return np.array([rng.choice(64 * LANES, KEY_BITS, replace=False) for _ in range(BANDS)])
-
-
-def band_keys(text: str | None, bands: np.ndarray) -> list[int]:
-    """The keys of a text's wide fingerprint: the bits of each band, with the band's number above them."""
-    words = set((text or "").encode().lower().split())
-    if len(_hash_of) > 200_000:
-        _hash_of.clear()
-    own = []
-    for w in words:
-        h = _hash_of.get(w)
-        if h is None:
-            h = _hash_of[w] = xxhash.xxh64_intdigest(w, 7)
-        own.append(h)
-    bits = np.zeros(64 * LANES, bool)
-    if own:
-        h = np.array(own, "<u8")
-        for i, m in enumerate(_LANE_MIX[:LANES]):
-            x = (h ^ (h >> np.uint64(29))) * np.uint64(m)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            ones = np.zeros(64, np.int64)
-            for k in range(0, len(x), _PIECE):
-                ones += np.unpackbits(x[k : k + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-            bits[64 * i : 64 * (i + 1)] = 2 * ones > len(x)
-    keys = bits[bands] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-    return (keys + (np.arange(BANDS, dtype=np.int64) << KEY_BITS)).tolist()
+#: Frequent shingles are looked for in one text of SAMPLE and are those of FREQUENT of its texts, MAX_FREQUENT at most. They
+#: come last in the order of prefixes, so that they make few pairs; results don't depend on them.
+SAMPLE, FREQUENT, MAX_FREQUENT = 16, 8, 50_000
 
 
 def shingles(text: str | None, n: int = COPY_WORDS) -> set[bytes]:
@@ -157,48 +126,101 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, in order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 11) for x in shingles(text)], np.uint64))
+
+
+def prefix(hashes: np.ndarray, least: float, rare_first: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The hashes of which two texts at least that similar share one: the first in an order common to all texts."""
+    if not len(hashes):
+        return hashes
+    often, ranks = rare_first
+    rank = np.zeros(len(hashes), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        rank = np.where(often[at] == hashes, ranks[at], 0)
+    n = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    return hashes[np.argsort(rank, kind="stable")[:n]]
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, ranks by count) of shingles that a sample of docs (node, text) holds often."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t).view(np.int64))], names=["h"])
+
+    some = docs.where(F.xxhash64("node") % SAMPLE == 0).select("text").mapInArrow(of, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).collect()
+    often = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(often)
+    return often[order], (len(top) - np.arange(len(top)))[order]
+
+
 #: Up to so many nodes are broadcast to pick out their texts (under 40 bytes each); more are joined by a shuffle.
 MAX_PICKED = 500_000
 
 
-def copy_links(nodes: DataFrame, docs: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
-    """(a, b), a < b: links between near copies among nodes (node, least id, keys), whose texts are in docs (node, text).
+def _alike(pairs: DataFrame, named: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b, ok) of pairs (a, b) of numbers in named (k, node): whether their texts in docs (node, text) are near copies."""
 
-    Texts that share a band key meet there in rounds. In a round every text of a key meets the smallest one only, its leader;
-    those whose shingles verify are linked and leave the key, the leader leaves too, and the rest meet again. So a key costs
-    no pairs among its texts, and a large group of copies goes in one round.
-    """
-    # Nodes are numbers here; nodes is checkpointed, so they stay the same.
-    named = nodes.withColumn("k", F.monotonically_increasing_id())
-    here = named.select(F.col("k").alias("node"), "least", F.explode("keys").alias("key"))
-    # The text with the smallest id leads: copies tend to come after what they copy, and are closer to it than to each other.
-    leader = F.min(F.struct("least", "node"))["node"].alias("lead")
-    shared = here.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1")
-    here = cut(here.join(shared.drop("n"), "key"))
-    wanted = cut(named.select("k", "node").join(here.select(F.col("node").alias("k")).distinct(), "k", "left_semi"))
-    few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
-    texts = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select(F.col("k").alias("node"), "text").dropDuplicates(["node"]))
-    done = None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["k", "h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / (len(x) + len(y) - both) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    while True:
-        pairs = here.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        said = cut(met.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, ok boolean"))
-        found = said.where("ok").select("a", "b")
-        done = found if done is None else done.unionByName(found)
-        failed = said.where("not ok").select(F.col("a").alias("lead"), F.col("b").alias("node"))
-        left = here.join(failed, ["lead", "node"], "left_semi").select("node", "least", "key")
-        again = left.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1")
-        here = cut(left.join(again.drop("n"), "key"))
-        if here.isEmpty():
-            break
-    ends = [wanted.select(F.col("k").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab"]
-    return done.distinct().join(ends[0], "a").join(ends[1], "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    wanted = cut(named.select("k", "node").join(ends, "k", "left_semi"))
+    few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
+    packed = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select("k", "text").mapInArrow(pack, "k long, h binary").dropDuplicates(["k"]))
+    side = lambda x: packed.select(F.col("k").alias(x), F.col("h").alias(f"h_{x}"))
+    return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a long, b long, ok boolean"))
+
+
+def copy_components(nodes: DataFrame, docs: DataFrame, known: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
+    """(node, root) as of components, over the links known (a, b) and over near copies among nodes (node, least, size, keys).
+
+    keys is the prefix of a text's shingles and size their number; texts are in docs (node, text). Near copies share a key, and
+    at the first key they share enough shingles must be left in both. First each text of a key meets the one with the smallest
+    id; then texts of a key that are still in different components meet each other. So every pair that could join two
+    components is verified, and a large group of copies costs no pairs among its texts.
+    """
+    # Nodes are numbers here; nodes is checkpointed, so they stay the same.
+    named = nodes.withColumn("k", F.monotonically_increasing_id())
+    key = W.partitionBy("key")
+    own = named.select("k", "least", "size", F.posexplode("keys").alias("pos", "key"))
+    lead = F.min(F.struct(F.col("least").isNull(), "least", "k", "size", "pos")).over(key)
+    here = cut(own.withColumns({"n": F.count("*").over(key), "lead": lead}).where("n > 1").select("key", "k", "size", "pos", "lead"))
+
+    def could(x: str, y: str) -> str:
+        need = f"{least / (1 + least)} * ({x}.size + {y}.size) - 1e-6"
+        return f"least({x}.size - {x}.pos, {y}.size - {y}.pos) >= {need}"
+
+    name = lambda pairs: pairs.join(named.select(F.col("k").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("k").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    stars = cut(here.alias("own").where("own.k <> own.lead.k").where(could("own", "own.lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b")).distinct())
+    said = _alike(stars, named, docs, least)
+    roots = cut(components(known.unionByName(name(said.where("ok")))))
+    placed = here.join(named.select("k", "node"), "k").join(roots, "node", "left").select("key", "k", "size", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = cut(placed.withColumn("split", F.min("root").over(key) != F.max("root").over(key)).where("split").drop("split"))
+    met = mixed.alias("x").join(mixed.alias("y"), "key").where("x.k < y.k and x.root <> y.root").where(could("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(met.join(tested, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    more = name(_alike(rest, named, docs, least).where("ok"))
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
@@ -209,27 +231,34 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows given twice under the smallest id, one stays; rows without id come after all others, in the order of a hash of
     their text. Null and empty texts are one group. An empty table gives an empty result; all columns are kept.
     """
-    names, bands, kind = docs.columns, _bands(), docs.schema[id_col].dataType.simpleString()
+    names, kind = docs.columns, docs.schema[id_col].dataType.simpleString()
     # Nodes are distinct texts, named by a hash, so that exact copies meet by hash and never by pairs.
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.md5(text).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
 
+    rare_first = frequent_shingles(given) if least is not None else None
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([band_keys(t, bands) if least is not None else None for t in texts], pa.list_(pa.int64()))], names=["node", "id", "fp", "keys"])
-
-    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, keys array<long>")
-    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("keys").alias("keys")))
+            sizes, keys = [], []
+            for t in texts if least is not None else []:
+                h = shingle_hashes(t)
+                sizes.append(len(h))
+                keys.append(prefix(h, least, rare_first).view(np.int64))
+            more = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))] if least is not None else [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), *more], names=["node", "id", "fp", "size", "keys"])
+
+    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, size int, keys array<long>")
+    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     near = links(by_fp, max_bits)
     tied = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     edges = tied.unionByName(same)
-    if least is not None:
-        edges = edges.unionByName(copy_links(nodes.select("node", "least", "keys"), given.select("node", "text"), least))
-    placed = nodes.select("node", "least", "n").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(edges) if least is None else copy_components(nodes.select("node", "least", "size", "keys"), given.select("node", "text"), edges, least)
+    placed = nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
     # Marked are the texts that go, and those that stay but were given in several rows; all others stay as they are.
     stays = F.col("node") == F.col("head")
