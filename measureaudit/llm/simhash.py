@@ -163,8 +163,29 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 MAX_PICKED = 500_000
 
 
+#: A text's shingles are counted by so many buckets of their hashes: the sum of the lesser counts is never below the number
+#: that two texts share. Texts with more shingles than a count can hold are not judged by it.
+BUCKETS, MAX_COUNTED = 256, (1 << 16) - 1
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    if len(hashes) > MAX_COUNTED:
+        return b""
+    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u2").tobytes()
+
+
 def _alike(pairs: DataFrame, named: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, ok) of pairs (a, b) of numbers in named (k, node): whether their texts in docs (node, text) are near copies."""
+    """The pairs (a, b) of numbers in named (k, node, size, sketch) whose texts in docs (node, text) are near copies.
+
+    Hashes travel only for pairs that the bound by sketches leaves."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                most = int(np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum(dtype=np.int64)) if x and y else n
+                ok.append((1 + least) * most >= least * n - 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,47 +198,56 @@ def _alike(pairs: DataFrame, named: DataFrame, docs: DataFrame, least: float) ->
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both / (len(x) + len(y) - both) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    of = lambda x: named.select(F.col("k").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("size").alias(f"n_{x}"))
+    close = cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(bound, "a long, b long"))
+    ends = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = cut(named.select("k", "node").join(ends, "k", "left_semi"))
     few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
-    packed = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select("k", "text").mapInArrow(pack, "k long, h binary").dropDuplicates(["k"]))
+    packed = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select("k", "text").dropDuplicates(["k"]).mapInArrow(pack, "k long, h binary"))
     side = lambda x: packed.select(F.col("k").alias(x), F.col("h").alias(f"h_{x}"))
-    return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a long, b long, ok boolean"))
+    return cut(close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a long, b long"))
 
 
 def copy_components(nodes: DataFrame, docs: DataFrame, known: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
-    """(node, root) as of components, over the links known (a, b) and over near copies among nodes (node, least, size, keys).
+    """(node, root) as of components, over the links known (a, b) and over near copies among nodes (node, least, size, keys,
+    sketch).
 
     keys is the prefix of a text's shingles and size their number; texts are in docs (node, text). Near copies share a key, and
     at the first key they share enough shingles must be left in both. First each text of a key meets the one with the smallest
-    id; then texts of a key that are still in different components meet each other. So every pair that could join two
+    id, unless known links tie them; then texts of a key that are still in different components meet each other. So every pair that could join two
     components is verified, and a large group of copies costs no pairs among its texts.
     """
     # Nodes are numbers here; nodes is checkpointed, so they stay the same.
     named = nodes.withColumn("k", F.monotonically_increasing_id())
     key = W.partitionBy("key")
+    tied = cut(components(known))
     own = named.select("k", "least", "size", F.posexplode("keys").alias("pos", "key"))
     lead = F.min(F.struct(F.col("least").isNull(), "least", "k", "size", "pos")).over(key)
-    here = cut(own.withColumns({"n": F.count("*").over(key), "lead": lead}).where("n > 1").select("key", "k", "size", "pos", "lead"))
+    shared = own.withColumns({"n": F.count("*").over(key), "lead": lead}).where("n > 1").select("key", "k", "size", "pos", "lead")
+    numbered = cut(named.select("k", "node").join(tied, "node", "left").select("k", F.coalesce("root", "node").alias("root")))
+    here = cut(shared.join(numbered, "k"))
 
     def could(x: str, y: str) -> str:
         need = f"{least / (1 + least)} * ({x}.size + {y}.size) - 1e-6"
         return f"least({x}.size - {x}.pos, {y}.size - {y}.pos) >= {need}"
 
     name = lambda pairs: pairs.join(named.select(F.col("k").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("k").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    stars = cut(here.alias("own").where("own.k <> own.lead.k").where(could("own", "own.lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b")).distinct())
+    heads = numbered.select(F.col("k").alias("a"), F.col("root").alias("root_a"))
+    stars = here.alias("own").where("own.k <> own.lead.k").where(could("own", "own.lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b"), "root").distinct()
+    stars = cut(stars.join(heads, "a").where("root <> root_a").select("a", "b"))
     said = _alike(stars, named, docs, least)
-    roots = cut(components(known.unionByName(name(said.where("ok")))))
-    placed = here.join(named.select("k", "node"), "k").join(roots, "node", "left").select("key", "k", "size", "pos", F.coalesce("root", "node").alias("root"))
+    linked = tied.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(name(said))
+    roots = tied if said.isEmpty() else cut(components(linked))
+    placed = here.drop("root").join(named.select("k", "node"), "k").join(roots, "node", "left").select("key", "k", "size", "pos", F.coalesce("root", "node").alias("root"))
     mixed = cut(placed.withColumn("split", F.min("root").over(key) != F.max("root").over(key)).where("split").drop("split"))
     met = mixed.alias("x").join(mixed.alias("y"), "key").where("x.k < y.k and x.root <> y.root").where(could("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(met.join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
-    more = name(_alike(rest, named, docs, least).where("ok"))
+    more = name(_alike(rest, named, docs, least))
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
@@ -242,22 +272,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             texts = b.column(2).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for t in texts if least is not None else []:
                 h = shingle_hashes(t)
                 sizes.append(len(h))
+                sketches.append(sketch(h))
                 keys.append(prefix(h, least, rare_first).view(np.int64))
-            more = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))] if least is not None else [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), *more], names=["node", "id", "fp", "size", "keys"])
+            kinds = pa.int32(), pa.list_(pa.int64()), pa.binary()
+            more = [pa.array(x, k) for x, k in zip((sizes, keys, sketches), kinds, strict=True)] if least is not None else [pa.nulls(len(texts), k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), *more], names=["node", "id", "fp", "size", "keys", "sketch"])
 
-    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, size int, keys array<long>")
-    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))
+    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, size int, keys array<long>, sketch binary")
+    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     near = links(by_fp, max_bits)
     tied = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     edges = tied.unionByName(same)
-    roots = components(edges) if least is None else copy_components(nodes.select("node", "least", "size", "keys"), given.select("node", "text"), edges, least)
+    roots = components(edges) if least is None else copy_components(nodes.select("node", "least", "size", "keys", "sketch"), given.select("node", "text"), edges, least)
     placed = nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
     # Marked are the texts that go, and those that stay but were given in several rows; all others stay as they are.
