@@ -3,7 +3,7 @@
 Words of a text are made canonical: numbers, units after numbers and names become typed placeholders, other words lose case
 and outer punctuation. Windows of canonical words of the benchmark are joined to those of the documents by hash, once typed
 and once with the placeholders' words left as they are. For typed windows the values in the slots are compared: within one
-document and item a value of the item must always stand for the same value of the document. So a question asked again with
+document and item, or one place of it in the document, values must map one to one. So a question asked again with
 other numbers or names is found, and text that only has the same shape is not.
 """
 
@@ -215,21 +215,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         found = document_windows(docs, lengths, None, id_col, text_col)
     side = own.select("item", "hash", "len", F.col("pos").alias("at"), "typed", "template", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"))
     met = found.drop("n_words").join(F.broadcast(side) if count <= MAX_SHIPPED // 20 else side, ["hash", "len", "typed", "template"])
+    # Windows are judged together over the whole document, over each place where the item may stand (near alignments, as words
+    # may be put in or left out) and over each alignment; the best coverage of these groups counts.
+    pairs = met.select("doc", "item", "at", (F.col("pos") - F.col("at")).alias("line"), "len", "item_words", "typed", F.when(F.col("typed"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z"))
+    lines = W.partitionBy("doc", "item").orderBy("line")
+    step = F.when(F.col("line") - F.lag("line").over(lines) > F.col("item_words") / 2, 1).otherwise(0)
+    placed = pairs.distinct().withColumn("step", step).withColumn("spot", F.sum("step").over(lines))
+    groups = [F.struct(F.lit(k).alias("by"), g.cast("long").alias("id")) for k, g in enumerate((F.lit(0), F.col("spot"), F.col("line")))]
+    one = placed.select("doc", "item", "at", "len", "item_words", "typed", "z", F.explode(F.array(*groups)).alias("g"))
     # A typed window with the item's own values says no more than the plain one; values must map one to one.
-    pairs = met.select("doc", "item", "at", "len", "item_words", "typed", F.when(F.col("typed"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z"))
-    one = pairs.distinct()
-    values = one.where("typed").select("doc", "item", F.explode("z").alias("v")).select("doc", "item", F.col("v.i").alias("i"), F.col("v.d").alias("d")).distinct()
-    broken = values.groupBy("doc", "item", "i").agg(F.count("*").alias("n")).groupBy("doc", "item").agg((F.max("n") > 1).alias("broken"))
-    spots = one.groupBy("doc", "item", "at", "len", "item_words").agg(F.min("typed").alias("only_typed"))
-    judged = spots.join(broken, ["doc", "item"], "left").where("not only_typed or not coalesce(broken, false)")
+    values = one.where("typed").select("doc", "item", "g", F.explode("z").alias("v")).select("doc", "item", "g", F.col("v.i").alias("i"), F.col("v.d").alias("d")).distinct()
+    broken = values.groupBy("doc", "item", "g").agg(((F.count("*") > F.count_distinct("i")) | (F.count("*") > F.count_distinct("d"))).alias("broken"))
+    spots = one.groupBy("doc", "item", "g", "at", "len", "item_words").agg(F.min("typed").alias("only_typed"))
+    judged = spots.join(broken, ["doc", "item", "g"], "left").where("not only_typed or not coalesce(broken, false)")
     # Words of the item that windows cover: a window adds what reaches beyond the one before it.
-    w = W.partitionBy("doc", "item").orderBy("at", "len")
+    w = W.partitionBy("doc", "item", "g").orderBy("at", "len")
     ends = judged.withColumn("end", F.col("at") + F.col("len"))
     before = F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = ends.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), before)))
-    total = parts.groupBy("doc", "item").agg(
-        F.count("*").alias("n_windows"), (F.sum("new") / F.max("item_words")).alias("covered"), F.max("only_typed").alias("reworded")
-    )
+    each = parts.groupBy("doc", "item", "g").agg(F.count("*").alias("n_windows"), (F.sum("new") / F.max("item_words")).alias("covered"), F.max("only_typed").alias("reworded"))
+    best = F.max(F.struct("covered", (~F.col("reworded")).alias("plain"), "n_windows"))
+    total = each.groupBy("doc", "item").agg(best.alias("b")).select("doc", "item", "b.n_windows", "b.covered", (~F.col("b.plain")).alias("reworded"))
     return total.where(F.col("covered") >= coverage).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", F.round("covered", 6).alias("covered"), "reworded")
 
 

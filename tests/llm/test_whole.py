@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from measureaudit.llm import simhash
+from measureaudit.llm import decontam, simhash
 
 from .test_edges import BASE, brute_fingerprint, docs, ids, prose  # noqa: F401
 
@@ -45,3 +45,17 @@ def test_groups_of_near_copies_are_brute_force(spark):
         assert ids(simhash.one_of_each(df, least=0.8)) == want
     finally:
         simhash.SAMPLE, simhash.FREQUENT = old
+
+
+def test_decontamination_judges_each_place_in_both_directions(spark):
+    item = "A train leaves Boston at 7 pm and runs 120 km before Alice gets off the train and walks home slowly"
+    one = item.replace("120", "365").replace("Alice", "Robert")
+    two = item.replace("120", "48").replace("Alice", "Maria").replace("7", "9")
+    put_in = one.replace("before Alice", "before").replace("gets off", "then gets off")
+    items = spark.createDataFrame([(1, item), (2, "Every box of 5 pens and each pack of 7 pens is sent away today")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, one + ". " + two), (2, one + ". " + prose(300, 1) + " " + item[:60]), (3, put_in), (4, "Every box of 6 pens and each pack of 6 pens is sent away today"), (5, "Every box of 6 pens and each pack of 8 pens is sent away today")],
+        "doc_id long, text string",
+    )
+    got = sorted((r.doc_id, r.item_id, r.reworded) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(1, 1, True), (2, 1, True), (3, 1, True), (5, 2, True)]
