@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import cut, table
 
 #: Words in a window. Items with fewer words are one window, from LEAST words on; still shorter ones are no evidence.
 WINDOW, LEAST = 10, 5
@@ -220,7 +220,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     pairs = met.select("doc", "item", "at", (F.col("pos") - F.col("at")).alias("line"), "len", "item_words", "typed", F.when(F.col("typed"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z"))
     lines = W.partitionBy("doc", "item").orderBy("line")
     step = F.when(F.col("line") - F.lag("line").over(lines) > F.col("item_words") / 2, 1).otherwise(0)
-    placed = pairs.distinct().withColumn("step", step).withColumn("spot", F.sum("step").over(lines))
+    placed = cut(pairs.distinct().withColumn("step", step).withColumn("spot", F.sum("step").over(lines)))  # else documents are read twice
     groups = [F.struct(F.lit(k).alias("by"), g.cast("long").alias("id")) for k, g in enumerate((F.lit(0), F.col("spot"), F.col("line")))]
     one = placed.select("doc", "item", "at", "len", "item_words", "typed", "z", F.explode(F.array(*groups)).alias("g"))
     # A typed window with the item's own values says no more than the plain one; values must map one to one.
