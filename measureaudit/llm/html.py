@@ -27,8 +27,10 @@ TRAIN_PAGES = 160
 HIDDEN, PATH_BITS, WORD_BITS = 12, 8, 6
 _EPOCHS, _BATCH = 24, 32
 
-# Elements whose content is never text of the page.
-_RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title")
+# Elements whose content is never text of the page: _RAW reach to the end of the page if they aren't closed, _HIDDEN only to
+# their end tag, and are like any other element without one.
+_RAW = ("script", "style")
+_HIDDEN = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("template", "iframe", "svg", "canvas", "textarea", "select", "title")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -39,7 +41,7 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPE = frozenset("ul ol dl table body html article section div td th".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
     re.I | re.S,
 )
@@ -90,7 +92,8 @@ def blocks(page: str | None) -> list[Block]:
             if stack[i][0] in stop:
                 return
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if links:
@@ -99,6 +102,14 @@ def blocks(page: str | None) -> list[Block]:
         if m.group("tag") is None:
             continue
         tag = m.group("tag").lower()
+        if tag in _HIDDEN and not m.group("end"):
+            if m.group("attrs").endswith("/"):
+                continue
+            if tag not in unclosed:
+                if shut := _HIDDEN[tag].search(page, at):
+                    at = shut.end()
+                    continue
+                unclosed.add(tag)
         if tag in _BLOCK:
             flush()
         elif tag == "br":

@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from measureaudit.llm import decontam, simhash
+from measureaudit.llm import decontam, html, simhash
 
 from .test_edges import BASE, brute_fingerprint, docs, ids, prose  # noqa: F401
 
@@ -59,3 +59,13 @@ def test_decontamination_judges_each_place_in_both_directions(spark):
     )
     got = sorted((r.doc_id, r.item_id, r.reworded) for r in decontam.contaminated(docs, items).collect())
     assert got == [(1, 1, True), (2, 1, True), (3, 1, True), (5, 2, True)]
+
+
+def test_html_elements_without_end_do_not_swallow_the_page():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts('<p>a <svg class="i"/> b</p><p>rest</p>') == ["a b", "rest"]
+    assert texts("<p>a <math/> b</p><script src=x /><p>rest</p>") == ["a b", "rest"]
+    assert texts("<p>a</p><select><option>x<p>rest</p>")[-1] == "rest" and texts("<title>T<p>rest</p>") == ["T", "rest"]
+    assert texts("<object-card>a</object-card><select-box>b</select-box><p>rest</p>") == ["ab", "rest"]
+    assert texts("<article><p>x <math><mi>y</mi></math> z</p><noscript>n</noscript><object>o</object></article>") == ["x y z", "no"]
+    assert texts("<p>a <svg><text>no</text></svg>b</p><title>no</title><script>no") == ["a b"]
