@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import ROWS_A_TASK, cut
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -41,8 +43,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     now, mark = cut(now), None
+    n = now.count()
+    if not n:
+        return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    # Few edges go through few tasks in every round: a round never has more edges than twice those that are given.
+    few = lambda df: df.coalesce(max(1, math.ceil(n / ROWS_A_TASK)))
+    now = few(now)
     while True:
-        now = cut(_small_star(_large_star(now)))
+        now = few(cut(few(_small_star(few(_large_star(now))))))
         # A star forest is a fixed point of both steps: same edges as the round before.
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (row.n, row.h):

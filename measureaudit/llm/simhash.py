@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import cut, table
+from .base import cut, fitted, in_arrow, kept, pieces, shipped, table
 from .components import components
 
 MAX_BITS = 3
@@ -57,11 +57,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long")
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), of, f"id {kind}, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -144,113 +144,181 @@ def prefix(hashes: np.ndarray, least: float, rare_first: tuple[np.ndarray, np.nd
     return hashes[np.argsort(rank, kind="stable")[:n]]
 
 
+def _among(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in often, an array in order."""
+    at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+    return often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, ranks by count) of shingles that a sample of docs (node, text) holds often."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t).view(np.int64))], names=["h"])
 
-    some = docs.where(F.xxhash64("node") % SAMPLE == 0).select("text").mapInArrow(of, "h long")
+    some = in_arrow(docs.where(F.xxhash64("node") % SAMPLE == 0).select("text"), of, "h long")
     top = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).collect()
     often = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(often)
     return often[order], (len(top) - np.arange(len(top)))[order]
 
 
-#: Up to so many nodes are broadcast to pick out their texts (under 40 bytes each); more are joined by a shuffle.
+#: Up to so many rows are broadcast to pick out or mark texts (under 100 bytes each); more are joined by a shuffle.
 MAX_PICKED = 500_000
-
-
-#: A text's shingles are counted by so many buckets of their hashes: the sum of the lesser counts is never below the number
-#: that two texts share. Texts with more shingles than a count can hold are not judged by it.
-BUCKETS, MAX_COUNTED = 256, (1 << 16) - 1
+#: A text's shingles are counted by buckets of their hashes: the sum of the lesser counts is never below the number that two
+#: texts share. Texts of over LONG shingles have more buckets; with over 255 shingles in a bucket a text isn't judged by it.
+BUCKETS, LONG_BUCKETS, LONG = 256, 4096, 2000
+#: A key of so many texts at most is turned into pairs; texts of other keys are compared in blocks.
+MAX_MET = 128
+#: A block holds about so many texts, and so many shingles, at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    if len(hashes) > MAX_COUNTED:
-        return b""
-    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u2").tobytes()
-
-
-def _alike(pairs: DataFrame, named: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of numbers in named (k, node, size, sketch) whose texts in docs (node, text) are near copies.
-
-    Hashes travel only for pairs that the bound by sketches leaves."""
+    n = LONG_BUCKETS if len(hashes) > LONG else BUCKETS
+    counts = np.bincount((hashes >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64), minlength=n)
+    return counts.astype(np.uint8).tobytes() if len(hashes) and counts.max() < 256 else b""
+
+
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """No fewer than the shingles that two texts share, by their sketches; None where these don't tell."""
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
+
+
+def shared_counts(one: np.ndarray, others: list[np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many hashes `one` shares with each of the others, by index_of(others)."""
+    known, starts, owner = index
+    at = np.searchsorted(known, one)
+    at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == one)] if len(known) else at[:0]
+    size = starts[at + 1] - starts[at]
+    run = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(at) else at, size) + np.arange(size.sum())
+    return np.bincount(owner[run], minlength=len(others))
+
+
+def index_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, where each one's texts start, texts by hash)."""
+    flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    order = np.argsort(flat, kind="stable")
+    known, first = np.unique(flat[order], return_index=True)
+    return known, np.append(first, len(flat)), owner[order]
+
+
+def _forest(names: list[int], texts: list[np.ndarray], side: list[int], block: list[int], least: float) -> list[tuple[int, int]]:
+    """Links that join the similar texts of a cell's two blocks into groups, one fewer than the texts of a group.
+
+    Texts that are there for a smaller band only (side 1) aren't compared with each other, nor texts of one block where two
+    blocks meet: that is done elsewhere."""
+    root, out = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    size, side_of, block_of, index, apart = np.array([len(t) for t in texts]), np.array(side), np.array(block), index_of(texts), len(set(block)) > 1
+    for i, t in enumerate(texts):
+        both = shared_counts(t, texts, index)
+        near = (both >= least * (size + len(t) - both)) & (side_of + side[i] < 2) & (~apart | (block_of != block[i]))
+        for j in np.flatnonzero(near[:i]).tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                root[x] = y
+                out.append((names[i], names[j]))
+    return out
+
+
+def _cold_pairs(met: DataFrame, named: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of texts that share a key of few texts, early enough in both to be near copies, and that the bound by
+    sketches leaves. met: (key, k, size, pos, n)."""
+    enough = f"least(x.size - x.pos, y.size - y.pos) >= {least / (1 + least)} * (x.size + y.size) - 1e-6"
+    each = f"transform(filter(slice(m, i + 2, size(m)), y -> {enough}), y -> struct(least(x.k, y.k) as a, greatest(x.k, y.k) as b))"
+    lists = met.where(f"n <= {MAX_MET}").groupBy("key").agg(F.collect_list(F.struct("k", "size", "pos")).alias("m"))
+    pairs = fitted(cut(lists.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> {each}))")).alias("p")).select("p.a", "p.b").distinct()))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ok = []
             for x, y, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                most = int(np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum(dtype=np.int64)) if x and y else n
-                ok.append((1 + least) * most >= least * n - 1e-6)
+                most = most_shared(x, y)
+                ok.append(most is None or (1 + least) * most >= least * n - 1e-6)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    of = lambda x: named.select(F.col("k").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("size").alias(f"n_{x}"))
+    sided = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return fitted(cut(in_arrow(sided, bound, "a long, b long")))
+
+
+def _hot_cells(hot: DataFrame, named: DataFrame) -> DataFrame:
+    """(k, cell, band, side, i, j): where texts of keys with many texts are compared. hot: (k, key).
+
+    Texts that are tied by such keys, over any number of them, make a cell; within it only texts of one band of sizes, or of
+    the next, can be near copies. Large cells are cut into blocks, and each two blocks meet in a place of their own."""
+    many = hot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    own = kept(hot.join(many, "key"), "hot")
+    first = own.groupBy("k").agg(F.min("key").alias("first"))
+    ties = own.join(first, "k").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    cells = components(ties)
+    band = F.floor(F.log("size") / math.log(1.25)).cast("int")
+    placed = first.join(cells, F.col("first") == F.col("node"), "left").select("k", F.coalesce("root", "first").alias("cell")).join(named.select("k", "size"), "k").withColumn("band", band)
+    sides = kept(placed.select("k", "size", "cell", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("band").alias("band")), F.struct(F.lit(1).alias("side"), (F.col("band") - 1).alias("band")))).alias("s")).select("k", "size", "cell", "s.band", "s.side"), "cells")
+    counts = sides.groupBy("cell", "band").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("side").alias("own")).where("n > 1 and own = 0")
+    blocks = counts.select("cell", "band", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    laid = sides.join(shipped(blocks, MAX_PICKED), ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("g")).cast("int"))
+    spread = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return spread.select("k", "cell", "band", "side", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def copy_links(nodes: DataFrame, docs: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
+    """(a, b) of nodes (k, node, size, keys, often, sketch) whose texts are near copies, enough to reach all of a group.
+
+    keys is the prefix of a text's shingles, of which those from place `often` on are frequent; size is their number; texts are
+    in docs (node, text). Two near copies share a key. Keys that few texts hold give pairs, which are judged by sketches and
+    then by the shingles' hashes. Keys that many hold give no pairs: their texts meet in blocks, and each two blocks give no
+    more links than they have texts. Both ways are exact. Texts that share much of a frequent passage, but are no copies, are
+    compared there in vain: that cost grows with the square of their number in a band of sizes.
+    """
+    own = nodes.select("k", "size", "often", F.posexplode("keys").alias("pos", "key"))
+    met = kept(own.where("pos < often").withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("key", "k", "size", "pos", "n"), "met")
+    close = _cold_pairs(met, nodes, least)
+    hot = own.where("pos >= often").select("k", "key").unionByName(met.where(f"n > {MAX_MET}").select("k", "key"))
+    cells = kept(_hot_cells(hot, nodes), "blocks")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("k")).unionByName(cells.select("k")).distinct()
+    wanted = cut(nodes.select("k", "node").join(wanted, "k", "left_semi"))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["k", "h"])
 
+    packed = kept(in_arrow(docs.join(shipped(wanted, MAX_PICKED), "node").select("k", "text").dropDuplicates(["k"]), pack, "k long, h binary"), "packed")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both / (len(x) + len(y) - both) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda x: named.select(F.col("k").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("size").alias(f"n_{x}"))
-    close = cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(bound, "a long, b long"))
-    ends = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    wanted = cut(named.select("k", "node").join(ends, "k", "left_semi"))
-    few = wanted.limit(MAX_PICKED + 1).count() <= MAX_PICKED
-    packed = cut(docs.join(F.broadcast(wanted) if few else wanted, "node").select("k", "text").dropDuplicates(["k"]).mapInArrow(pack, "k long, h binary"))
-    side = lambda x: packed.select(F.col("k").alias(x), F.col("h").alias(f"h_{x}"))
-    return cut(close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a long, b long"))
-
+    def compare(t: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("h")]
+        found = _forest(t.column("k").to_pylist(), texts, t.column("side").to_pylist(), t.column("block").to_pylist(), least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-def copy_components(nodes: DataFrame, docs: DataFrame, known: DataFrame, least: float = COPY_SIMILARITY) -> DataFrame:
-    """(node, root) as of components, over the links known (a, b) and over near copies among nodes (node, least, size, keys,
-    sketch).
-
-    keys is the prefix of a text's shingles and size their number; texts are in docs (node, text). Near copies share a key, and
-    at the first key they share enough shingles must be left in both. First each text of a key meets the one with the smallest
-    id, unless known links tie them; then texts of a key that are still in different components meet each other. So every pair that could join two
-    components is verified, and a large group of copies costs no pairs among its texts.
-    """
-    # Nodes are numbers here; nodes is checkpointed, so they stay the same.
-    named = nodes.withColumn("k", F.monotonically_increasing_id())
-    key = W.partitionBy("key")
-    tied = cut(components(known))
-    own = named.select("k", "least", "size", F.posexplode("keys").alias("pos", "key"))
-    lead = F.min(F.struct(F.col("least").isNull(), "least", "k", "size", "pos")).over(key)
-    shared = own.withColumns({"n": F.count("*").over(key), "lead": lead}).where("n > 1").select("key", "k", "size", "pos", "lead")
-    numbered = cut(named.select("k", "node").join(tied, "node", "left").select("k", F.coalesce("root", "node").alias("root")))
-    here = cut(shared.join(numbered, "k"))
-
-    def could(x: str, y: str) -> str:
-        need = f"{least / (1 + least)} * ({x}.size + {y}.size) - 1e-6"
-        return f"least({x}.size - {x}.pos, {y}.size - {y}.pos) >= {need}"
-
-    name = lambda pairs: pairs.join(named.select(F.col("k").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("k").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    heads = numbered.select(F.col("k").alias("a"), F.col("root").alias("root_a"))
-    stars = here.alias("own").where("own.k <> own.lead.k").where(could("own", "own.lead")).select(F.col("lead.k").alias("a"), F.col("k").alias("b"), "root").distinct()
-    stars = cut(stars.join(heads, "a").where("root <> root_a").select("a", "b"))
-    said = _alike(stars, named, docs, least)
-    linked = tied.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(name(said))
-    roots = tied if said.isEmpty() else cut(components(linked))
-    placed = here.drop("root").join(named.select("k", "node"), "k").join(roots, "node", "left").select("key", "k", "size", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = cut(placed.withColumn("split", F.min("root").over(key) != F.max("root").over(key)).where("split").drop("split"))
-    met = mixed.alias("x").join(mixed.alias("y"), "key").where("x.k < y.k and x.root <> y.root").where(could("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(met.join(tested, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots
-    more = name(_alike(rest, named, docs, least))
-    if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    side = lambda x: packed.select(F.col("k").alias(x), F.col("h").alias(f"h_{x}"))
+    cold = in_arrow(close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b"), verify, "a long, b long")
+    warm = cells.join(packed, "k").groupBy("cell", "band", "i", "j").applyInArrow(compare, "a long, b long")
+    said = cut(cold.unionByName(warm))
+    name = lambda x: nodes.select(F.col("k").alias(x), F.col("node").alias(f"_{x}"))
+    return said.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
@@ -259,46 +327,48 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are reached over fingerprint links and, with least, over near copies too: texts whose five-word shingles are at
     least that similar.
     Of rows given twice under the smallest id, one stays; rows without id come after all others, in the order of a hash of
-    their text. Null and empty texts are one group. An empty table gives an empty result; all columns are kept.
+    their text. Null and empty texts are one group. An empty table gives an empty result; all columns are kept, whatever
+    their names.
     """
     names, kind = docs.columns, docs.schema[id_col].dataType.simpleString()
     # Nodes are distinct texts, named by a hash, so that exact copies meet by hash and never by pairs.
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.md5(text).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
-
     rare_first = frequent_shingles(given) if least is not None else None
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(2).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            sizes, keys, sketches = [], [], []
-            for t in texts if least is not None else []:
-                h = shingle_hashes(t)
-                sizes.append(len(h))
-                sketches.append(sketch(h))
-                keys.append(prefix(h, least, rare_first).view(np.int64))
-            kinds = pa.int32(), pa.list_(pa.int64()), pa.binary()
-            more = [pa.array(x, k) for x, k in zip((sizes, keys, sketches), kinds, strict=True)] if least is not None else [pa.nulls(len(texts), k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), *more], names=["node", "id", "fp", "size", "keys", "sketch"])
-
-    rows = given.mapInArrow(of, f"node string, id {kind}, fp long, size int, keys array<long>, sketch binary")
-    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+            columns = [b.column(0), b.column(1), pa.array(fps)]
+            if least is not None:
+                hashes = [shingle_hashes(t) for t in texts]
+                keys = [prefix(h, least, rare_first) for h in hashes]
+                often = [int(np.sum(~_among(k, rare_first[0]))) for k in keys]
+                columns += [pa.array([len(h) for h in hashes], pa.int32()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(often, pa.int32()), pa.array([sketch(h) for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "id", "fp", "size", "keys", "often", "sketch"][: len(columns)])
+
+    more = ("size", "keys", "often", "sketch") if least is not None else ()
+    rows = in_arrow(given, of, f"node string, id {kind}, fp long" + ", size int, keys array<long>, often int, sketch binary" * bool(more))
+    groups = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("fp").alias("fp"), *(F.any_value(c).alias(c) for c in more))
+    nodes = kept(groups.withColumn("k", F.monotonically_increasing_id()), "nodes")
+    by_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     near = links(by_fp, max_bits)
     tied = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = nodes.join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    same = nodes.select("fp", "node").join(by_fp, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     edges = tied.unionByName(same)
-    roots = components(edges) if least is None else copy_components(nodes.select("node", "least", "size", "keys", "sketch"), given.select("node", "text"), edges, least)
-    placed = nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if least is not None:
+        edges = edges.unionByName(copy_links(nodes, given.select("node", "text"), least))
+    placed = nodes.select("node", "least", "n").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
     # Marked are the texts that go, and those that stay but were given in several rows; all others stay as they are.
     stays = F.col("node") == F.col("head")
-    marks = cut(placed.join(first, "root").where(~stays | (F.col("n") > 1)).select(F.col("node").alias("_node"), stays.alias("_stays"), F.col("least").alias("_least")))
-    few = marks.limit(MAX_PICKED + 1).count() <= MAX_PICKED
-    marked = docs.withColumn("_node", F.md5(text)).join(F.broadcast(marks) if few else marks, "_node", "left")
-    alone = marked.where("_stays is null").select(*names)
-    again = marked.where(F.col("_stays") & F.col(id_col).eqNullSafe(F.col("_least"))).dropDuplicates(["_node"]).select(*names)
+    marks = cut(placed.join(first, "root").where(~stays | (F.col("n") > 1)).select("node", stays.alias("stays"), "least"))
+    # The caller's row travels as one column, so that its names meet none of ours.
+    rows = docs.select(F.md5(text).alias("node"), F.col(id_col).alias("id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    marked = rows.join(shipped(marks, MAX_PICKED), "node", "left")
+    alone = marked.where("stays is null").select("row.*")
+    again = marked.where(F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("row.*")
     return alone.unionByName(again)
 
 
