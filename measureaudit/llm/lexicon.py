@@ -25,16 +25,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, table
+from .base import cut, in_arrow, pieces, table
 from .bitpack import vocabulary_file
 
 #: Words in the automaton, the most frequent of the corpus first.
 WORDS = 100_000
 #: Longer words are merged, not compiled.
 LONGEST = 40
-#: Cached chunks per worker; beyond it the cache starts anew.
-CACHE = 200_000
-_GROUP = 512
+#: Cached chunks per worker, and their characters and bytes of ids; beyond either the cache starts anew.
+CACHE, CACHE_BYTES = 150_000, 16 << 20
 
 # The white space of the tokenizer's pattern language.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -299,7 +298,7 @@ class Encoder:
     """Encodes texts with a tokenizer file and a lexicon; caches whole chunks between white space."""
 
     def __init__(self, path: str, data: bytes):
-        self.bpe, self.lexicon, self.cache = word_bpe(path), Lexicon(data), {}
+        self.bpe, self.lexicon, self.cache, self.held = word_bpe(path), Lexicon(data), {}, 0
 
     def _learn(self, new: list[str]) -> None:
         cut = [_PIECES.findall(c) for c in new]
@@ -311,7 +310,8 @@ class Encoder:
         unseen = np.flatnonzero(~has).tolist()
         known.update(zip([words[k] for k in unseen], self.bpe.merge_all([coded[k] for k in unseen]), strict=True))
         for c, ws in zip(new, cut, strict=True):
-            self.cache[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            self.cache[c] = ids = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            self.held += len(c) + len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = []  # per text: chunks, or the id of a special token
@@ -321,8 +321,9 @@ class Encoder:
                 parts.append([x for p in own for x in p])
             else:
                 parts.append(chunks(normal(t)))
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         new = {c for c in set().union(*parts) if isinstance(c, str)} - self.cache.keys()
         if new:
             self._learn(list(new))
@@ -360,7 +361,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(split.keys(), pa.string()), pa.array(split.values(), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in pieces(batches):
             for t in b.column(0).to_pylist():
                 held.update(chunks(normal(t or "")))
                 if len(held) > CACHE:
@@ -368,7 +369,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(F.col(text_col).alias("text")), of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS) -> bytes:
@@ -397,13 +398,11 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_i
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, lexicon)
-        for b in batches:
-            for i in range(0, b.num_rows, _GROUP):
-                piece = b.slice(i, _GROUP)
-                ids = enc.encode([t or "" for t in piece.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["id", "ids"])
+        for b in pieces(batches):
+            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), of, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,19 +411,17 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, lexicon)
-        for b in batches:
-            for i in range(0, b.num_rows, _GROUP):
-                piece = b.slice(i, _GROUP)
-                ids = enc.encode([t or "" for t in piece.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                    ],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+        for b in pieces(batches):
+            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                ],
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), of, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
