@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import table
+from .base import in_arrow, pieces, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("userinfo", "secret", "iban", "ssn")
@@ -33,7 +33,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+(?=@[A-Za-z0-9.-])")
-_SECRET = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/.=~-]{8,})")
+_GIVES = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[A-Za-z0-9_+/.=~-])")
+_VALUE = re.compile(r"[A-Za-z0-9_+/.=~-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
@@ -74,6 +75,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the search of a kind goes on
     chain = 0  # end of the last dotted chain of digits
+    value_end = last_digit = -1  # of the last run of characters that a secret may have
 
     def add(kind: str, start: int, end: int) -> None:
         found.append((kind, start, end))
@@ -119,8 +121,14 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if last + 1 >= done["userinfo"] and (m := _USERINFO.match(text, last + 1)):
                 add("userinfo", last + 1, m.end())
         elif what == "secret":
-            if at >= done["secret"] and (m := _SECRET.match(text, last + 1)) and any(c.isdigit() for c in m.group(1)):
-                add("secret", m.start(1), m.end(1))
+            # Cues may stand inside a run of value characters: the run's end and its last digit are looked for once.
+            if at >= done["secret"] and (m := _GIVES.match(text, last + 1)):
+                start = m.end()
+                if start >= value_end:
+                    value_end = _VALUE.match(text, start).end()
+                    last_digit = max(text.rfind(d, start, value_end) for d in "0123456789")
+                if value_end - start >= 8 and last_digit >= start:
+                    add("secret", start, value_end)
         elif at >= done["iban"]:
             start = last + 1
             while start < len(text) and start - last <= 4 and text[start] in " :=#.":
@@ -145,11 +153,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [[{"kind": k, "start": s, "stop": e} for k, s, e in spans(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _SPANS)], names=["id", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), of, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def mask_text(text: str | None) -> str | None:
