@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import cut, table
+from .base import cut, free_name, in_arrow, pieces, table
 
-#: Words in a window. Items with fewer words are one window, from LEAST words on; still shorter ones are no evidence.
+#: Words in a window. Items with fewer words are one window. Under LEAST words it must match word by word, and an item of one
+#: or two words only contaminates a document that says nothing else.
 WINDOW, LEAST = 10, 5
 #: Of a typed window's words, at least so many must not be placeholders.
 PLAIN_WORDS = 4
@@ -45,62 +46,68 @@ _GO = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """Canonical forms of words, cached. A form: hash of the plain word, kind (0 word, 1 number, 2 titled, 3 unit), whether
-    a sentence ends after it, the plain word."""
+    """Canonical forms of words, cached. A form: hash of the plain word, marks (kind: 0 word, 1 number, 2 titled, 3 unit; 4 where
+    a sentence ends after it, 8 where it has a letter or digit), the plain word."""
 
     def __init__(self):
         self.slot: dict[str, int] = {}
         self.plain: list[int] = []
-        self.kind: list[int] = []
-        self.stop: list[bool] = []
+        self.marks: list[int] = []
         self.word: list[str] = []
         self.filled = 0
-        self.a_kind, self.a_stop, self.a_plain, self.a_real = np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.a_plain, self.a_marks = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def _add(self, raw: str) -> int:
         core = raw if raw.isalpha() else raw.strip(_MARKS)
         if core[:1].isdigit():
             core = _EDGE.sub("", raw)
         low = core.lower()
-        kind = 1 if core[:1] in _DIGITS and _NUMBER.fullmatch(core) else 3 if low in UNITS else 2 if len(core) > 1 and core[0].isupper() and core[1:].islower() else 0
+        kind = 1 if core[:1] in _DIGITS and _NUMBER.fullmatch(core) else 3 if low in UNITS else 2 if low != core and len(core) > 1 and core[0].isupper() and core[1:].islower() else 0
+        if not low:
+            kind = 4
+        else:
+            kind |= 12 if raw[-1] in ".!?:;" else 8
         k = self.slot[raw] = len(self.word)
         self.plain.append(xxhash.xxh64_intdigest(low, 0))
-        self.kind.append(kind)
-        self.stop.append(raw[-1] in ".!?:;" or not core)
+        self.marks.append(kind)
         self.word.append(low)
         return k
 
-    def forms(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(plain hashes, typed hashes, plain words) of a text; words without a letter or digit are left out."""
+    def forms(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(plain hashes, typed hashes, places in word, which text) of the words of some texts, in order; words without a letter
+        or digit are left out."""
         if len(self.word) > _CACHE:
             self.__init__()
         find, add = self.slot.get, self._add
-        own = [k if (k := find(w)) is not None else add(w) for w in text.split()]
-        at = np.array(own, np.int64)
+        split = [t.split() for t in texts]
+        own = [k if (k := find(w)) is not None else add(w) for words in split for w in words]
+        at, text = np.array(own, np.int64), np.repeat(np.arange(len(texts)), [len(w) for w in split])
         self._catch_up()
-        kind, stop, plain = self.a_kind[at], self.a_stop[at], self.a_plain[at]
-        real = self.a_real[at]
-        after_stop = np.concatenate([[True], stop[:-1]]) if len(at) else stop
-        # Symbols between words don't count as words, but a stop among them ends the sentence.
-        at, kind, plain, first = at[real], kind[real], plain[real], after_stop[real]
+        marks, plain = self.a_marks[at], self.a_plain[at]
+        # Symbols between words don't count as words, but a stop among them ends the sentence; so does the end of a text.
+        after_stop = np.ones(len(at), bool)
+        after_stop[1:] = (marks[:-1] & 4 > 0) | (text[1:] != text[:-1])
+        real = marks & 8 > 0
+        at, kind, plain, first, text = at[real], marks[real] & 3, plain[real], after_stop[real], text[real]
         typed = plain.copy()
         number = kind == 1
         typed[number] = _NUM
         typed[(kind == 2) & ~first] = _NAME
-        unit = (kind == 3) & np.concatenate([[False], number[:-1]])[: len(kind)]
+        unit = kind == 3
+        unit[:1] = False
+        unit[1:] &= number[:-1] & (text[1:] == text[:-1])
         typed[unit] = _UNIT
-        return plain, typed, at
+        return plain, typed, at, text
 
     def _catch_up(self) -> None:
         """Copy the forms added since the last call into the arrays, which double when full."""
         old, new = self.filled, len(self.word)
-        if new > len(self.a_kind):
+        if new > len(self.a_marks):
             grow = lambda x: np.concatenate([x, np.zeros(max(1024, 2 * new) - len(x), x.dtype)])
-            self.a_kind, self.a_stop, self.a_plain, self.a_real = map(grow, (self.a_kind, self.a_stop, self.a_plain, self.a_real))
+            self.a_plain, self.a_marks = grow(self.a_plain), grow(self.a_marks)
         if new > old:
-            self.a_kind[old:new], self.a_stop[old:new] = self.kind[old:], self.stop[old:]
             self.a_plain[old:new] = np.array(self.plain[old:], np.uint64)
-            self.a_real[old:new] = [bool(w) for w in self.word[old:]]
+            self.a_marks[old:new] = self.marks[old:]
             self.filled = new
 
 
@@ -116,7 +123,7 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
 
 def _windows(words: Words, text: str, n: int) -> Iterator[tuple[int, int, bool, str, list[str], int]]:
     """(hash, place, typed, template, slot values, number of words) of a text's windows of n words."""
-    plain, typed, at = words.forms(text)
+    plain, typed, at, _ = words.forms([text])
     own = [words.word[k] for k in at.tolist()]
     mark = {int(_NUM): "<num>", int(_NAME): "<name>", int(_UNIT): "<unit>"}
     slots = [mark.get(int(t)) if t != p else None for t, p in zip(typed, plain, strict=True)]
@@ -124,7 +131,7 @@ def _windows(words: Words, text: str, n: int) -> Iterator[tuple[int, int, bool,
         for i, x in enumerate(h.view(np.int64).tolist()):
             inside = slots[i : i + n]
             held = [w for w, s in zip(own[i : i + n], inside, strict=True) if s]
-            if kind and (not held or n - len(held) < PLAIN_WORDS):
+            if kind and (not held or n - len(held) < PLAIN_WORDS or n < LEAST):
                 continue
             shown = [s or w for w, s in zip(own[i : i + n], inside, strict=True)] if kind else own[i : i + n]
             yield x, i, kind, " ".join(shown), held if kind else [], len(own)
@@ -139,11 +146,11 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = min(WINDOW, len(words.forms(t or "")[2]))
-                if n >= LEAST:
+                n = min(WINDOW, len(words.forms([t or ""])[2]))
+                if n:
                     rows += [(i, h, n, p, ty, te, sl, nw) for h, p, ty, te, sl, nw in _windows(words, t, n)]
             yield _batch(rows, b.column(0).type, "item")
 
@@ -156,45 +163,78 @@ def _batch(rows: list[tuple], kind: pa.DataType, first: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[first, "hash", "len", "pos", "typed", "template", "slots", "n_words"])
 
 
+class Wanted:
+    """A set of hashes; most others are told by one look into a table of bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.own = np.sort(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.own >> np.uint64(44)).astype(np.int64)] = True
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = self.table[(h >> np.uint64(44)).astype(np.int64)]
+        near = np.flatnonzero(out)
+        if len(near):
+            at = np.minimum(np.searchsorted(self.own, h[near]), len(self.own) - 1)
+            out[near] = self.own[at] == h[near]
+        return out
+
+
+def _texts_with(forms: tuple, n: int, wanted: Wanted) -> list[int]:
+    """The texts, by Words.forms of them, that have a window of n words whose hash is wanted."""
+    plain, typed, _, text = forms
+    inside = text[: max(0, len(text) - n + 1)] == text[n - 1 :]
+    hit = np.zeros(len(inside), bool)
+    for h in (plain, typed):
+        hit |= wanted.has(rolled(h, n))
+    return np.unique(text[: len(inside)][hit & inside]).tolist()
+
+
 def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, hash, len, pos, typed, template, slots, n_words): the documents' windows of the given lengths; with wanted, a
-    sorted array of hashes, only those whose hash is in it."""
+    """(doc, hash, len, pos, typed, template, slots, n_words): the documents' windows of the given lengths; with wanted, an
+    array of hashes, only those whose hash is in it. Windows of under LEAST words are for items of so many words: they match
+    whole, and those of one or two words only a document that says nothing else."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
+        words, own = Words(), None if wanted is None else Wanted(wanted)
+        for b in pieces(batches):
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not t:
-                    continue
-                plain, typed, _ = words.forms(t)
-                for n in lengths:
-                    if wanted is not None and not any(_hits(rolled(h, n), wanted) for h in (plain, typed)):
-                        continue
-                    own = [(d, h, n, p, ty, te, sl, nw) for h, p, ty, te, sl, nw in _windows(words, t, n)]
-                    if wanted is not None:
-                        ok = _in(np.array([r[1] for r in own], np.int64).view(np.uint64), wanted)
-                        own = [r for r, y in zip(own, ok, strict=True) if y]
-                    rows += own
-                if len(rows) > 50_000:
-                    yield _batch(rows, b.column(0).type, "doc")
-                    rows = []
+            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            forms = words.forms(texts) if own is not None else None
+            for n in lengths:
+                for k in range(len(texts)) if own is None else _texts_with(forms, n, own):
+                    made = [(ids[k], h, n, p, ty, te, sl, nw) for h, p, ty, te, sl, nw in _windows(words, texts[k], n) if n > 2 or nw == n]
+                    if own is not None and made:
+                        ok = own.has(np.array([r[1] for r in made], np.int64).view(np.uint64))
+                        made = [r for r, y in zip(made, ok, strict=True) if y]
+                    rows += made
+                    if len(rows) > 20_000:
+                        yield _batch(rows, b.column(0).type, "doc")
+                        rows = []
             yield _batch(rows, b.column(0).type, "doc")
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(of, f"doc {kind}, {_OUT}")
+    return in_arrow(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), of, f"doc {kind}, {_OUT}")
 
 
-def _in(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(h), bool)
-    at = np.searchsorted(wanted, h)
-    at[at == len(wanted)] = 0
-    return wanted[at] == h
+def _met_by_hash(docs: DataFrame, own: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """The documents that share a window's hash with the items own, for item sets too large to travel: bare hashes meet by a
+    shuffle, and only documents that share one are cut into windows."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in pieces(batches):
+            ids = b.column(0)
+            plain, typed, _, text = words.forms([t or "" for t in b.column(1).to_pylist()])
+            for n in lengths:
+                inside = np.flatnonzero(text[: max(0, len(text) - n + 1)] == text[n - 1 :])
+                for h in (plain, typed):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[inside])), pa.array(rolled(h, n)[inside].view(np.int64))], names=["doc", "hash"])
 
-def _hits(h: np.ndarray, wanted: np.ndarray) -> bool:
-    return bool(_in(h, wanted).any())
+    bare = in_arrow(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), of, f"doc {kind}, hash long")
+    hit = bare.join(own.select("hash").distinct(), "hash", "left_semi").select(F.col("doc").alias(free_name(docs, "doc"))).distinct()
+    return docs.join(hit, docs[id_col] == hit[hit.columns[0]], "left_semi")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -202,17 +242,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     covered is the share of the item's words inside matching windows; rows below `coverage` are left out. reworded is true
     where typed windows with other slot values were needed. Null and empty texts match nothing; rows without id, and items
-    without id or of under LEAST words, are no evidence either. Repeated rows give the result once. Empty tables give an
-    empty result; further columns are ignored.
+    without id, are no evidence either. Repeated rows give the result once. Empty tables give an empty result; further columns
+    are ignored.
     """
     own = item_windows(items, item_col, item_text)
     count = own.limit(MAX_SHIPPED + 1).count()
-    lengths = sorted(r[0] for r in own.select("len").distinct().collect())  # WINDOW - LEAST + 1 at most
+    lengths = sorted(r[0] for r in own.select("len").distinct().collect())  # WINDOW at most
     if count <= MAX_SHIPPED:
-        wanted = np.sort(np.array([r[0] for r in own.select("hash").distinct().collect()], np.int64).view(np.uint64))
+        wanted = np.array([r[0] for r in own.select("hash").distinct().collect()], np.int64).view(np.uint64)
         found = document_windows(docs, lengths, wanted, id_col, text_col)
     else:
-        found = document_windows(docs, lengths, None, id_col, text_col)
+        found = document_windows(_met_by_hash(docs, own, lengths, id_col, text_col), lengths, None, id_col, text_col)
     side = own.select("item", "hash", "len", F.col("pos").alias("at"), "typed", "template", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"))
     met = found.drop("n_words").join(F.broadcast(side) if count <= MAX_SHIPPED // 20 else side, ["hash", "len", "typed", "template"])
     # Windows are judged together over the whole document, over each place where the item may stand (near alignments, as words
@@ -241,8 +281,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs that no item contaminates."""
-    bad = contaminated(docs, items, id_col, text_col, **more).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    name = free_name(docs, "bad")
+    bad = contaminated(docs, items, id_col, text_col, **more).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, docs[id_col] == bad[name], "left_anti")
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
