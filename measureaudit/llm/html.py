@@ -14,16 +14,18 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import in_arrow, pieces, table
 
-#: Pages that train the labeller: those of the smallest hashes of their content. The bound holds for tables of any size.
-TRAIN_PAGES = 160
+#: Pages that train the labeller, those of the smallest hashes of their distinct content, and the stretches of so many blocks
+#: that train it of one page, spread from its start to its end. The bounds hold for tables of any size.
+TRAIN_PAGES, TRAIN_STRETCHES, STRETCH = 160, 2, 80
 HIDDEN, PATH_BITS, WORD_BITS = 12, 8, 6
 _EPOCHS, _BATCH = 24, 32
 
@@ -40,11 +42,11 @@ _BLOCK = frozenset(
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html article section div td th".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
-    re.I | re.S,
-)
+#: What opens markup: a comment, a declaration, or a tag's name.
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<mark>[!?])|(?P<end>/?)(?P<tag>[a-z][^\s/>]*+))", re.I)
+#: The rest of a tag: a quote opens a value only after an equals sign, as browsers read it.
+_REST = re.compile(r"((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _RAW}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+|[0-9]+")
 
@@ -59,51 +61,134 @@ MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
 
+class Node:
+    """An open element: what the path down to it says, kept up to date as elements open, so that depth costs nothing.
+
+    bits are the hashed tags, classes, ids and roles of the path; beside is whether a mark on it says that the text is not main
+    text, inside whether one says that it is, within whether it is in an article or main element."""
+
+    __slots__ = ("tag", "bits", "beside", "inside", "within", "last")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Node | None):
+        self.tag = tag
+        self.bits, self.beside, self.inside, self.within, self.last = (above.bits, above.beside, above.inside, above.within, above.last) if above else (0, False, False, False, "")
+        if above is None or (tag not in _BLOCK and not words):
+            return  # inline elements without marks say nothing
+        self.last = tag
+        for x in (f"<{tag}", *(f".{w}" for w in words)):
+            self.bits |= 1 << _slot(x)
+        own = tag not in MAIN_TAGS and not ASIDE_WORDS.isdisjoint(words)
+        self.beside |= tag in ASIDE_TAGS or own or (tag == "header" and not self.inside)
+        self.inside |= tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words)
+        self.within |= tag in MAIN_TAGS
+
+
+@cache
+def _slot_of_tag(x: str) -> int:
+    return zlib.crc32(x.encode()) >> (32 - PATH_BITS)
+
+
+def _slot(x: str) -> int:
+    return _slot_of_tag(x) if len(x) < 20 and x[0] == "<" else zlib.crc32(x.encode()) >> (32 - PATH_BITS)
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node
     text: str
     linked: int  # characters inside links
 
 
+_ROOT = Node("", (), None)
+
+
+class _Stack:
+    """The open elements, with the places of each name, so that closing one never searches the stack."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        at = len(self.nodes)
+        self.nodes.append(Node(tag, words, self.nodes[-1] if at else _ROOT))
+        self.places.setdefault(tag, []).append(at)
+        if tag in _BLOCK:
+            self.blocks.append(at)
+
+    def top(self) -> Node:
+        return self.nodes[-1] if self.nodes else _ROOT
+
+    def _last(self, names) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def close(self, names: tuple[str, ...], stop: frozenset[str]) -> None:
+        """Close the last element of these names and all in it, unless an element of stop stands in between."""
+        at = self._last(names)
+        if at < 0 or at < ((self.blocks[-1] if self.blocks else -1) if stop is _BLOCK else self._last(stop)):
+            return
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of text in page order; references decoded, white space collapsed, blank blocks left out."""
+    """The leaf blocks of text in page order; references decoded, white space collapsed, blank blocks left out.
+
+    The work is linear in the page, however elements nest and whatever isn't closed: the first tag without an end to be found
+    makes all later quotes ordinary characters, and no markup is looked for after the last closing bracket."""
     if not page:
         return []
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     held: list[str] = []
     at = links = linked = 0
+    last_end, quotes = page.rfind(">"), True
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                found.append(Block(tuple(x for x in stack if x[0] in _BLOCK or x[1]), text, linked))
+                found.append(Block(stack.top(), text, linked))
             held.clear()
         linked = 0
 
-    def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
     unclosed: set[str] = set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            held.append(page[at : m.start()])
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if m.group("comment"):
+            end = page.find("-->", start + 4)
+            end, attrs, tag = (end + 3 if end >= 0 else len(page)), "", None
+        elif m.end() > last_end:
+            break  # nothing ends after this
+        else:
+            tag = m.group("tag")
+            if tag is None:
+                end, attrs = page.find(">", start) + 1, ""
+            else:
+                rest = _REST.match(page, m.end()) if quotes else None
+                if quotes and rest is None:
+                    quotes = False
+                end = rest.end() if rest else page.find(">", m.end()) + 1
+                attrs, tag = page[m.end() : end - 1], tag.lower()
+                if tag in _RAW_END and not m.group("end") and not attrs.endswith("/"):
+                    shut = _RAW_END[tag].search(page, end)
+                    end, tag = (shut.end() if shut else len(page)), None
+                elif tag in _RAW_END and not m.group("end"):
+                    tag = None
+        if start > at:
+            held.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if m.group("tag") is None:
+                linked += start - at
+        at = end
+        if tag is None:
             continue
-        tag = m.group("tag").lower()
         if tag in _HIDDEN and not m.group("end"):
-            if m.group("attrs").endswith("/"):
+            if attrs.endswith("/"):
                 continue
             if tag not in unclosed:
                 if shut := _HIDDEN[tag].search(page, at):
@@ -117,73 +202,52 @@ def blocks(page: str | None) -> list[Block]:
         if m.group("end"):
             if tag == "a":
                 links = max(0, links - 1)
-            close((tag,), frozenset() if tag in _BLOCK else _BLOCK)
+            stack.close((tag,), frozenset() if tag in _BLOCK else _BLOCK)
             continue
         if tag in _VOID:
             continue
         if tag == "a":
             links += 1
         if tag in _BLOCK and tag not in ("body", "html", "option"):
-            close(("p",), _SCOPE)
+            stack.close(("p",), _SCOPE)
         if tag in _ENDS:
-            close(_ENDS[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - set(_ENDS[tag]))
-        attrs = m.group("attrs")
+            stack.close(_ENDS[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - set(_ENDS[tag]))
         words: tuple[str, ...] = ()
         if attrs and ("=" in attrs):
             words = tuple(w.lower() for a in _ATTR.finditer(attrs) for w in _WORDS.findall(a[2] or a[3] or a[4] or ""))
-        stack.append((tag, words))
+        stack.push(tag, words)
     if at < len(page):
         held.append(page[at:])
     flush()
     return found
 
 
-def marked(block: Block) -> bool:
-    """Whether a block's own marks say main text: no mark beside it on its path, and a main mark if the page has any."""
-    inside = False
-    for tag, words in block.path:
-        own = not ASIDE_WORDS.isdisjoint(words) and not (tag in MAIN_TAGS)
-        if tag in ASIDE_TAGS or own or (tag == "header" and not inside):
-            return False
-        inside |= tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words)
-    return True
-
-
 def labels(page: list[Block]) -> np.ndarray:
-    ok = np.array([marked(b) for b in page], bool)
-    main = np.array([any(t in MAIN_TAGS for t, _ in b.path) for b in page], bool)
+    """Which blocks their own marks call main text: no mark beside it on the path, and a main element if the page has any."""
+    ok = np.array([not b.node.beside for b in page], bool)
+    main = np.array([b.node.within for b in page], bool)
     return ok & main if (ok & main).any() else ok
 
 
-_path_rows: dict[tuple, np.ndarray] = {}
 _word_slots: dict[str, int] = {}
 N_MEASURES = 6
 
 
-def _path_row(path: tuple) -> np.ndarray:
-    row = _path_rows.get(path)
-    if row is None:
-        row = np.zeros(1 << PATH_BITS, np.float32)
-        for tag, words in path:
-            row[zlib.crc32(f"<{tag}".encode()) >> (32 - PATH_BITS)] = 1
-            for w in words:
-                row[zlib.crc32(f".{w}".encode()) >> (32 - PATH_BITS)] = 1
-        if path:
-            row[zlib.crc32(f"/{path[-1][0]}".encode()) >> (32 - PATH_BITS)] = 1
-        if len(_path_rows) > 20_000:
-            _path_rows.clear()
-        _path_rows[path] = row
-    return row
+def _path_rows(page: list[Block]) -> np.ndarray:
+    own = [b.node.bits | (1 << _slot(f"/{b.node.last}") if b.node.last else 0) for b in page]
+    packed = np.frombuffer(b"".join(x.to_bytes(1 << PATH_BITS >> 3, "little") for x in own), np.uint8)
+    return np.unpackbits(packed, bitorder="little").reshape(len(page), -1)
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """One row per block: hashed path, hashed words, measures."""
     x = np.zeros((len(page), (1 << PATH_BITS) + (1 << WORD_BITS) + N_MEASURES), np.float32)
     n, p, w = len(page), 1 << PATH_BITS, 1 << WORD_BITS
-    if len(_word_slots) > 300_000:
+    if len(_word_slots) > 100_000:
         _word_slots.clear()
+    if page:
+        x[:, :p] = _path_rows(page)
     for i, b in enumerate(page):
-        x[i, :p] = _path_row(b.path)
         words = b.text.split(" ")
         slots = []
         for s in words:
@@ -342,8 +406,9 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
     """Fit a labeller on the given pages and as many composed ones, and half as many again."""
     rng = np.random.default_rng(seed)
     own = [b for p in pages if (b := blocks(p))]
-    # Blocks, not pages, set the cost of training: the longest pages are cut into stretches.
-    own = [p[i : i + 80] for p in own for i in range(0, min(len(p), 160), 80)]
+    # Blocks, not pages, set the cost of training: long pages give TRAIN_STRETCHES stretches, the first and the last among them.
+    starts = lambda n: sorted({round(k * max(0, n - STRETCH) / (TRAIN_STRETCHES - 1)) for k in range(TRAIN_STRETCHES)})
+    own = [p[i : i + STRETCH] for p in own for i in starts(len(p))]
     texts = sorted({b.text for p in own for b in p if len(b.text) > 3}) or ["text"]
     made = [blocks(composed(texts, rng)) for _ in range(3 * max(len(own), 60) // 2)]
     given = [p for p in own + made if p]
@@ -352,7 +417,11 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
 
 def train_on(pages: DataFrame, html_col: str = "html", bound: int = TRAIN_PAGES) -> Labeller:
     """A labeller trained, in one task, on `bound` pages at most. A table without text trains on composed pages alone."""
-    some = pages.where(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")).orderBy("h", "html").limit(bound)
+    h = F.xxhash64(html_col)
+    filled = pages.where(F.length(html_col) > 0)
+    # Hashes first, so that copies of a page count once and only the chosen pages travel.
+    least = [r.h for r in filled.select(h.alias("h")).distinct().orderBy("h").limit(bound).collect()]
+    some = filled.where(h.isin(least)).select(h.alias("h"), F.col(html_col).alias("html")).dropDuplicates(["h"])
     none = pages.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit("").alias("html"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,15 +444,13 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col
     kind = pages.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                piece = b.slice(i, 256)
-                cut = [blocks(p) for p in piece.column(1).to_pylist()]
-                said = model.scores([vectors(p) for p in cut])
-                texts = ["\n".join([x.text for x, y in zip(p, s, strict=True) if y > threshold]) for p, s in zip(cut, said, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.string())], names=["id", "text"])
-
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(of, f"id {kind}, text string").withColumnRenamed("id", id_col)
+        for b in pieces(batches):
+            cut = [blocks(p) for p in b.column(1).to_pylist()]
+            said = model.scores([vectors(p) for p in cut])
+            texts = ["\n".join([x.text for x, y in zip(p, s, strict=True) if y > threshold]) for p, s in zip(cut, said, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return in_arrow(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), of, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
