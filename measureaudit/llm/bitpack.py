@@ -24,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh_path, table
+from .base import fresh_path, in_arrow, pieces, shipped, table
 
 MAGIC, BLOCK = b"FWB1", 1 << 14
 #: A file is closed once it holds so many ids; its last document is never cut.
 FILE_IDS = 1 << 20
 END_ID = 0
+#: Up to so many files' starts are broadcast; more are joined by a shuffle.
+MAX_SHIPPED_FILES = 100_000
 #: Cached parts of text per worker; beyond it the cache starts anew.
 CACHE = 1_200_000
-_GROUP = 512
 _HEAD = struct.Struct("<4sBIQI")
 
 
@@ -149,8 +150,10 @@ class ByteEncoder:
             some = plain[i : i + 20_000]
             ids = np.array(self.own.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(some):
-                raise ValueError("parts don't start at tokens that open with a space")
+            if len(starts) != len(some):  # parts that the library joins or cuts elsewhere are encoded one by one
+                for p, e in zip(some, self.own.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.cache[p] = np.array(e.ids, "<u4").tobytes()
+                continue
             data, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
             self.cache.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
 
@@ -190,21 +193,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([write_file(ids, held, width)], pa.binary())], names=["part", "seq", "n_ids", "file"]
             )
 
-        for b in batches:
-            for i in range(0, b.num_rows, _GROUP):
-                piece = b.slice(i, _GROUP)
-                for d, x in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    ids.append(d)
-                    held.append(np.append(x, np.uint32(end_id)))
-                    size += len(x) + 1
-                    if size >= FILE_IDS:
-                        yield close()
-                        ids, held, size, seq = [], [], 0, seq + 1
+        for b in pieces(batches):
+            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                ids.append(d)
+                held.append(np.append(x, np.uint32(end_id)))
+                size += len(x) + 1
+                if size >= FILE_IDS:
+                    yield close()
+                    ids, held, size, seq = [], [], 0, seq + 1
         if ids:
             yield close()
 
     laid = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    laid.mapInArrow(of, "part int, seq int, n_ids long, file binary").write.parquet(path)
+    in_arrow(laid, of, "part int, seq int, n_ids long, file binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> DataFrame:
@@ -217,6 +218,7 @@ def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> Da
     inside = files.select("part", "seq", "n_ids")
     from pyspark.sql import Window as W
 
+    # One row per file: broadcast only while these are few.
     before = inside.withColumn("before", F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_ids")
     out = spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {schema}").schema
 
@@ -228,7 +230,7 @@ def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> Da
                 rows = [(d, base[part] + at + int(s), int(e - s), *per_document(all_ids[s:e])) for d, s, e in zip(f.doc_ids, f.starts[:-1], f.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict(dict(zip(out.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_arrow(out))
 
-    return files.select("part", "seq", "file").join(F.broadcast(before) if len(totals) <= 10_000 else before, ["part", "seq"]).select("part", "before", "file").mapInArrow(of, out)
+    return files.select("part", "seq", "file").join(shipped(before, MAX_SHIPPED_FILES), ["part", "seq"]).select("part", "before", "file").mapInArrow(of, out)
 
 
 def _arrow(schema):
