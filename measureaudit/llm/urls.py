@@ -4,11 +4,13 @@ The key of a host writes its labels from the right, each ended by a dot: ``a.exa
 at or under a rule's host share the rule's key as a prefix, so a rule covers one interval of keys, and two rules' intervals
 are nested or apart. URLs are sorted by key within their partition and swept once together with the sorted rules: a rule is
 pushed when the sweep enters its interval and popped when it leaves it. The rules of a host and its parents that are
-active then are tried by path, the longest first.
+active then are tried by path, the longest first: a level of the stack holds its paths by name and their distinct lengths, so
+that a host with many rules costs a URL no more than its paths have lengths.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +26,11 @@ DEFAULT_VERDICT = "allow"
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lowered; empty without ://."""
-    raw = F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit(""))
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -48,10 +53,12 @@ class Sweep:
             own = self.rules[self.at]
             while self.stack and not own[0].startswith(self.stack[-1][0]):
                 self.stack.pop()
-            if self.stack and self.stack[-1][0] == own[0]:
-                self.stack[-1][1].append(own)
-            else:
-                self.stack.append((own[0], [own]))
+            if not self.stack or self.stack[-1][0] != own[0]:
+                self.stack.append((own[0], {}, []))
+            _, paths, sizes = self.stack[-1]
+            paths[own[1]] = max(paths.get(own[1], own), own, key=lambda r: (r[3] == "block", r[2]))
+            if len(own[1]) not in sizes:
+                insort(sizes, len(own[1]))
             self.at += 1
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
@@ -62,11 +69,10 @@ class Sweep:
         if key != self.last:
             self._enter(key)
             self.last = key
-        for _, level in reversed(self.stack):
-            fits = [r for r in level if path.startswith(r[1])]
-            if fits:
-                best = max(fits, key=lambda r: (len(r[1]), r[3] == "block"))
-                return best[2], best[3]
+        for _, paths, sizes in reversed(self.stack):
+            for size in reversed(sizes):
+                if size <= len(path) and (best := paths.get(path[:size])):
+                    return best[2], best[3]
         return None, None
 
 
@@ -81,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     kind = pages.schema[id_col].dataType.simpleString()
     cut_at = F.locate("/", F.col("rule"))
-    host = F.lower(F.when(cut_at > 0, F.substr("rule", F.lit(1), cut_at - 1)).otherwise(F.col("rule")))
+    host = lowered(F.when(cut_at > 0, F.substr("rule", F.lit(1), cut_at - 1)).otherwise(F.col("rule")))
     path = F.when(cut_at > 0, F.substr("rule", cut_at)).otherwise(F.lit("/"))
     laid = rules.where("rule is not null and verdict is not null").select(key_of(host).alias("key"), path.alias("rule_path"), "rule", F.col("verdict").alias("says")).distinct()
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("key", key_of(F.col("host")))
@@ -105,8 +111,11 @@ def _joined(urls: DataFrame, laid: DataFrame, id_col: str, default: str) -> Data
     hosts = urls.select("key").distinct()
     n = F.size(F.split("key", "\\.")) - 1
     ups = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(F.split("key", "\\."), 1, i), "."), F.lit(".")))).alias("up"))
-    near = ups.join(laid.withColumnRenamed("key", "up"), "up").select("key", "up", "rule_path", "rule", "says")
-    fit = urls.select("key", "path").distinct().join(near, "key").where("startswith(path, rule_path)")
+    # A URL's path meets rules by its own prefixes, as long as the paths of the host's rules are.
+    own = laid.withColumnRenamed("key", "up")
+    sizes = own.select("up", F.length("rule_path").alias("size")).distinct()
+    tried = urls.select("key", "path").distinct().join(ups, "key").join(sizes, "up").where(F.length("path") >= F.col("size")).select("key", "path", "up", F.substr("path", F.lit(1), F.col("size")).alias("rule_path"))
+    fit = tried.join(own, ["up", "rule_path"])
     best = fit.groupBy("key", "path").agg(
         F.max_by(F.struct("rule", "says"), F.struct(F.length("up").alias("a"), F.length("rule_path").alias("b"), (F.col("says") == "block").alias("c"), F.col("rule").alias("d"))).alias("best")
     )
