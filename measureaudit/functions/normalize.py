@@ -23,6 +23,18 @@ ELEMENTS = (
 SUFFIXES = ("nps", "ncs", "nanoparticles", "nanozyme", "cds", "nanosheets", "nanorods", "nanotubes", "nanoflowers", "particles", "dots")
 # Unit texts that may follow a quantity.
 UNITS = ("mM", "uM", "µM", "μM", "nM", "M", "nm", "um", "µm", "°C", "℃", "s-1", "s−1", "/s", "K", "%")
+# Short forms of activities, and names of media and shapes, that mean the same when two records are compared.
+COMPARED_ACTIVITIES = {"sod": "superoxide dismutase", "pod": "peroxidase", "cat": "catalase", "gox": "glucose oxidase", "lope": "laccase-like", "oxd": "oxidase"}
+MEDIA = {
+    "acetate buffer": ("naac-hac buffer", "hac-naac buffer", "naac-hac", "hac-naac", "sodium acetate buffer", "na acetate buffer", "sodium acetate", "naac buffer", "naac", "acetate", "acetate buffer solution"),
+    "tris hcl": ("tris-hcl", "tris/hcl buffer", "tris-hcl buffer"),
+    "tris borate": ("tris-borate",),
+    "phosphate buffer": ("pbs", "pbs buffer", "nah2po4 buffer"),
+}
+SHAPES = {
+    "sphere": ("spherical", "spheroidal"), "nanorod": ("rod",), "nanowire": ("wire",), "nanotube": ("tube",), "nanosheet": ("sheet", "nanoflake", "flake", "flake-like"), "nanoplate": ("plate",),
+    "nanoparticle": ("particle",), "nanodendrite": ("nanodendrities",), "nanocube": ("cubic", "cube-like", "cubelike"), "nanobean": ("bean-like", "beanlike"), "nanostar": ("star",), "nanobar": ("bar",),
+}
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 
 
@@ -60,6 +72,26 @@ def activity(c: Column | str) -> Column:
     return F.when(low != "", F.coalesce(lookup(low, ACTIVITIES), lookup(stripped, ACTIVITIES), F.when(stripped != "", stripped)))
 
 
+def _alias(c: Column | str, names: Mapping) -> Column:
+    low = F.lower(blank_to_null(c))
+    return F.coalesce(lookup(low, {a: name for name, others in names.items() for a in others}), low)
+
+
+def medium_alias(c: Column | str) -> Column:
+    return _alias(c, MEDIA)
+
+
+def shape_alias(c: Column | str) -> Column:
+    return _alias(c, SHAPES)
+
+
+def activity_alias(c: Column | str) -> Column:
+    """An activity for comparison: a short form in full, also where it opens a name with "like" in it; else without "-like"."""
+    low = F.lower(blank_to_null(c))
+    opened = [F.when(low.startswith(a) & low.contains("like"), F.lit(name)) for a, name in COMPARED_ACTIVITIES.items()]
+    return F.coalesce(lookup(low, COMPARED_ACTIVITIES), *opened, F.when(low.endswith("-like"), F.trim(F.regexp_replace(low, "-like$", ""))), low)
+
+
 def activity_class(c: Column | str) -> Column:
     s = F.lower(F.coalesce(_col(c), F.lit("")))
     return (
@@ -118,11 +150,10 @@ def condition(c: Column | str) -> Column:
 
 
 def atomic_number(c: Column | str) -> Column:
-    """27 for "Co(27)", "27" and "Co"; null for unknown symbols."""
+    """27 for "Co(27)", "27" and "Co"; null for texts that are no symbol of ATOMIC in their first two characters."""
     s = F.trim(_col(c))
-    symbol = F.regexp_extract(s, "^[A-Z][a-z]?", 0)
-    one = F.substr(symbol, F.lit(1), F.lit(1))
-    return F.coalesce(F.regexp_extract(s, "\\((\\d+)\\)", 1).try_cast("int"), F.when(s.rlike("^\\d+$"), s.try_cast("int")), lookup(symbol, ATOMIC), lookup(one, ATOMIC))
+    own = F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.lower(F.substr(s, F.lit(2), F.lit(1))))
+    return F.coalesce(F.regexp_extract(s, "\\((\\d+)\\)", 1).try_cast("int"), F.when(s.rlike("^\\d+$"), s.try_cast("int")), lookup(own, ATOMIC))
 
 
 def symbol(c: Column | str) -> Column:

@@ -1,9 +1,10 @@
-"""Scoring an extracted table against a reference table: records matched per DOI, fields judged, errors graded."""
+"""Scoring an extracted table against a reference table: records matched per DOI, fields judged, errors graded.
 
-from __future__ import annotations
+Both sides are normalised once per row and joined once on DOI. A pair's field agreements travel as bits of one long, so that
+the best record, the wide and the strict outcome of every field come from two aggregations over that one join.
+"""
 
-from collections.abc import Callable
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,100 +12,153 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 
-TEXT, NUMBERS = ("material", "act", "sub"), ("ph", "t", "km", "vmax")
-FIELDS = (*TEXT, *NUMBERS)
-GROUPS = {"material": "identity", "act": "identity", "sub": "conditions", "ph": "conditions", "t": "conditions", "km": "kinetics", "vmax": "kinetics"}
-Rule = Callable[[str, Column, Column], Column]
+# The fields that are compared, and their groups in reports.
+GROUPS = {
+    "identity": ("material", "act"), "doping": ("doped_n", "doped_p", "doped_s", "doped_b", "doped_f"), "metal": ("metal_type", "metal_ratio", "metal_valence"), "physical": ("shape", "size"),
+    "conditions": ("medium", "ph", "t"), "kinetics": ("km", "vmax"),
+}
+FIELDS = tuple(f for fields in GROUPS.values() for f in fields)
+FLAGS = GROUPS["doping"]
+NUMBERS = ("metal_ratio", "metal_valence", "size", "ph", "t", "km", "vmax")
+#: Fields whose values are given in results, as numbers.
+GIVEN = (*FLAGS, *NUMBERS)
+# Shapes that agree with any other under the agreement rule, and that rule's tolerance of sizes.
+GENERIC_SHAPES, SIZE_TOLERANCE = ("nanoparticle", "polyhedral", "particle"), 0.3
+# Classes of activities that a reference may name in place of one of theirs.
+CLASSES = {
+    "hydrolase": ("phosphodiesterase", "esterase", "protease", "lipase", "nuclease", "glycosidase", "peptidase", "phosphatase", "dnase", "rnase"),
+    "oxidoreductase": ("oxidase", "peroxidase", "catalase", "superoxide dismutase", "ferroxidase", "glucose oxidase"),
+}
 
 
 def _either_inside(a: Column, b: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
-def standard(field: str, g: Column, s: Column) -> Column:
-    """Numbers agree within a tenth of the reference; names by their evaluation key, texts in lower case, one inside the other."""
-    if field in NUMBERS:
-        return F.abs(g - s) / F.greatest(F.abs(g), F.lit(1e-9)) < 0.1
-    if field == "material":
-        return _either_inside(N.evaluation_name(g), N.evaluation_name(s))
-    return _either_inside(F.lower(F.trim(g)), F.lower(F.trim(s)))
-
-
-def relaxed(field: str, g: Column, s: Column) -> Column:
-    """As standard, with temperature and pH within 30 %."""
-    return F.abs(g - s) / F.greatest(F.abs(g), F.lit(1e-9)) < 0.3 if field in ("ph", "t") else standard(field, g, s)
-
-
-def verbatim(field: str, g: Column, s: Column) -> Column:
-    return g == s
-
-
-def _ok(rule: Rule, field: str, g: Column, s: Column) -> Column:
-    return F.coalesce(rule(field, g, s), F.lit(False))
-
-
-def _sides(gold: DataFrame, system: DataFrame) -> tuple[DataFrame, DataFrame]:
-    named = lambda df, p: df.select("doi", N.evaluation_name("material").alias(f"{p}_key"), N.element_set("material").alias(f"{p}_elements"), F.col("rec_id").alias(f"{p}_id"), *[F.col(f).alias(f"{p}_{f}") for f in FIELDS])
-    return named(gold, "g").where("doi <> ''"), named(system, "s")
-
-
-def best_records(gold: DataFrame, system: DataFrame, rule: Rule = standard) -> DataFrame:
-    """(doi, key, g_id, s_id, tier, score): per gold group, by DOI and name key, the system record of its first row.
-
-    Tiers: equal name keys, one key inside the other, any record of the DOI; then the most equal fields, then the first in
-    order of rec_id. Groups of a DOI without system records have null s_id."""
-    g, s = _sides(gold, system)
-    first = g.withColumn("n", F.row_number().over(W.partitionBy("doi", "g_key").orderBy("g_id"))).where("n = 1").drop("n")
-    both = first.join(s, "doi", "left")
-    tier = F.when(F.col("s_id").isNull(), None).when(F.col("g_key") == F.col("s_key"), 1).when((F.col("g_key") != "") & (F.col("s_key") != "") & _either_inside(F.col("g_key"), F.col("s_key")), 2).otherwise(3)
-    score = reduce(lambda a, b: a + b, [_ok(rule, f, F.col(f"g_{f}"), F.col(f"s_{f}")).cast("int") for f in FIELDS])
-    ranked = both.withColumn("tier", tier).withColumn("score", score)
-    place = F.row_number().over(W.partitionBy("doi", "g_key").orderBy("tier", F.desc("score"), "s_id"))
-    return ranked.withColumn("place", place).where("place = 1").select("doi", F.col("g_key").alias("key"), "g_id", "s_id", "tier", "score")
-
-
-def outcomes(gold: DataFrame, system: DataFrame, rule: Rule = standard, any_record: bool = True) -> DataFrame:
-    """(doi, key, field, outcome, strict, gold_value, system_value): one row per gold group and field with a gold value.
-
-    outcome is tp if any row of the group agrees with any system record of a matching name (any_record; else the best one),
-    fn if the best record lacks the value, else fp; strict compares the group's first row with the best record only. Values
-    are numbers, null for text fields."""
-    g, s = _sides(gold, system)
-    best = best_records(gold, system, rule)
-    rows = g.withColumnRenamed("g_key", "key").join(best.select("doi", "key", F.col("g_id").alias("first_id"), F.col("s_id").alias("best_id")), ["doi", "key"])
-    # Names match by key or, with two elements or more, by equal element sets; without any match the best record stands in.
-    met = rows.join(s, "doi", "left")
-    alike = ((F.col("key") != "") & (F.col("s_key") != "") & _either_inside(F.col("key"), F.col("s_key"))) | ((F.size("g_elements") >= 2) & (F.col("g_elements") == F.col("s_elements")))
-    # The group's first row decides which records match.
-    heads = g.withColumnRenamed("g_key", "key").join(best.select("doi", "key", "g_id"), ["doi", "key", "g_id"], "left_semi").select("doi", "key", F.col("g_elements").alias("h_elements"))
-    met = met.join(heads, ["doi", "key"]).drop("g_elements").withColumnRenamed("h_elements", "g_elements").withColumn("alike", F.coalesce(alike, F.lit(False)))
-    met = met.withColumn("own", (F.col("s_id") == F.col("best_id")))
-    agg = [F.max("alike").alias("any_alike")]
-    for f in FIELDS:
-        gv, sv = F.col(f"g_{f}"), F.col(f"s_{f}")
-        same = _ok(rule, f, gv, sv)
-        agg += [
-            F.bool_or(F.coalesce(F.col("alike") & same, F.lit(False))).alias(f"any_{f}"), F.bool_or(F.coalesce(F.col("own") & same, F.lit(False))).alias(f"own_{f}"),
-            F.bool_or(F.coalesce(F.col("own") & same & (F.col("g_id") == F.col("first_id")), F.lit(False))).alias(f"strict_{f}"), F.count(gv).alias(f"n_{f}"),
-            F.max(F.when(F.col("own"), sv.isNotNull())).alias(f"has_{f}"), F.min_by(gv, F.when(gv.isNotNull(), F.col("g_id"))).alias(f"gold_{f}"), F.max(F.when(F.col("own"), sv)).alias(f"sys_{f}"),
-        ]
-    wide = met.groupBy("doi", "key").agg(*agg)
-    number = lambda f, side: F.col(f"{side}_{f}").cast("double") if f in NUMBERS else F.lit(None).cast("double")
-    hit = lambda f: (F.when(F.col("any_alike"), F.col(f"any_{f}")).otherwise(F.col(f"own_{f}")) if any_record else F.col(f"own_{f}"))
-    missing = lambda f: ~F.coalesce(F.col(f"has_{f}"), F.lit(False))
-    judged = lambda c, f: F.when(c, "tp").when(missing(f), "fn").otherwise("fp")
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), judged(hit(f), f).alias("outcome"), judged(F.col(f"strict_{f}"), f).alias("strict"), number(f, "gold").alias("gold_value"), number(f, "sys").alias("system_value"), F.col(f"n_{f}").alias("n")) for f in FIELDS])
-    return wide.select("doi", "key", F.explode(cells).alias("c")).where("c.n > 0").select("doi", "key", "c.field", "c.outcome", "c.strict", "c.gold_value", "c.system_value")
+def _near(g: Column, s: Column, within: float) -> Column:
+    return F.abs(g - s) / F.greatest(F.abs(g), F.lit(1e-9)) < within
+
+
+def standard(f: str) -> Column:
+    """Numbers agree within a tenth of the reference, flags if equal, names and texts if one holds the other once normalised."""
+    g, s = F.col(f"g_{f}"), F.col(f"s_{f}")
+    return F.coalesce(_near(g, s, 0.1) if f in NUMBERS else g == s if f in FLAGS else _either_inside(g, s), F.lit(False))
+
+
+def agreement(f: str) -> Column:
+    """As standard, but metals agree by element, shapes also with a generic word and without aliases, sizes within 30 %."""
+    g, s = F.col(f"g_{f}"), F.col(f"s_{f}")
+    if f == "metal_type":
+        return F.coalesce(F.col("g_metal") == F.col("s_metal"), F.lit(False))
+    if f == "shape":
+        g, s = F.col("g_form"), F.col("s_form")
+        return F.coalesce(g.isin(*GENERIC_SHAPES) | s.isin(*GENERIC_SHAPES) | _either_inside(g, s), F.lit(False)) & g.isNotNull() & s.isNotNull()
+    return F.coalesce(_near(g, s, SIZE_TOLERANCE), F.lit(False)) if f == "size" else standard(f)
+
+
+def normalised(df: DataFrame, p: str) -> DataFrame:
+    """One row per record: doi, and under the prefix p the id, name key, elements and every field in comparable form."""
+    low = lambda c: F.lower(N.blank_to_null(c))
+    metal = F.trim("metal_type")
+    forms = {
+        "key": N.evaluation_name(F.coalesce("material", F.lit(""))), "elements": N.element_set(F.coalesce("material", F.lit(""))), "id": F.col("rec_id"), "material": N.evaluation_name(N.blank_to_null("material")),
+        "act": N.activity_alias("act"), "metal_type": low("metal_type"), "shape": N.shape_alias("shape"), "medium": N.medium_alias("medium"), "metal": F.coalesce(N.atomic_number(metal).cast("string"), metal), "form": low("shape"),
+    }
+    forms |= {f: F.col(f).cast("int") for f in FLAGS} | {f: F.col(f).cast("double") for f in NUMBERS}
+    return df.select("doi", *[c.alias(f"{p}_{name}") for name, c in forms.items()])
+
+
+def alike() -> Column:
+    """Whether a pair's names are of one material: one key in the other, or equal sets of two elements or more."""
+    k, s = F.col("g_key"), F.col("s_key")
+    return F.coalesce(((k != "") & (s != "") & _either_inside(k, s)) | ((F.size("g_elements") >= 2) & (F.col("g_elements") == F.col("s_elements"))), F.lit(False))
+
+
+def _bits(said: dict[str, Column]) -> Column:
+    total = F.lit(0).cast("long")
+    for f, c in said.items():
+        total = total + F.when(c, F.lit(1 << FIELDS.index(f)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return total
+
+
+def groups(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """One row per reference group, by DOI and name key, with its best system record and field bits.
+
+    The best record is chosen by the group's first row: equal name keys, then one key inside the other, then any record of the
+    DOI; then the most equal fields, then the first by id. hit has the fields in which any row of the group agrees with any
+    record of the same material (else with the best one); strict those in which the first row agrees with the best record;
+    agreed those in which any row agrees with it under the agreement rule, own under the standard one; has the values that the
+    best record gives; present those that the group gives. Rows without DOI are left out; groups of a DOI without system
+    records have a null s_id."""
+    g = normalised(gold, "g").where("doi <> ''").repartition("doi")
+    first = F.row_number().over(W.partitionBy("doi", "g_key").orderBy("g_id")) == 1
+    both = g.withColumn("first", first).join(normalised(system, "s"), "doi", "left")
+    # A missing flag agrees with "not doped" where one record is compared with one.
+    absent = {f: F.col(f"s_{f}").isNull() & F.col("s_id").isNotNull() & F.coalesce(F.col(f"g_{f}") == 0, F.lit(False)) for f in FLAGS}
+    single = {f: standard(f) | absent[f] if f in FLAGS else standard(f) for f in FIELDS}
+    tier = F.when(F.col("s_id").isNotNull(), F.when(F.col("g_key") == F.col("s_key"), 1).when((F.col("g_key") != "") & (F.col("s_key") != "") & _either_inside(F.col("g_key"), F.col("s_key")), 2).otherwise(3))
+    marked = both.select(
+        "doi", F.col("g_key").alias("key"), "g_id", "s_id", "first", alike().alias("alike"), tier.alias("tier"), _bits({f: standard(f) for f in FIELDS}).alias("bits"), _bits({f: agreement(f) for f in FIELDS}).alias("agree"),
+        _bits(single).alias("single"), _bits({f: F.col(f"s_{f}").isNotNull() for f in FIELDS}).alias("has"), _bits({f: F.col(f"g_{f}").isNotNull() for f in FIELDS}).alias("present"), *[f"{p}_{f}" for p in "gs" for f in GIVEN],
+    )
+    head = lambda c: F.max(F.when(F.col("first"), F.col(c)))
+    each = marked.groupBy("doi", "key", "s_id").agg(
+        F.bit_or("bits").alias("bits"), F.bit_or("agree").alias("agree"), head("alike").alias("alike"), head("tier").alias("tier"), F.bit_count(head("single")).alias("score"), head("single").alias("single"), F.max("has").alias("has"),
+        F.bit_or("present").alias("present"), head("g_id").alias("g_id"), F.max(F.struct(*[F.col(f"s_{f}").cast("double").alias(f) for f in GIVEN])).alias("said"),
+        F.struct(*[F.min_by(F.col(f"g_{f}").cast("double"), F.when(F.col(f"g_{f}").isNotNull(), F.col("g_id"))).alias(f) for f in GIVEN]).alias("given"),
+    )
+    best = F.min_by(F.struct("s_id", "tier", "score", "single", "bits", "agree", "has", "said"), F.struct("tier", -F.col("score"), "s_id"))
+    whole = each.groupBy("doi", "key").agg(
+        F.max("g_id").alias("g_id"), F.bool_or("alike").alias("any_alike"), F.bit_or(F.when(F.col("alike"), F.col("bits")).otherwise(F.lit(0).cast("long"))).alias("wide"), best.alias("b"), F.max("present").alias("present"), F.max("given").alias("given")
+    )
+    return whole.select(
+        "doi", "key", "g_id", "b.s_id", "b.tier", F.col("b.score").cast("int").alias("score"), F.when(F.col("any_alike"), F.col("wide")).otherwise(F.col("b.bits")).alias("hit"), F.col("b.single").alias("strict"),
+        F.col("b.bits").alias("own"), F.col("b.agree").alias("agreed"), "b.has", "present", "given", "b.said",
+    )
+
+
+def best_records(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """(doi, key, g_id, s_id, tier, score): per reference group the system record of its first row."""
+    return groups(gold, system).select("doi", "key", "g_id", "s_id", "tier", "score")
+
+
+def outcomes(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """(doi, key, field, outcome, strict, own, agreed, s_id, gold_value, system_value): one row per reference group and field
+    that the group gives. An outcome is tp where the rule says that the values agree, fn if the best record lacks the value,
+    else fp. Values are numbers, null for texts."""
+    value = lambda side, f: F.col(f"{side}.{f}") if f in GIVEN else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("i"), value("given", f).alias("gold_value"), value("said", f).alias("system_value")) for i, f in enumerate(FIELDS)])
+    on = lambda c: F.expr(f"shiftright({c}, c.i) & 1 = 1")
+    judged = lambda c: F.when(on(c), "tp").when(on("has"), "fp").otherwise("fn").alias({"hit": "outcome"}.get(c, c))
+    each = groups(gold, system).withColumn("c", F.explode(cells)).where(on("present"))
+    return each.select("doi", "key", "c.field", *map(judged, ("hit", "strict", "own", "agreed")), "s_id", "c.gold_value", "c.system_value")
 
 
 def counts(cells: DataFrame, by: list[str], outcome: str = "outcome") -> DataFrame:
     """tp, fp, fn with precision, recall, F1 and accuracy, per `by`."""
     n = lambda x: F.count_if(F.col(outcome) == x).alias(x)
     c = cells.groupBy(*by).agg(n("tp"), n("fp"), n("fn"))
-    p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    acc = F.try_divide("tp", F.col("tp") + F.col("fp") + F.col("fn"))
-    return c.select(*by, "tp", "fp", "fn", *[F.round(F.coalesce(x, F.lit(0.0)), 6).alias(name) for x, name in ((p, "precision"), (r, "recall"), (f1, "f1"), (acc, "accuracy"))])
+    return c.select(*by, "tp", "fp", "fn", *scores())
+
+
+def scores() -> list[Column]:
+    """precision, recall, F1 and accuracy of the columns tp, fp, fn; 0 where a share has no base."""
+    tp, fp, fn = (F.col(x) for x in ("tp", "fp", "fn"))
+    shares = {"precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "f1": F.try_divide(2 * tp, 2 * tp + fp + fn), "accuracy": F.try_divide(tp, tp + fp + fn)}
+    return [F.round(F.coalesce(x, F.lit(0.0)), 6).alias(name) for name, x in shares.items()]
+
+
+def bundle_edges(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """(doi, g_id, s_id): pairs of one material that agree in activity, pH, T, Km and Vmax as far as the reference, a kinetic
+    row, gives them. A class of activities agrees with each of its members."""
+    g = normalised(gold, "g").where("doi <> '' and (g_km is not null or g_vmax is not null)")
+    act = standard("act")
+    for name, members in CLASSES.items():
+        act = act | ((F.col("g_act") == name) & F.coalesce(F.col("s_act").isin(*members), F.lit(False)))
+    ok = alike() & (F.col("g_act").isNull() | act)
+    for f in ("ph", "t", "km", "vmax"):
+        ok = ok & (F.col(f"g_{f}").isNull() | standard(f))
+    return g.join(normalised(system, "s"), "doi").where(ok).select("doi", "g_id", "s_id")
 
 
 def matching(edges: list[tuple[int, int]]) -> int:

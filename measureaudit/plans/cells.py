@@ -36,7 +36,7 @@ _SPECS = {
     "parse_quantity": ((f"{_K} || ' mM'", f"{_K} || '.5 ± 0.1'", f"'about ' || {_K} || ' units'", "'none'", f"{_K} || 'e-2'", f"{_J} || '.5×10⁻³'"), ("CAST(k AS DOUBLE)", "k + 0.5", "CAST(k AS DOUBLE)", "NULL", "CAST(k || 'e-2' AS DOUBLE)", "CAST(j || '.5e-3' AS DOUBLE)"), N.quantity),
     "parse_size": ((f"{_K} || '-' || cast(k + 10 as string) || ' nm'", f"{_K} || 'nm'", f"{_K} || ' – ' || cast(k + 4 as string)", "''"), ("k + 5.0", "CAST(k AS DOUBLE)", "k + 2.0", "NULL"), N.size),
     "parse_condition": ((f"'pH ' || {_J} || '.5'", f"{_J} || '.5, 7.0'", "'room temperature'", "'Body Temperature'", f"{_J} || '-' || cast(j + 1 as string)", "'n/a'"), ("j + 0.5", "j + 0.5", "25.0", "37.0", "CAST(j AS DOUBLE)", "NULL"), N.condition),
-    "parse_element": (("'Fe'", "'Co(27)'", "'25'", "'Xx'", "'V2O5'"), ("26", "27", "25", "NULL", "23"), N.atomic_number),
+    "parse_element": (("'Fe'", "'Co(27)'", "'25'", "'Xx'", "'V2O5'", "'mn'", "'V'"), ("26", "27", "25", "NULL", "NULL", "25", "23"), N.atomic_number),
     "parse_ratio": ((f"'Mn:Co=1:' || cast(j + 1 as string)", f"{_K} || '%'", _K, "'1:1:2'", "'mixed'"), ("round(1 / (j + 2.0) * 100, 2)", "CAST(k AS DOUBLE)", "CAST(k AS DOUBLE)", "25.0", "NULL"), N.ratio),
     "parse_valence": ((f"'+' || {_J}", f"'Mn2+/Mn' || cast(j as string) || '+'", "'none'"), ("j", "greatest(2, j)", "NULL"), N.valence),
     "parse_flag": (("'yes'", "'N'", "'0'", "''", "'false'", "'1.0'", "'maybe'"), ("1", "1", "0", "NULL", "0", "1", "NULL"), N.flag),

@@ -4,34 +4,61 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixtures import REC, entries, rec
+from ..fixtures import REC, rec
 from ..functions import normalize as N
 from ..operators import evaluate as E
 
 
-def _side(e: DataFrame) -> DataFrame:
-    return e.select("rec_id", "doi", "material", "act", "sub", "ph", "t", F.col("km_mm").alias("km"), F.col("vmax_um_s").alias("vmax"))
+def _by(place: int, *values: str) -> str:
+    """One of the SQL values, by a hex digit of rec_id."""
+    return f"CASE substr(rec_id, {place}, 1) " + " ".join(f"WHEN '{d}' THEN {values[i % len(values)]}" for i, d in enumerate("0123456789abcdef")) + " END"
+
+
+def _some(place: int, other: str, *values: str) -> str:
+    """One of the SQL values by the first hex digits, else other."""
+    return f"CASE substr(rec_id, {place}, 1) " + " ".join(f"WHEN '{i}' THEN {v}" for i, v in enumerate(values)) + f" ELSE {other} END"
+
+
+def _texts(*values: str) -> tuple[str, ...]:
+    return tuple(f"'{v}'" if v else "NULL" for v in values)
+
+
+#: The fields of a curated row, in SQL for both engines; further fields are made from rec_id.
+_GOLD = {
+    "act": "activity_raw", **{f: _by(9 + i, "1", "1", "0", "0", "0", "NULL") for i, f in enumerate(E.FLAGS)}, "metal_type": _by(14, *_texts("Fe", "Mn", "Co", "Pd", "26", "Ce(58)", "Xx", "")),
+    "metal_ratio": _some(15, "size_nm % 10 * 10.0E0", "NULL"), "metal_valence": _by(16, "NULL", "2.0E0", "3.0E0"), "shape": _by(17, *_texts("spherical", "sphere", "rod", "nanorod", "flake-like", "nanosheet", "Cubic", "nanoparticle", "Polyhedral", "star", "dendrite", "")),
+    "size": "size_nm", "medium": _by(18, *_texts("NaAc-HAc buffer", "acetate", "PBS", "phosphate buffer", "Tris-HCl", "tris/hcl buffer", "water", "")), "ph": "ph", "t": "temperature_c", "km": "km_mm", "vmax": "vmax_um_s",
+}
+#: The system's fields: those of the curated row, some missing, some changed.
+_SYSTEM = {
+    "act": _some(26, "activity_raw", *_texts("", "catalase", "Peroxidase-like nanozyme")), **{f: _some(19 + i % 2, f, "NULL", f"1 - {f}") for i, f in enumerate(E.FLAGS)},
+    "metal_type": _some(20, "metal_type", "NULL", "'Cu'", *["CASE metal_type WHEN 'Fe' THEN '26' WHEN 'Co' THEN 'Co(27)' ELSE metal_type END"] * 4), "metal_ratio": _some(21, "metal_ratio", "NULL", "metal_ratio * 1.05E0", "metal_ratio * 1.5E0"),
+    "metal_valence": _some(22, "metal_valence", "NULL", "metal_valence + 1.0E0"), "shape": _some(23, "shape", *_texts("", "nanoparticle", "sphere", "nanosheet")), "size": _some(24, "size", "NULL", "size * 1.2E0", "size * 2.0E0"),
+    "medium": _some(25, "medium", *_texts("", "acetate buffer", "Phosphate Buffer", "tris hcl")), "ph": _some(4, "ph", "NULL", "ph + 2.0E0"), "t": "t", "km": _some(2, "km", "NULL", "km * 1000.0E0", "km * 1.05E0"), "vmax": "vmax",
+}
+_RENAMED = "CASE WHEN substr(rec_id, 3, 1) IN ('0', '1', '2') THEN upper(nanozyme) || ' NPs' ELSE nanozyme END"
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = rec(spark, sf_dir).where("provenance = 'human'")
+    return own.select("rec_id", "nanozyme", N.doi("doi_raw").alias("doi"), "activity_raw", *[F.expr(x).alias(f) for f, x in _GOLD.items() if f != "act"], F.col("activity_raw").alias("act"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _side(entries(spark, sf_dir).where("provenance = 'human'"))
+    return _rows(spark, sf_dir).select("rec_id", "doi", F.col("nanozyme").alias("material"), *_GOLD)
 
 
 def system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture's second side: most curated rows, some renamed, some values missing or shifted."""
-    r = rec(spark, sf_dir).where("provenance = 'human'").where(~F.substr("rec_id", F.lit(1), F.lit(1)).isin("0", "1"))
-    c = lambda i: F.substr("rec_id", F.lit(i), F.lit(1))
-    return r.select(
-        "rec_id", N.doi("doi_raw").alias("doi"), F.when(c(3).isin("0", "1", "2"), F.concat(F.upper("nanozyme"), F.lit(" NPs"))).otherwise(F.col("nanozyme")).alias("material"), N.activity("activity_raw").alias("act"), F.col("substrate").alias("sub"),
-        F.when(c(4) == "0", None).when(c(4) == "1", F.col("ph") + 2.0).otherwise(F.col("ph")).alias("ph"), F.col("temperature_c").alias("t"),
-        F.when(c(2) == "0", None).when(c(2) == "1", F.col("km_mm") * 1000.0).when(c(2) == "2", F.col("km_mm") * 1.05).otherwise(F.col("km_mm")).alias("km"), F.col("vmax_um_s").alias("vmax"),
-    )
+    """The fixture's second side: most curated rows, some renamed, some values missing or changed."""
+    kept = _rows(spark, sf_dir).where("substr(rec_id, 1, 1) not in ('0', '1')")
+    return kept.select("rec_id", "doi", F.expr(_RENAMED).alias("material"), *[F.expr(x).alias(f) for f, x in _SYSTEM.items()])
 
 
-def _cells(spark: SparkSession, sf_dir: str, rule: E.Rule = E.standard, any_record: bool = True) -> DataFrame:
-    return E.outcomes(gold(spark, sf_dir), system(spark, sf_dir), rule, any_record)
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.outcomes(gold(spark, sf_dir), system(spark, sf_dir))
 
 
 def eval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,26 +74,32 @@ def eval_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.counts(_cells(spark, sf_dir).withColumn("part", N.lookup("field", E.GROUPS)), ["part"])
+    return E.counts(_cells(spark, sf_dir).withColumn("part", N.lookup("field", {f: name for name, fields in E.GROUPS.items() for f in fields})), ["part"])
 
 
 def eval_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro and macro scores, the share of groups without a miss, and the Wilson interval of F1 over groups."""
+    """Micro and macro scores, the share of groups without a miss, and the Wilson interval of F1 over groups.
+
+    One pass: counts per field come from one aggregate, the groups and exact groups ride along with the first field."""
     cells = _cells(spark, sf_dir)
-    per_group = cells.groupBy("doi", "key").agg(F.bool_and(F.col("outcome") == "tp").alias("exact"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("tp", "fp", "fn")])
-    total = per_group.agg(F.count("*").alias("n_groups"), F.count_if("exact").alias("n_exact"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
-    f1, n, z = F.col("f1"), F.col("n_groups"), 1.96
+    per_group = cells.groupBy("doi", "key").agg(F.bool_and(F.col("outcome") == "tp").alias("exact"), F.collect_list(F.struct("field", "outcome")).alias("all"))
+    rows = per_group.select("exact", F.posexplode("all").alias("i", "c"))
+    n = lambda x: F.count_if(F.col("c.outcome") == x).alias(x)
+    fields = rows.groupBy("c.field").agg(F.count_if(F.col("i") == 0).alias("groups"), F.count_if((F.col("i") == 0) & F.col("exact")).alias("exact"), n("tp"), n("fp"), n("fn"))
+    sums = [F.sum("groups").alias("n_groups"), F.sum("exact").alias("n_exact"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]]
+    total = fields.select("groups", "exact", "tp", "fp", "fn", *E.scores()).agg(*sums, F.round(F.avg("f1"), 5).alias("macro_f1"))
     scored = total.select("*", (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
-    middle, half = (f1 + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(f1 * (1 - f1) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    macro = E.counts(cells, ["field"]).agg(F.round(F.avg("f1"), 5)).scalar()
-    return scored.select("n_groups", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), macro.alias("macro_f1"), F.round(F.col("n_exact") / n, 6).alias("em"), F.round(middle - half, 6).alias("ci_low"), F.round(middle + half, 6).alias("ci_high"))
+    f1, k, z = F.col("f1"), F.col("n_groups"), 1.96
+    middle, half = (f1 + z * z / (2 * k)) / (1 + z * z / k), z * F.sqrt(f1 * (1 - f1) / k + z * z / (4 * k * k)) / (1 + z * z / k)
+    return scored.select("n_groups", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), "macro_f1", F.round(F.col("n_exact") / k, 6).alias("em"), F.round(middle - half, 6).alias("ci_low"), F.round(middle + half, 6).alias("ci_high"))
 
 
 def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _cells(spark, sf_dir).where("outcome <> 'tp'")
-    dev = F.abs(F.col("system_value") - F.col("gold_value")) / F.greatest(F.abs("gold_value"), F.lit(1e-9)) * 100
+    dev = F.when(F.col("field").isin(*E.NUMBERS), F.abs(F.col("system_value") - F.col("gold_value")) / F.greatest(F.abs("gold_value"), F.lit(1e-9)) * 100)
     kind = F.when(F.col("outcome") == "fn", "field_miss").otherwise("field_mismatch")
-    return bad.select("doi", "key", "field", kind.alias("kind"), "gold_value", "system_value", F.round(F.when(F.col("outcome") == "fp", dev), 4).alias("deviation"), F.when(F.col("outcome") == "fp", F.when(dev < 30, "small_error").when(dev.isNotNull(), "large_error")).alias("subtype"))
+    subtype = F.when(F.col("outcome") == "fn", "missing").when(dev < 30, "small_error").when(dev.isNotNull(), "large_error").otherwise("value_mismatch")
+    return bad.select("doi", "key", "field", kind.alias("kind"), "gold_value", "system_value", F.round(F.when(F.col("outcome") == "fp", dev), 4).alias("deviation"), subtype.alias("subtype"))
 
 
 def eval_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +108,11 @@ def eval_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_dver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of papers with one error at most; by errors and by distinct fields in error."""
-    bad = _cells(spark, sf_dir).where("outcome <> 'tp'").groupBy("doi").agg(F.count("*").alias("n"), F.count_distinct("field").alias("k"))
-    papers = gold(spark, sf_dir).where("doi <> ''").select("doi").distinct().join(bad, "doi", "left")
-    good = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(0)) <= 1)
+    """The share of papers with one error at most; by errors and by distinct fields in error. A paper's fields are few: one
+    aggregate by paper and field comes before that by paper."""
+    fields = _cells(spark, sf_dir).groupBy("doi", "field").agg(F.count_if(F.col("outcome") != "tp").alias("n"))
+    papers = fields.groupBy("doi").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("k"))
+    good = lambda c: F.count_if(F.col(c) <= 1)
     return papers.agg(F.count("*").alias("n_papers"), good("n").alias("n_valid"), good("k").alias("n_valid_fields"), F.round(good("n") / F.count("*"), 6).alias("dver"))
 
 
@@ -89,62 +123,77 @@ def eval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System rows of a reference paper whose material matches no reference row of it, per paper."""
-    g, s = E._sides(gold(spark, sf_dir), system(spark, sf_dir))
-    alike = (F.col("g.g_key").contains(F.col("s.s_key")) | F.col("s.s_key").contains(F.col("g.g_key"))) | ((F.size("g.g_elements") >= 2) & (F.col("g.g_elements") == F.col("s.s_elements")))
-    known = s.join(g.select("doi").distinct(), "doi", "left_semi")
-    lone = known.alias("s").join(g.alias("g"), (F.col("s.doi") == F.col("g.doi")) & alike, "left_anti")
-    return known.groupBy("doi").agg(F.count("*").alias("n_system")).join(lone.groupBy("doi").agg(F.count("*").alias("n_unknown")), "doi", "left").na.fill(0, ["n_unknown"])
+    """Per paper: system rows, and those of them whose material matches no reference row of the paper."""
+    g, s = E.normalised(gold(spark, sf_dir), "g").where("doi <> ''"), E.normalised(system(spark, sf_dir), "s")
+    names = g.select("doi", "g_key", "g_elements").distinct()
+    seen = s.select("doi", "s_id", "s_key", "s_elements").join(names, "doi", "left").groupBy("doi", "s_id").agg(F.bool_or(E.alike()).alias("known"))
+    return seen.groupBy("doi").agg(F.count("*").alias("n_system"), F.count_if(~F.col("known")).alias("n_unknown"))
 
 
 def agreement_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.counts(_cells(spark, sf_dir, E.relaxed, any_record=False), ["field"])
+    """Each field's scores under the agreement rule; groups of papers without system records are left out."""
+    return E.counts(_cells(spark, sf_dir).where("s_id is not null"), ["field"], "agreed")
 
 
 def rule_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all fields under three comparison rules."""
-    a, b, c = (_cells(spark, sf_dir, r, any_record=False).select(F.lit(n).alias("rule"), "outcome") for n, r in (("standard", E.standard), ("relaxed", E.relaxed), ("verbatim", E.verbatim)))
-    return E.counts(a.unionByName(b).unionByName(c), ["rule"])
+    """Scores of all fields under the agreement rule and with values compared as they stand, over the same pairs."""
+    both = _cells(spark, sf_dir).where("s_id is not null").select(F.explode(F.array(F.struct(F.lit("normalised").alias("rule"), F.col("agreed").alias("outcome")), F.struct(F.lit("verbatim").alias("rule"), F.col("own").alias("outcome")))).alias("r"))
+    return E.counts(both.select("r.rule", "r.outcome"), ["rule"])
+
+
+def at_places(values: DataFrame, by: str, places: dict[str, str]) -> DataFrame:
+    """Values of a sorted list by index, not interpolated: by is a column of distinct values with their count n, places names
+    SQL expressions for the index in terms of the list's length `all`. Distinct values are counted by coarse steps first, so
+    that no task sees more of them than a step has."""
+    steps = values.withColumn("step", F.floor(F.col(by) * 1000))
+    total = steps.groupBy("step").agg(F.sum("n").alias("m"))
+    # Steps are few (a thousand to the unit); only their counts go through one task.
+    before = total.select("step", (F.sum("m").over(W.orderBy("step")) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy()).alias("all"))
+    inside = F.sum("n").over(W.partitionBy("step").orderBy(by))
+    placed = steps.join(before, "step").withColumn("end", F.col("before") + inside).withColumn("start", F.col("end") - F.col("n"))
+    hit = lambda x: F.max(F.when(F.expr(f"start <= ({x}) and ({x}) < end"), F.col(by)))
+    return placed.agg(F.max("all").alias("n"), *[hit(x).alias(name) for name, x in places.items()])
+
+
+_AT = "least(`all` - 1, cast(floor({} * `all`) as bigint))"
 
 
 def km_fold_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """|Δ log10 Km| between each reference row and its group's best record; quantiles by index, not interpolated."""
+    """|Δ log10 Km| between each reference row and its group's best record; quantiles by index."""
     g, s = gold(spark, sf_dir), system(spark, sf_dir)
     best = E.best_records(g, s)
     rows = g.select("doi", N.evaluation_name("material").alias("key"), F.col("km").alias("g_km")).join(best, ["doi", "key"]).join(s.select(F.col("rec_id").alias("s_id"), F.col("km").alias("s_km")), "s_id").where("g_km > 0 and s_km > 0")
-    d = rows.select(F.round(F.abs(F.log10("g_km") - F.log10("s_km")), 6).alias("d"))
-    # Equal values are many: the running count is over distinct values.
-    hist = d.groupBy("d").agg(F.count("*").alias("n"))
-    v = hist.agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("v"), F.sum("n").alias("n"), F.max("d").alias("max"))
-    at = lambda p: F.aggregate("v", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("x")), lambda acc, y: F.struct((acc.c + y.n).alias("c"), F.coalesce(acc.x, F.when(acc.c + y.n > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), y.d)).alias("x")), lambda acc: acc.x)
-    return v.select("n", at(0.5).alias("median"), at(0.75).alias("p75"), at(0.9).alias("p90"), "max")
+    d = rows.select(F.round(F.abs(F.log10("g_km") - F.log10("s_km")), 6).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    return at_places(d, "d", {"median": _AT.format(0.5), "p75": _AT.format(0.75), "p90": _AT.format(0.9), "max": "`all` - 1"})
+
+
+def paper_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doi, f1): the mean F1 over the fields that a paper gives, under the agreement rule, to four places."""
+    fields = E.counts(_cells(spark, sf_dir).where("s_id is not null"), ["doi", "field"], "agreed")
+    return fields.groupBy("doi").agg((F.floor(F.avg("f1") * 10000 + 0.5 + 1e-6) / 10000).alias("f1"))
 
 
 def paper_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the papers' accuracies spread over bands."""
-    per = _cells(spark, sf_dir).groupBy("doi").agg((F.count_if(F.col("outcome") == "tp") / F.count("*")).alias("a"))
-    a, band = F.col("a"), F.lit("0.9-1")
-    for top, name in ((0.9, "0.8-0.9"), (0.8, "0.7-0.8"), (0.7, "0.6-0.7"), (0.6, "0.5-0.6"), (0.5, "0-0.5")):
-        band = F.when(a < top, name).otherwise(band)
-    return per.groupBy(band.alias("band")).agg(F.count("*").alias("n_papers"), F.round(F.min("a"), 6).alias("lowest"), F.round(F.avg("a"), 6).alias("mean"))
+    """How the papers' scores spread: mean, extremes, upper median, quartiles and deciles by index, and papers per band."""
+    hist = paper_f1(spark, sf_dir).groupBy("f1").agg(F.count("*").alias("n"))
+    places = {"lowest": "0", "median": "`all` div 2", "q1": "`all` div 4", "q3": "3 * `all` div 4", "highest": "`all` - 1"} | {f"d{k}": _AT.format(k / 10) for k in range(1, 10)}
+    edges = (("b00", 0, 0.5), ("b05", 0.5, 0.6), ("b06", 0.6, 0.7), ("b07", 0.7, 0.8), ("b08", 0.8, 0.9), ("b09", 0.9, 2))
+    bands = hist.agg(F.round(F.sum(F.col("f1") * F.col("n")) / F.sum("n"), 5).alias("mean"), *[F.sum(F.when((F.col("f1") >= lo) & (F.col("f1") < hi), F.col("n")).otherwise(0)).alias(b) for b, lo, hi in edges])
+    return at_places(hist, "f1", places).crossJoin(bands)  # two single rows
 
 
 def bundle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per paper, the largest one-to-one matching of reference and system rows that agree in all fields given."""
-    g, s = E._sides(gold(spark, sf_dir), system(spark, sf_dir))
-    same = None
-    for f in ("material", "act", "ph", "t", "km", "vmax"):
-        gv, sv = F.col(f"g_{f}"), F.col(f"s_{f}")
-        ok = gv.isNull() | F.coalesce(E.standard(f, gv, sv), F.lit(False))
-        same = ok if same is None else same & ok
-    edges = g.join(s, "doi").where(same).select("doi", "g_id", "s_id")
+    """Per paper, its kinetic reference rows and the largest one-to-one matching with system rows of equal values."""
+    g = gold(spark, sf_dir)
+    edges = E.bundle_edges(g, system(spark, sf_dir))
 
     def of(frames: pd.DataFrame) -> pd.DataFrame:
         a, b = pd.factorize(frames["g_id"], sort=True)[0], pd.factorize(frames["s_id"], sort=True)[0]
         return pd.DataFrame({"doi": [frames["doi"].iloc[0]], "n_matched": [E.matching(list(zip(a.tolist(), b.tolist(), strict=True)))]})
 
     made = edges.groupBy("doi").applyInPandas(of, "doi string, n_matched long")
-    return g.groupBy("doi").agg(F.count("*").alias("n_gold")).join(made, "doi", "left").na.fill(0, ["n_matched"])
+    kinetic = g.where("doi <> '' and (km is not null or vmax is not null)").groupBy("doi").agg(F.count("*").alias("n_gold"))
+    return kinetic.join(made, "doi", "left").na.fill(0, ["n_matched"]).withColumn("rate", F.round(F.col("n_matched") / F.col("n_gold"), 6))
 
 
 def _key_sql(c: str) -> str:
@@ -161,64 +210,78 @@ def _elements_sql(c: str) -> str:
     return f"list_sort(list_distinct(regexp_extract_all({bare}, '{'|'.join(N.ELEMENTS)}')))"
 
 
-def _same(rule: str, f: str) -> str:
-    if rule == "verbatim":
-        return f"coalesce(g_{f} = s_{f}, false)"
-    if f in E.NUMBERS:
-        tol = 0.3 if rule == "relaxed" and f in ("ph", "t") else 0.1
-        return f"coalesce(abs(g_{f} - s_{f}) / greatest(abs(g_{f}), 1e-9) < {tol}, false)"
-    a, b = ("g_key", "s_key") if f == "material" else (f"lower(trim(g_{f}))", f"lower(trim(s_{f}))")
-    return f"coalesce(contains({a}, {b}) OR contains({b}, {a}), false)"
-
-
-_SIDES = f""", n AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(trim(doi_raw), '^(?i)https?://(dx\\.)?doi\\.org/', ''), '^(?i)doi:\\s*', ''), '\\.+$', '')) AS doi,
-  CASE activity_raw WHEN 'POD' THEN 'peroxidase' WHEN 'Peroxidase-like' THEN 'peroxidase' WHEN 'oxidase' THEN 'oxidase' WHEN 'catalase like' THEN 'catalase' WHEN 'SOD' THEN 'superoxide dismutase' ELSE 'glutathione peroxidase' END AS act
-  FROM rec WHERE provenance = 'human'),
-g AS (SELECT doi, {_key_sql("nanozyme")} AS g_key, {_elements_sql("nanozyme")} AS g_elements, rec_id AS g_id, nanozyme AS g_material, act AS g_act, substrate AS g_sub, ph AS g_ph, temperature_c AS g_t, km_mm AS g_km, vmax_um_s AS g_vmax FROM n WHERE doi <> ''),
-s0 AS (SELECT *, CASE WHEN substr(rec_id, 3, 1) IN ('0', '1', '2') THEN upper(nanozyme) || ' NPs' ELSE nanozyme END AS m FROM n WHERE substr(rec_id, 1, 1) NOT IN ('0', '1')),
-s AS (SELECT doi, {_key_sql("m")} AS s_key, {_elements_sql("m")} AS s_elements, rec_id AS s_id, m AS s_material, act AS s_act, substrate AS s_sub,
-  CASE substr(rec_id, 4, 1) WHEN '0' THEN NULL WHEN '1' THEN ph + 2.0 ELSE ph END AS s_ph, temperature_c AS s_t,
-  CASE substr(rec_id, 2, 1) WHEN '0' THEN NULL WHEN '1' THEN km_mm * 1000.0 WHEN '2' THEN km_mm * 1.05 ELSE km_mm END AS s_km, vmax_um_s AS s_vmax FROM s0)"""
+_DOI = "lower(regexp_replace(regexp_replace(regexp_replace(trim(doi_raw), '^(?i)https?://(dx\\.)?doi\\.org/', ''), '^(?i)doi:\\s*', ''), '\\.+$', ''))"
+# What the fixture's spellings mean, said anew.
+_MEANS = {
+    "act": "CASE lower({0}) WHEN 'pod' THEN 'peroxidase' WHEN 'peroxidase-like' THEN 'peroxidase' WHEN 'catalase like' THEN 'catalase' WHEN 'sod' THEN 'superoxide dismutase' ELSE lower({0}) END",
+    "shape": "CASE lower({0}) WHEN 'spherical' THEN 'sphere' WHEN 'rod' THEN 'nanorod' WHEN 'flake-like' THEN 'nanosheet' WHEN 'cubic' THEN 'nanocube' WHEN 'star' THEN 'nanostar' ELSE lower({0}) END",
+    "medium": "CASE lower({0}) WHEN 'naac-hac buffer' THEN 'acetate buffer' WHEN 'acetate' THEN 'acetate buffer' WHEN 'pbs' THEN 'phosphate buffer' WHEN 'tris-hcl' THEN 'tris hcl' WHEN 'tris/hcl buffer' THEN 'tris hcl' ELSE lower({0}) END",
+    "metal_type": "lower({0})",
+}
+_METAL = "CASE {0} WHEN 'Fe' THEN '26' WHEN 'Mn' THEN '25' WHEN 'Co' THEN '27' WHEN 'Co(27)' THEN '27' WHEN 'Pd' THEN '46' WHEN 'Ce(58)' THEN '58' WHEN 'Cu' THEN '29' ELSE {0} END"
 
 
-def _best(rule: str) -> str:
-    score = " + ".join(f"CAST({_same(rule, f)} AS INTEGER)" for f in E.FIELDS)
-    return f""", head AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doi, g_key ORDER BY g_id) = 1),
-pairs AS (SELECT head.doi, g_key, g_id, s_id, CASE WHEN s_id IS NULL THEN NULL WHEN g_key = s_key THEN 1 WHEN g_key <> '' AND s_key <> '' AND (contains(g_key, s_key) OR contains(s_key, g_key)) THEN 2 ELSE 3 END AS tier, {score} AS score
-  FROM head LEFT JOIN s ON head.doi = s.doi),
-best AS (SELECT doi, g_key AS key, g_id, s_id, tier, score FROM pairs QUALIFY row_number() OVER (PARTITION BY doi, g_key ORDER BY tier, score DESC, s_id) = 1)"""
+def _side_sql(p: str, material: str, source: str) -> str:
+    fields = [f"{_MEANS.get(f, '{0}').format(f)} AS {p}_{f}" for f in E.FIELDS if f != "material"]
+    return f"SELECT doi, rec_id AS {p}_id, {_key_sql(material)} AS {p}_key, {_elements_sql(material)} AS {p}_elements, {_key_sql(material)} AS {p}_material, {', '.join(fields)}, {_METAL.format('metal_type')} AS {p}_metal, lower(shape) AS {p}_form FROM {source}"
 
 
-def _outcomes(rule: str, any_record: bool) -> str:
+def _same(f: str, rule: str = "standard") -> str:
+    if rule == "agreed" and f == "metal_type":
+        return "coalesce(g_metal = s_metal, false)"
+    if rule == "agreed" and f == "shape":
+        generic = "('nanoparticle', 'polyhedral', 'particle')"
+        return f"coalesce(g_form IN {generic} OR s_form IN {generic} OR contains(g_form, s_form) OR contains(s_form, g_form), false) AND g_form IS NOT NULL AND s_form IS NOT NULL"
+    if f in E.NUMBERS:
+        return f"coalesce(abs(g_{f} - s_{f}) / greatest(abs(g_{f}), 1e-9) < {0.3 if rule == 'agreed' and f == 'size' else 0.1}, false)"
+    if f in E.FLAGS:
+        return f"coalesce(g_{f} = s_{f}, false)" + (f" OR (s_id IS NOT NULL AND s_{f} IS NULL AND coalesce(g_{f} = 0, false))" if rule == "single" else "")
+    return f"coalesce(contains(g_{f}, s_{f}) OR contains(s_{f}, g_{f}), false)"
+
+
+_ALIKE = "coalesce((g_key <> '' AND s_key <> '' AND (contains(g_key, s_key) OR contains(s_key, g_key))) OR (len(g_elements) >= 2 AND g_elements = s_elements), false)"
+_SIDES = f""", n AS (SELECT rec_id, nanozyme, activity_raw, {_DOI} AS doi, {", ".join(f"{x} AS {f}" for f, x in _GOLD.items())} FROM rec WHERE provenance = 'human'),
+g AS ({_side_sql("g", "nanozyme", "n")} WHERE doi <> ''),
+sys0 AS (SELECT rec_id, doi, {_RENAMED} AS renamed, {", ".join(f"{x} AS {f}" for f, x in _SYSTEM.items())} FROM n WHERE substr(rec_id, 1, 1) NOT IN ('0', '1')),
+s AS ({_side_sql("s", "renamed", "sys0")})"""
+_SCORE = " + ".join(f"CAST({_same(f, 'single')} AS INTEGER)" for f in E.FIELDS)
+_BEST = f""", head AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doi, g_key ORDER BY g_id) = 1),
+pairs AS (SELECT head.*, s.* EXCLUDE (doi), CASE WHEN s_id IS NULL THEN NULL WHEN g_key = s_key THEN 1 WHEN g_key <> '' AND s_key <> '' AND (contains(g_key, s_key) OR contains(s_key, g_key)) THEN 2 ELSE 3 END AS tier FROM head LEFT JOIN s ON head.doi = s.doi),
+ranked AS (SELECT *, {_SCORE} AS score FROM pairs),
+first AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY doi, g_key ORDER BY tier, score DESC, s_id) = 1),
+best AS (SELECT doi, g_key AS key, g_id, s_id, tier, score FROM first)"""
+
+
+def _outcomes() -> str:
     aggs, cells = [], []
     for f in E.FIELDS:
-        same = _same(rule, f)
-        aggs.append(f"bool_or(alike AND {same}) AS any_{f}, bool_or(own AND {same}) AS own_{f}, bool_or(own AND first AND {same}) AS strict_{f}, count(g_{f}) AS n_{f}, coalesce(bool_or(own AND s_{f} IS NOT NULL), false) AS has_{f}, arg_min(g_{f}, g_id) FILTER (g_{f} IS NOT NULL) AS gold_{f}, max(s_{f}) FILTER (own) AS sys_{f}")
-        hit = f"CASE WHEN any_alike THEN any_{f} ELSE own_{f} END" if any_record else f"own_{f}"
-        judged = lambda c, f=f: f"CASE WHEN coalesce({c}, false) THEN 'tp' WHEN NOT has_{f} THEN 'fn' ELSE 'fp' END"
-        value = lambda side, f=f: f"{side}_{f}" if f in E.NUMBERS else "CAST(NULL AS DOUBLE)"
-        cells.append(f"SELECT doi, key, '{f}' AS field, {judged(hit)} AS outcome, {judged(f'strict_{f}')} AS strict, {value('gold')} AS gold_value, {value('sys')} AS system_value FROM wide WHERE n_{f} > 0")
-    return f""", met AS (SELECT g.*, s.s_id, s_key, {", ".join("s_" + f for f in E.FIELDS)}, coalesce(g.g_id = best.g_id, false) AS first, coalesce(s.s_id = best.s_id, false) AS own,
+        value = lambda c, f=f: f"CAST({c} AS DOUBLE)" if f in E.GIVEN else "CAST(NULL AS DOUBLE)"
+        aggs.append(f"bool_or(alike AND {_same(f)}) AS any_{f}, bool_or(own AND {_same(f)}) AS own_{f}, bool_or(own AND ({_same(f, 'agreed')})) AS agreed_{f}, bool_or(own AND head AND ({_same(f, 'single')})) AS strict_{f}, count(g_{f}) AS n_{f}, coalesce(bool_or(own AND s_{f} IS NOT NULL), false) AS has_{f}, arg_min({value(f'g_{f}')}, g_id) FILTER (g_{f} IS NOT NULL) AS gold_{f}, max({value(f's_{f}')}) FILTER (own) AS sys_{f}")
+        judged = lambda c, f=f: f"CASE WHEN coalesce({c}, false) THEN 'tp' WHEN has_{f} THEN 'fp' ELSE 'fn' END"
+        cells.append(f"SELECT doi, key, '{f}' AS field, {judged(f'CASE WHEN any_alike THEN any_{f} ELSE own_{f} END')} AS outcome, {judged(f'strict_{f}')} AS strict, {judged(f'own_{f}')} AS own, {judged(f'agreed_{f}')} AS agreed, best_id AS s_id, gold_{f} AS gold_value, sys_{f} AS system_value FROM wide WHERE n_{f} > 0")
+    return f""", met AS (SELECT g.*, s.* EXCLUDE (doi), best.s_id AS best_id, g.g_id = best.g_id AS head, coalesce(s.s_id = best.s_id, false) AS own,
   coalesce((g.g_key <> '' AND s_key <> '' AND (contains(g.g_key, s_key) OR contains(s_key, g.g_key))) OR (len(head.g_elements) >= 2 AND head.g_elements = s_elements), false) AS alike
   FROM g JOIN best ON g.doi = best.doi AND g.g_key = best.key JOIN head ON head.doi = g.doi AND head.g_key = g.g_key LEFT JOIN s ON g.doi = s.doi),
-wide AS (SELECT doi, g_key AS key, bool_or(alike) AS any_alike, {", ".join(aggs)} FROM met GROUP BY 1, 2),
+wide AS (SELECT doi, g_key AS key, max(best_id) AS best_id, bool_or(alike) AS any_alike, {", ".join(aggs)} FROM met GROUP BY 1, 2),
 o AS ({" UNION ALL ".join(cells)})"""
 
 
-def _sql(body: str, rule: str = "standard", any_record: bool = True, cells: bool = True) -> str:
-    return f"WITH {REC}{_SIDES}{_best(rule)}{_outcomes(rule, any_record) if cells else ''}\n{body}"
+def _sql(body: str, cells: bool = True) -> str:
+    return f"WITH {REC}{_SIDES}{_BEST}{_outcomes() if cells else ''}\n{body}"
 
 
-def _counts(by: str, source: str = "o", outcome: str = "outcome") -> str:
+def _counts(by: str, source: str = "o", outcome: str = "outcome", where: str = "true", n: int = 1) -> str:
     tp, fp, fn = (f"count(*) FILTER ({outcome} = '{x}')" for x in ("tp", "fp", "fn"))
     return f"""SELECT {by}, {tp} AS tp, {fp} AS fp, {fn} AS fn, round(coalesce({tp} / nullif({tp} + {fp}, 0), 0), 6) AS precision, round(coalesce({tp} / nullif({tp} + {fn}, 0), 0), 6) AS recall,
-      round(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0), 6) AS f1, round(coalesce({tp} / nullif(count(*), 0), 0), 6) AS accuracy FROM {source} GROUP BY 1"""
+      round(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0), 6) AS f1, round(coalesce({tp} / nullif(count(*), 0), 0), 6) AS accuracy FROM {source} WHERE {where} GROUP BY {", ".join(map(str, range(1, n + 1)))}"""
 
 
-_ERR = """, er AS (SELECT doi, key, field, CASE outcome WHEN 'fn' THEN 'field_miss' ELSE 'field_mismatch' END AS kind, gold_value, system_value,
-  CASE WHEN outcome = 'fp' THEN abs(system_value - gold_value) / greatest(abs(gold_value), 1e-9) * 100 END AS dev FROM o WHERE outcome <> 'tp')"""
-_ERRS = "CASE WHEN dev < 30 THEN 'small_error' WHEN dev IS NOT NULL THEN 'large_error' END"
-_PARTS = " ".join(f"WHEN '{f}' THEN '{p}'" for f, p in E.GROUPS.items())
+_NUMBER = ", ".join(f"'{f}'" for f in E.NUMBERS)
+_ERR = f""", er AS (SELECT doi, key, field, CASE outcome WHEN 'fn' THEN 'field_miss' ELSE 'field_mismatch' END AS kind, gold_value, system_value, outcome,
+  CASE WHEN outcome = 'fp' AND field IN ({_NUMBER}) THEN abs(system_value - gold_value) / greatest(abs(gold_value), 1e-9) * 100 END AS dev FROM o WHERE outcome <> 'tp')"""
+_ERRS = "CASE WHEN outcome = 'fn' THEN 'missing' WHEN dev < 30 THEN 'small_error' WHEN dev IS NOT NULL THEN 'large_error' ELSE 'value_mismatch' END"
+_PARTS = " ".join(f"WHEN '{f}' THEN '{p}'" for p, fields in E.GROUPS.items() for f in fields)
+_PLACE = "l[1 + least(n - 1, CAST(floor({} * n) AS BIGINT))]"
 
 QUERIES = {f.__name__: f for f in (eval_match, eval_fields, eval_strict, eval_groups, eval_overall, eval_errors, eval_failure_modes, eval_dver, eval_coverage, eval_diagnostics, agreement_side, rule_sensitivity, km_fold_quantiles, paper_dispersion, bundle_match)}
 ORACLES = {
@@ -234,17 +297,12 @@ ORACLES = {
     "eval_failure_modes": _sql(_ERR + f" SELECT field, count(*) FILTER (kind = 'field_miss') AS missing, count(*) FILTER ({_ERRS} = 'large_error') AS large_error, count(*) FILTER ({_ERRS} = 'small_error') AS small_error, count(*) AS total FROM er WHERE field IN ('km', 'vmax') GROUP BY 1"),
     "eval_dver": _sql(", bad AS (SELECT doi, count(*) AS n, count(DISTINCT field) AS k FROM o WHERE outcome <> 'tp' GROUP BY 1), p AS (SELECT d.doi, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM (SELECT DISTINCT doi FROM g) AS d LEFT JOIN bad ON d.doi = bad.doi) SELECT count(*) AS n_papers, count(*) FILTER (n <= 1) AS n_valid, count(*) FILTER (k <= 1) AS n_valid_fields, round(count(*) FILTER (n <= 1) / count(*), 6) AS dver FROM p"),
     "eval_coverage": _sql("SELECT (SELECT count(DISTINCT doi) FROM g) AS gold_dois, (SELECT count(DISTINCT doi) FROM s) AS system_dois, (SELECT count(DISTINCT doi) FROM g WHERE doi NOT IN (SELECT doi FROM s)) AS zero_dois", cells=False),
-    "eval_diagnostics": _sql("SELECT doi, count(*) AS n_system, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g WHERE g.doi = s.doi AND (contains(g_key, s_key) OR contains(s_key, g_key) OR (len(g_elements) >= 2 AND g_elements = s_elements)))) AS n_unknown FROM s WHERE doi IN (SELECT doi FROM g) GROUP BY 1", cells=False),
-    "agreement_side": _sql(_counts("field"), "relaxed", False),
-    "km_fold_quantiles": _sql(""", d AS (SELECT round(abs(log10(g_km) - log10(s_km)), 6) AS d FROM g JOIN best ON g.doi = best.doi AND g.g_key = best.key JOIN s ON s.s_id = best.s_id WHERE g_km > 0 AND s_km > 0), l AS (SELECT list(d ORDER BY d) AS l, count(*) AS n FROM d)
-      SELECT n, l[1 + least(n - 1, CAST(floor(0.5 * n) AS BIGINT))] AS median, l[1 + least(n - 1, CAST(floor(0.75 * n) AS BIGINT))] AS p75, l[1 + least(n - 1, CAST(floor(0.9 * n) AS BIGINT))] AS p90, l[-1] AS max FROM l""", cells=False),
-    "paper_dispersion": _sql("SELECT CASE WHEN a < 0.5 THEN '0-0.5' WHEN a < 0.6 THEN '0.5-0.6' WHEN a < 0.7 THEN '0.6-0.7' WHEN a < 0.8 THEN '0.7-0.8' WHEN a < 0.9 THEN '0.8-0.9' ELSE '0.9-1' END AS band, count(*) AS n_papers, round(min(a), 6) AS lowest, round(avg(a), 6) AS mean FROM (SELECT doi, count(*) FILTER (outcome = 'tp') / count(*) AS a FROM o GROUP BY 1) GROUP BY 1"),
+    "eval_diagnostics": _sql(f"SELECT doi, count(*) AS n_system, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g WHERE g.doi = s.doi AND {_ALIKE})) AS n_unknown FROM s GROUP BY 1", cells=False),
+    "agreement_side": _sql(_counts("field", outcome="agreed", where="s_id IS NOT NULL")),
+    "rule_sensitivity": _sql(_counts("rule", "(SELECT 'normalised' AS rule, agreed AS v, s_id FROM o UNION ALL SELECT 'verbatim', own, s_id FROM o)", "v", "s_id IS NOT NULL")),
+    "km_fold_quantiles": _sql(f""", d AS (SELECT round(abs(log10(g_km) - log10(s_km)), 6) AS d FROM g JOIN best ON g.doi = best.doi AND g.g_key = best.key JOIN s ON s.s_id = best.s_id WHERE g_km > 0 AND s_km > 0), l AS (SELECT list(d ORDER BY d) AS l, count(*) AS n FROM d)
+      SELECT n, {_PLACE.format(0.5)} AS median, {_PLACE.format(0.75)} AS p75, {_PLACE.format(0.9)} AS p90, l[-1] AS max FROM l""", cells=False),
+    "paper_dispersion": _sql(f""", f AS ({_counts("doi, field", outcome="agreed", where="s_id IS NOT NULL", n=2)}), p AS (SELECT doi, floor(avg(f1) * 10000 + 0.5 + 1e-6) / 10000 AS a FROM f GROUP BY 1),
+      l AS (SELECT list(a ORDER BY a) AS l, count(*) AS n, round(avg(a), 5) AS mean, {", ".join(f"count(*) FILTER (a >= {lo} AND a < {hi}) AS {b}" for b, lo, hi in (("b00", 0, 0.5), ("b05", 0.5, 0.6), ("b06", 0.6, 0.7), ("b07", 0.7, 0.8), ("b08", 0.8, 0.9), ("b09", 0.9, 2)))} FROM p)
+      SELECT n, mean, b00, b05, b06, b07, b08, b09, l[1] AS lowest, l[1 + n // 2] AS median, l[1 + n // 4] AS q1, l[1 + 3 * n // 4] AS q3, l[-1] AS highest, {", ".join(f"{_PLACE.format(k / 10)} AS d{k}" for k in range(1, 10))} FROM l"""),
 }
-
-
-def _sensitivity_sql() -> str:
-    parts = [f"SELECT '{n}' AS rule, * FROM ({_sql('SELECT outcome FROM o', n, False)}) AS {n}" for n in ("standard", "relaxed", "verbatim")]
-    return _counts("rule", "(" + " UNION ALL ".join(parts) + ")")
-
-
-ORACLES["rule_sensitivity"] = _sensitivity_sql()
