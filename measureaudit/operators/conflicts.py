@@ -24,14 +24,14 @@ def clustered(values: DataFrame) -> DataFrame:
     return values.where("ph is not null and t is not null").join(named.drop("n"), [*KEYS, "ph", "t"])
 
 
-def conflict_clusters(values: DataFrame) -> DataFrame:
+def conflict_clusters(values: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Clusters that two papers or more report, with two positive values or more: their range, spread, fold and severity.
 
     spread is (max - min) / median of the positive values, fold is max / min. n_papers counts the papers of all rows of the
-    cluster, n_values its positive values.
+    cluster, n_values its positive values. rows are the values with their clusters, where these are at hand.
     """
     positive = F.when(F.col("value") > 0, F.col("value"))
-    grouped = clustered(values).groupBy(*KEYS, "c_ph", "c_t").agg(
+    grouped = (clustered(values) if rows is None else rows).groupBy(*KEYS, "c_ph", "c_t").agg(
         F.count(positive).alias("n_values"), F.count_distinct("paper").alias("n_papers"), F.min(positive).alias("min_value"), F.max(positive).alias("max_value"), F.median(positive).alias("median_value"),
         F.min_by("material", "rec_id").alias("material"), F.median("ph").alias("ph"), F.median("t").alias("t"), F.max((F.col("doi") == "").cast("int")).alias("has_no_doi"),
     )

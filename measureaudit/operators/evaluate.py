@@ -39,33 +39,52 @@ def _near(g: Column, s: Column, within: float) -> Column:
     return F.abs(g - s) / F.greatest(F.abs(g), F.lit(1e-9)) < within
 
 
+def _value(side: str, f: str) -> Column:
+    return F.get(F.col(f"{side}_values"), GIVEN.index(f))
+
+
 def standard(f: str) -> Column:
     """Numbers agree within a tenth of the reference, flags if equal, names and texts if one holds the other once normalised."""
-    g, s = F.col(f"g_{f}"), F.col(f"s_{f}")
-    return F.coalesce(_near(g, s, 0.1) if f in NUMBERS else g == s if f in FLAGS else _either_inside(g, s), F.lit(False))
+    if f in GIVEN:
+        g, s = _value("g", f), _value("s", f)
+        return F.coalesce(g == s if f in FLAGS else _near(g, s, 0.1), F.lit(False))
+    return F.coalesce(_either_inside(F.col(f"g_{f}"), F.col(f"s_{f}")), F.lit(False))
+
+
+#: What the agreement rule says otherwise: metals agree by element, shapes also with a generic word and without aliases, sizes
+#: within 30 %.
+def _agreement() -> dict[str, Column]:
+    g, s = F.col("g_form"), F.col("s_form")
+    return {
+        "metal_type": F.coalesce(F.col("g_metal") == F.col("s_metal"), F.lit(False)),
+        "shape": F.coalesce((g.isin(*GENERIC_SHAPES) & s.isNotNull()) | (s.isin(*GENERIC_SHAPES) & g.isNotNull()) | _either_inside(g, s), F.lit(False)),
+        "size": F.coalesce(_near(_value("g", "size"), _value("s", "size"), SIZE_TOLERANCE), F.lit(False)),
+    }
+
 
+def _mask(fields) -> int:
+    return sum(1 << FIELDS.index(f) for f in fields)
 
-def agreement(f: str) -> Column:
-    """As standard, but metals agree by element, shapes also with a generic word and without aliases, sizes within 30 %."""
-    g, s = F.col(f"g_{f}"), F.col(f"s_{f}")
-    if f == "metal_type":
-        return F.coalesce(F.col("g_metal") == F.col("s_metal"), F.lit(False))
-    if f == "shape":
-        g, s = F.col("g_form"), F.col("s_form")
-        return F.coalesce(g.isin(*GENERIC_SHAPES) | s.isin(*GENERIC_SHAPES) | _either_inside(g, s), F.lit(False)) & g.isNotNull() & s.isNotNull()
-    return F.coalesce(_near(g, s, SIZE_TOLERANCE), F.lit(False)) if f == "size" else standard(f)
+
+def _bits(said: dict[str, Column]) -> Column:
+    total = F.lit(0).cast("long")
+    for f, c in said.items():
+        total = total + F.when(c, F.lit(_mask([f])).cast("long")).otherwise(F.lit(0).cast("long"))
+    return total
 
 
 def normalised(df: DataFrame, p: str) -> DataFrame:
-    """One row per record: doi, and under the prefix p the id, name key, elements and every field in comparable form."""
+    """One row per record: doi, and under the prefix p the id, name key, elements and every field in comparable form; values has
+    the fields of GIVEN, has the bits of the fields that are given, zero those of flags that are 0."""
     low = lambda c: F.lower(N.blank_to_null(c))
     metal = F.trim("metal_type")
     forms = {
-        "key": N.evaluation_name(F.coalesce("material", F.lit(""))), "elements": N.element_set(F.coalesce("material", F.lit(""))), "id": F.col("rec_id"), "material": N.evaluation_name(N.blank_to_null("material")),
+        "key": N.evaluation_name(F.coalesce("material", F.lit(""))), "elements": N.element_set(F.coalesce("material", F.lit(""))), "id": F.col("rec_id"),
         "act": N.activity_alias("act"), "metal_type": low("metal_type"), "shape": N.shape_alias("shape"), "medium": N.medium_alias("medium"), "metal": F.coalesce(N.atomic_number(metal).cast("string"), metal), "form": low("shape"),
+        "values": F.array(*[F.col(f).cast("double") for f in GIVEN]), "zero": _bits({f: F.col(f) == 0 for f in FLAGS}), "has": _bits({f: F.col(f).isNotNull() if f in GIVEN else N.blank_to_null(f).isNotNull() for f in FIELDS}),
     }
-    forms |= {f: F.col(f).cast("int") for f in FLAGS} | {f: F.col(f).cast("double") for f in NUMBERS}
-    return df.select("doi", *[c.alias(f"{p}_{name}") for name, c in forms.items()])
+    made = df.select("doi", N.blank_to_null("material").isNotNull().alias("named"), *[c.alias(f"{p}_{name}") for name, c in forms.items()])
+    return made.withColumn(f"{p}_material", F.when(F.col("named"), F.col(f"{p}_key"))).drop("named")
 
 
 def alike() -> Column:
@@ -74,13 +93,6 @@ def alike() -> Column:
     return F.coalesce(((k != "") & (s != "") & _either_inside(k, s)) | ((F.size("g_elements") >= 2) & (F.col("g_elements") == F.col("s_elements"))), F.lit(False))
 
 
-def _bits(said: dict[str, Column]) -> Column:
-    total = F.lit(0).cast("long")
-    for f, c in said.items():
-        total = total + F.when(c, F.lit(1 << FIELDS.index(f)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return total
-
-
 def groups(gold: DataFrame, system: DataFrame) -> DataFrame:
     """One row per reference group, by DOI and name key, with its best system record and field bits.
 
@@ -91,21 +103,26 @@ def groups(gold: DataFrame, system: DataFrame) -> DataFrame:
     best record gives; present those that the group gives. Rows without DOI are left out; groups of a DOI without system
     records have a null s_id."""
     g = normalised(gold, "g").where("doi <> ''").repartition("doi")
-    first = F.row_number().over(W.partitionBy("doi", "g_key").orderBy("g_id")) == 1
-    both = g.withColumn("first", first).join(normalised(system, "s"), "doi", "left")
-    # A missing flag agrees with "not doped" where one record is compared with one.
-    absent = {f: F.col(f"s_{f}").isNull() & F.col("s_id").isNotNull() & F.coalesce(F.col(f"g_{f}") == 0, F.lit(False)) for f in FLAGS}
-    single = {f: standard(f) | absent[f] if f in FLAGS else standard(f) for f in FIELDS}
-    tier = F.when(F.col("s_id").isNotNull(), F.when(F.col("g_key") == F.col("s_key"), 1).when((F.col("g_key") != "") & (F.col("s_key") != "") & _either_inside(F.col("g_key"), F.col("s_key")), 2).otherwise(3))
-    marked = both.select(
-        "doi", F.col("g_key").alias("key"), "g_id", "s_id", "first", alike().alias("alike"), tier.alias("tier"), _bits({f: standard(f) for f in FIELDS}).alias("bits"), _bits({f: agreement(f) for f in FIELDS}).alias("agree"),
-        _bits(single).alias("single"), _bits({f: F.col(f"s_{f}").isNotNull() for f in FIELDS}).alias("has"), _bits({f: F.col(f"g_{f}").isNotNull() for f in FIELDS}).alias("present"), *[f"{p}_{f}" for p in "gs" for f in GIVEN],
+    group = W.partitionBy("doi", "g_key").orderBy("g_id")
+    # The first value that a group gives of each field stands beside its first row; a group is one paper's rows of a material.
+    rows = F.collect_list("g_values").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    place = lambda i: lambda v: F.get(v, i)
+    given = F.array(*[F.get(F.filter(F.transform("rows", place(i)), lambda x: x.isNotNull()), 0) for i in range(len(GIVEN))])
+    own = g.withColumn("first", F.row_number().over(group) == 1).withColumn("rows", rows).withColumn("given", F.when(F.col("first"), given)).drop("rows")
+    both = own.join(normalised(system, "s"), "doi", "left")
+    bits = both.select(
+        "doi", F.col("g_key").alias("key"), "g_id", "s_id", "first", "given", alike().alias("alike"), _bits({f: standard(f) for f in FIELDS}).alias("bits"), _bits(_agreement()).alias("apart"), F.coalesce("s_has", F.lit(0).cast("long")).alias("has"),
+        F.col("g_has").alias("present"), "g_zero", F.col("s_values").alias("said"),
+        F.when(F.col("s_id").isNotNull(), F.when(F.col("g_key") == F.col("s_key"), 1).when((F.col("g_key") != "") & (F.col("s_key") != "") & _either_inside(F.col("g_key"), F.col("s_key")), 2).otherwise(3)).alias("tier"),
     )
+    # A missing flag agrees with "not doped" where one record is compared with one.
+    flags, apart = F.lit(_mask(FLAGS)).cast("long"), F.lit((1 << len(FIELDS)) - 1 - _mask(_agreement())).cast("long")
+    absent = F.when(F.col("s_id").isNotNull(), F.col("g_zero").bitwiseAND(flags).bitwiseAND(F.bitwise_not("has"))).otherwise(F.lit(0).cast("long"))
+    marked = bits.withColumn("single", F.col("bits").bitwiseOR(absent)).withColumn("agree", F.col("bits").bitwiseAND(apart).bitwiseOR(F.col("apart")))
     head = lambda c: F.max(F.when(F.col("first"), F.col(c)))
     each = marked.groupBy("doi", "key", "s_id").agg(
         F.bit_or("bits").alias("bits"), F.bit_or("agree").alias("agree"), head("alike").alias("alike"), head("tier").alias("tier"), F.bit_count(head("single")).alias("score"), head("single").alias("single"), F.max("has").alias("has"),
-        F.bit_or("present").alias("present"), head("g_id").alias("g_id"), F.max(F.struct(*[F.col(f"s_{f}").cast("double").alias(f) for f in GIVEN])).alias("said"),
-        F.struct(*[F.min_by(F.col(f"g_{f}").cast("double"), F.when(F.col(f"g_{f}").isNotNull(), F.col("g_id"))).alias(f) for f in GIVEN]).alias("given"),
+        F.bit_or("present").alias("present"), head("g_id").alias("g_id"), F.max("said").alias("said"), F.max("given").alias("given"),
     )
     best = F.min_by(F.struct("s_id", "tier", "score", "single", "bits", "agree", "has", "said"), F.struct("tier", -F.col("score"), "s_id"))
     whole = each.groupBy("doi", "key").agg(
@@ -126,7 +143,7 @@ def outcomes(gold: DataFrame, system: DataFrame) -> DataFrame:
     """(doi, key, field, outcome, strict, own, agreed, s_id, gold_value, system_value): one row per reference group and field
     that the group gives. An outcome is tp where the rule says that the values agree, fn if the best record lacks the value,
     else fp. Values are numbers, null for texts."""
-    value = lambda side, f: F.col(f"{side}.{f}") if f in GIVEN else F.lit(None).cast("double")
+    value = lambda side, f: F.get(side, GIVEN.index(f)) if f in GIVEN else F.lit(None).cast("double")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("i"), value("given", f).alias("gold_value"), value("said", f).alias("system_value")) for i, f in enumerate(FIELDS)])
     on = lambda c: F.expr(f"shiftright({c}, c.i) & 1 = 1")
     judged = lambda c: F.when(on(c), "tp").when(on("has"), "fp").otherwise("fn").alias({"hit": "outcome"}.get(c, c))
@@ -151,13 +168,13 @@ def scores() -> list[Column]:
 def bundle_edges(gold: DataFrame, system: DataFrame) -> DataFrame:
     """(doi, g_id, s_id): pairs of one material that agree in activity, pH, T, Km and Vmax as far as the reference, a kinetic
     row, gives them. A class of activities agrees with each of its members."""
-    g = normalised(gold, "g").where("doi <> '' and (g_km is not null or g_vmax is not null)")
+    g = normalised(gold, "g").where("doi <> ''").where(F.col("g_has").bitwiseAND(F.lit(_mask(GROUPS["kinetics"]))) != 0)
     act = standard("act")
     for name, members in CLASSES.items():
         act = act | ((F.col("g_act") == name) & F.coalesce(F.col("s_act").isin(*members), F.lit(False)))
     ok = alike() & (F.col("g_act").isNull() | act)
     for f in ("ph", "t", "km", "vmax"):
-        ok = ok & (F.col(f"g_{f}").isNull() | standard(f))
+        ok = ok & (_value("g", f).isNull() | standard(f))
     return g.join(normalised(system, "s"), "doi").where(ok).select("doi", "g_id", "s_id")
 
 

@@ -52,13 +52,19 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per cluster with its tier, reason tags, and its values as DOI=value, by DOI and value."""
     values = C.long_form(entries(spark, sf_dir))
-    items = C.clustered(values).where("value > 0").groupBy(*C.KEYS, "c_ph", "c_t").agg(F.sort_array(F.collect_set(F.struct("paper", "value"))).alias("items"))
-    found = C.conflict_clusters(values).withColumn("tier", C.tier(F.col("severity"))).join(items, [*C.KEYS, "c_ph", "c_t"])
-    hint = N.magnitude_hint(F.col("fold"))
-    return found.select(
-        *C.KEYS, "ph", "t", "severity", "tier", (F.col("tier") >= 2).alias("review"), "n_papers", "fold", F.coalesce(hint, F.lit("")).alias("hint"), F.size("items").cast("long").alias("n_items"),
-        F.array_join(F.transform("items", lambda x: x["paper"]), " | ").alias("papers"),
+    rows = C.clustered(values)
+    keys = [*C.KEYS, "c_ph", "c_t"]
+    found = C.conflict_clusters(values, rows).withColumn("tier", C.tier(F.col("severity")))
+    # Equal items of a paper are one; only clusters of the register gather theirs.
+    items = rows.where("value > 0").select(*keys, "paper", "value").distinct().join(found.select(*keys), keys, "left_semi")
+    texts = items.groupBy(*keys).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("paper", "value"))).alias("items"))
+    shown = lambda x: F.concat(x["paper"], F.lit("="), F.format_number(x["value"], 6))
+    tags = F.array_compact(F.array(F.when(N.magnitude_hint(F.col("fold")).isNotNull(), F.lit("magnitude")), F.when(F.col("n_papers") >= 2, F.lit("cross-paper")).otherwise(F.lit("same-paper"))))
+    return found.join(texts, keys).select(
+        *C.KEYS, "ph", "t", "severity", "tier", (F.col("tier") >= 2).alias("review"), "n_papers", "fold", F.coalesce(N.magnitude_hint(F.col("fold")), F.lit("")).alias("hint"), F.array_join(F.array_sort(tags), "/").alias("tags"), "n_items",
+        F.array_join(F.transform("items", shown), " | ").alias("items"),
     )
 
 
@@ -90,33 +96,44 @@ def robustness_no_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atlas clusters: a missing or zero temperature counts as 25 for clustering, two points suffice, points are kept."""
-    km = C.long_form(entries(spark, sf_dir), {"km": "km_mm"}).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
-    w = C.clustered(km)
-    found = w.groupBy(*C.KEYS, "c_ph", "c_t").agg(
-        F.count("*").alias("n_points"), F.count_distinct("paper").alias("n_papers"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sort_array(F.collect_list(F.struct("ph", "doi", "value"))).alias("points")
-    )
+    """Atlas clusters: a missing or zero temperature counts as 25 for clustering, and two points suffice."""
+    values = C.long_form(entries(spark, sf_dir)).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
+    found = C.clustered(values).groupBy(*C.KEYS, "c_ph", "c_t").agg(F.count("*").alias("n_points"), F.count_distinct("paper").alias("n_papers"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(F.struct("ph", "doi")).alias("first"))
     return found.where("n_points >= 2").withColumn("fold", F.col("hi") / F.col("lo"))
 
 
+def atlas_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the atlas, in long form: a cluster of any size is rows, not one array."""
+    values = C.long_form(entries(spark, sf_dir)).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
+    rows = C.clustered(values)
+    keys = [*C.KEYS, "c_ph", "c_t"]
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys)
+    return rows.join(several, keys, "left_semi").select(*C.KEYS, F.col("c_ph").alias("cluster_ph"), F.col("c_t").alias("cluster_t"), "ph", "t", "doi", "value", "rec_id")
+
+
 def atlas_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _atlas(spark, sf_dir).select("mat", "act", "sub", F.col("c_ph").alias("ph"), F.col("c_t").alias("t"), "n_points", "n_papers", "lo", "hi", "fold", F.get("points", 0)["doi"].alias("first_doi"))
+    return _atlas(spark, sf_dir).select(*C.KEYS, F.col("c_ph").alias("ph"), F.col("c_t").alias("t"), "n_points", "n_papers", "lo", "hi", "fold", F.col("first.doi").alias("first_doi"))
 
 
 def atlas_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atlas_clusters(spark, sf_dir).orderBy(F.desc("n_points"), "mat", "act", "sub", "ph", "t").limit(12).drop("first_doi")
+    return atlas_clusters(spark, sf_dir).orderBy(F.desc("n_points"), *C.KEYS, "ph", "t").limit(12).drop("first_doi")
 
 
 def pooled_vs_conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _atlas(spark, sf_dir)
-    pooled = found.groupBy("mat", "act", "sub").agg((F.max("hi") / F.min("lo")).alias("pooled_fold"), F.max("fold").alias("widest_fold"), F.count("*").alias("n_clusters"), F.sum("n_points").alias("n_points"))
-    return pooled.where((F.col("act").contains("oxidase")) & (F.col("sub") == "TMB"))
+    """The range of a system's Km over all conditions beside its widest range under one; pooled are all values, not only those
+    of clusters."""
+    mine = (F.col("metric") == "km") & F.col("mat").contains("al") & F.col("act").contains("oxidase") & (F.col("sub") == "TMB")
+    values = C.long_form(entries(spark, sf_dir), {"km": "km_mm"}).where("value > 0 and ph is not null").where(mine)
+    pooled = values.groupBy("mat", "act", "sub").agg((F.max("value") / F.min("value")).alias("pooled_fold"), F.count("*").alias("n_values"), F.count_distinct("paper").alias("n_papers"))
+    widest = _atlas(spark, sf_dir).where(mine).groupBy("mat", "act", "sub").agg(F.max("fold").alias("widest_fold"), F.count("*").alias("n_clusters"), F.sum("n_points").alias("n_points"))
+    return pooled.join(widest, ["mat", "act", "sub"])
 
 
 _ATLAS = LONG + """, a AS (
-  SELECT mat, act, sub, ph, CASE WHEN t IS NULL OR t = 0 THEN 25.0 ELSE t END AS t, count(*) AS n_points, count(DISTINCT paper) AS n_papers, min(value) AS lo, max(value) AS hi,
+  SELECT metric, mat, act, sub, ph, CASE WHEN t IS NULL OR t = 0 THEN 25.0 ELSE t END AS t, count(*) AS n_points, count(DISTINCT paper) AS n_papers, min(value) AS lo, max(value) AS hi,
          max(value) / min(value) AS fold, min(doi) AS first_doi
-  FROM v WHERE metric = 'km' AND value > 0 AND ph IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)"""
+  FROM v WHERE value > 0 AND ph IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) >= 2)"""
+_MINE = "metric = 'km' AND mat LIKE '%al%' AND act LIKE '%oxidase%' AND sub = 'TMB'"
 _HINT = "CASE WHEN abs(fold - 10) / 10 <= 0.1 THEN '×10?' WHEN abs(fold - 100) / 100 <= 0.1 THEN '×100?' WHEN abs(fold - 1000) / 1000 <= 0.1 THEN '×1000?' END"
 _ROBUST = f"""SELECT m AS metric, count(*) AS n_clusters, CAST(count(*) FILTER (severity = 'consistent') AS BIGINT) AS n_consistent, count(*) FILTER (severity = 'suspicious') AS n_suspicious,
   count(*) FILTER (severity = 'severe') AS n_severe, round(avg(CASE WHEN severity = 'severe' THEN 1.0 ELSE 0.0 END), 6) AS severe_share, max(fold) AS max_fold,
@@ -125,21 +142,24 @@ _ROBUST = f"""SELECT m AS metric, count(*) AS n_clusters, CAST(count(*) FILTER (
 
 QUERIES = {
     "conflict_clusters": conflict_clusters, "condition_clusters": clusters_of_conditions, "severity_summary": severity_summary, "audit_register": audit_register, "magnitude_hint": magnitude_hint,
-    "severe_cases": severe_cases, "robustness_by_metric": robustness_by_metric, "robustness_no_doi": robustness_no_doi, "atlas_clusters": atlas_clusters, "atlas_top": atlas_top, "pooled_vs_conditioned": pooled_vs_conditioned,
+    "severe_cases": severe_cases, "robustness_by_metric": robustness_by_metric, "robustness_no_doi": robustness_no_doi, "atlas_clusters": atlas_clusters, "atlas_points": atlas_points, "atlas_top": atlas_top, "pooled_vs_conditioned": pooled_vs_conditioned,
 }
 ORACLES = {
     "conflict_clusters": _sql("SELECT metric, mat, act, sub, ph, t, material, n_values, n_papers, min_value, max_value, median_value, fold, round(spread, 9) AS spread, severity FROM c"),
     "condition_clusters": _sql("SELECT metric, mat, act, sub, ph, t, count(*) AS n, ph AS c_ph, t AS c_t FROM v WHERE ph IS NOT NULL AND t IS NOT NULL GROUP BY ALL", LONG),
     "severity_summary": _sql("SELECT metric, severity, count(*) AS n FROM c GROUP BY 1, 2 UNION ALL SELECT metric, 'all', count(*) FROM c GROUP BY 1 UNION ALL SELECT 'all', 'all', count(*) FROM c"),
     "audit_register": _sql(f"""SELECT c.metric, c.mat, c.act, c.sub, c.ph, c.t, severity, CASE severity WHEN 'severe' THEN 3 WHEN 'suspicious' THEN 2 ELSE 1 END AS tier, severity <> 'consistent' AS review, n_papers, fold,
-      coalesce({_HINT}, '') AS hint, n_items, papers
-      FROM c JOIN (SELECT metric, mat, act, sub, ph, t, count(*) AS n_items, string_agg(paper, ' | ' ORDER BY paper, value) AS papers FROM (SELECT DISTINCT metric, mat, act, sub, ph, t, paper, value FROM v WHERE value > 0) GROUP BY 1, 2, 3, 4, 5, 6) AS i
+      coalesce({_HINT}, '') AS hint, CASE WHEN {_HINT} IS NULL THEN 'cross-paper' ELSE 'cross-paper/magnitude' END AS tags, n_items, items
+      FROM c JOIN (SELECT metric, mat, act, sub, ph, t, count(*) AS n_items, string_agg(paper || '=' || format('{{:,.6f}}', value), ' | ' ORDER BY paper, value) AS items FROM (SELECT DISTINCT metric, mat, act, sub, ph, t, paper, value FROM v WHERE value > 0) GROUP BY 1, 2, 3, 4, 5, 6) AS i
       ON c.metric = i.metric AND c.mat = i.mat AND c.act = i.act AND c.sub = i.sub AND c.ph = i.ph AND c.t = i.t"""),
     "magnitude_hint": _sql(f"SELECT metric, mat, act, sub, ph, t, fold, {_HINT} AS hint FROM c WHERE {_HINT} IS NOT NULL"),
     "severe_cases": _sql("SELECT metric, mat, act, sub, ph, t, fold, n_papers FROM c WHERE severity = 'severe' ORDER BY fold DESC, metric, mat, act, sub, ph, t LIMIT 20"),
     "robustness_by_metric": _sql(_ROBUST.replace("WHICH", "true")),
     "robustness_no_doi": _sql(_ROBUST.replace("WHICH", "has_no_doi = 0")),
     "atlas_clusters": _sql("SELECT * FROM a", _ATLAS),
-    "atlas_top": _sql("SELECT mat, act, sub, ph, t, n_points, n_papers, lo, hi, fold FROM a ORDER BY n_points DESC, mat, act, sub, ph, t LIMIT 12", _ATLAS),
-    "pooled_vs_conditioned": _sql("SELECT mat, act, sub, max(hi) / min(lo) AS pooled_fold, max(fold) AS widest_fold, count(*) AS n_clusters, CAST(sum(n_points) AS BIGINT) AS n_points FROM a WHERE act LIKE '%oxidase%' AND sub = 'TMB' GROUP BY 1, 2, 3", _ATLAS),
+    "atlas_top": _sql("SELECT metric, mat, act, sub, ph, t, n_points, n_papers, lo, hi, fold FROM a ORDER BY n_points DESC, metric, mat, act, sub, ph, t LIMIT 12", _ATLAS),
+    "atlas_points": _sql("SELECT v.metric, v.mat, v.act, v.sub, v.ph AS cluster_ph, CASE WHEN v.t IS NULL OR v.t = 0 THEN 25.0 ELSE v.t END AS cluster_t, v.ph, CASE WHEN v.t IS NULL OR v.t = 0 THEN 25.0 ELSE v.t END AS t, v.doi, value, rec_id FROM v JOIN a ON v.metric = a.metric AND v.mat = a.mat AND v.act = a.act AND v.sub = a.sub AND v.ph = a.ph AND CASE WHEN v.t IS NULL OR v.t = 0 THEN 25.0 ELSE v.t END = a.t WHERE value > 0", _ATLAS),
+    "pooled_vs_conditioned": _sql(f"""SELECT p.mat, p.act, p.sub, pooled_fold, n_values, p.n_papers, widest_fold, n_clusters, n_points FROM
+      (SELECT mat, act, sub, max(value) / min(value) AS pooled_fold, count(*) AS n_values, count(DISTINCT paper) AS n_papers FROM v WHERE value > 0 AND ph IS NOT NULL AND {_MINE} GROUP BY 1, 2, 3) AS p JOIN
+      (SELECT mat, act, sub, max(fold) AS widest_fold, count(*) AS n_clusters, CAST(sum(n_points) AS BIGINT) AS n_points FROM a WHERE {_MINE} GROUP BY 1, 2, 3) AS w ON p.mat = w.mat AND p.act = w.act AND p.sub = w.sub""", _ATLAS),
 }

@@ -63,22 +63,20 @@ def fold_of(doi="paper", k: int = 5, seed: str = "7"):
     return (F.conv(F.substr(F.md5(F.concat(F.lit(seed), doi)), F.lit(1), F.lit(8)), 16, 10).cast("long") % k).cast("int")
 
 
-def balanced_folds(e: DataFrame, k: int = 5, seed: str = "7") -> DataFrame:
-    """(paper, fold): papers dealt round robin in hash order; the window runs over distinct papers only."""
-    papers = e.select("paper").distinct()
-    place = F.row_number().over(W.orderBy(F.md5(F.concat(F.lit(seed), "paper")))) - 1
-    return papers.select("paper", (place % k).alias("fold"))
-
-
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = usable(entries(spark, sf_dir)).withColumn("fold", fold_of())
     return e.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("paper").alias("n_papers"))
 
 
 def random_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = usable(entries(spark, sf_dir)).withColumn("label", N.activity_class("act"))
-    fold = ((F.row_number().over(W.partitionBy("label").orderBy(F.md5("rec_id"))) - 1) % 5).alias("fold")
-    return e.select("rec_id", "label", fold)
+    """Rows of each label dealt round robin in the order of a hash. The rank of a row is its rank among the rows of its hash's
+    first digits, which no task has more than a share of, plus the rows before them."""
+    e = usable(entries(spark, sf_dir)).select("rec_id", N.activity_class("act").alias("label"), F.md5("rec_id").alias("h")).withColumn("part", F.substr("h", F.lit(1), F.lit(3)))
+    parts = e.groupBy("label", "part").agg(F.count("*").alias("m"))
+    before = parts.select("label", "part", (F.sum("m").over(W.partitionBy("label").orderBy("part")) - F.col("m")).alias("before"))  # 4,096 parts a label
+    place = F.row_number().over(W.partitionBy("label", "part").orderBy("h")) - 1
+    ranked = e.withColumn("place", place).join(before, ["label", "part"])
+    return ranked.select("rec_id", "label", ((F.col("place") + F.col("before")) % 5).cast("int").alias("fold"))
 
 
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
