@@ -102,9 +102,9 @@ def oof(e: DataFrame) -> DataFrame:
     cells = rows.groupBy("mat", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
     m = W.partitionBy("mat")
     other = cells.select("mat", "fold", (F.sum("n").over(m) - F.col("n")).alias("n"), (F.sum("s").over(m) - F.col("s")).alias("s"))
-    folds = rows.groupBy("fold").agg(F.count("*").alias("fn"), F.sum("y").alias("fs"))
-    total = [rows.agg(f).scalar() for f in (F.sum("y"), F.count("*"))]
-    means = folds.select("fold", ((total[0] - F.col("fs")) / (total[1] - F.col("fn"))).alias("g"))
+    # Sums of folds and of all come from the cells, of which there are few, not from the rows again.
+    folds, all_folds = cells.groupBy("fold").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs")), W.partitionBy()
+    means = folds.select("fold", ((F.sum("fs").over(all_folds) - F.col("fs")) / (F.sum("fn").over(all_folds) - F.col("fn"))).alias("g"))
     codes = other.join(F.broadcast(means), "fold").withColumn("code", (F.col("s") + 5 * F.col("g")) / (F.col("n") + 5)).select("mat", "fold", "code")
     return rows.join(codes, ["mat", "fold"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,53 @@ def read_gold(df: DataFrame, explicit: dict[str, str], wanted: list[str]) -> Dat
     return picked.withColumn("doi", N.doi("doi")).where("doi <> ''")
 
 
+def coerce(raw: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Records of text cells as the typed fields, with warnings (the optional cells that can't be read, and a missing name) and
+    whether the record is rejected. Blank cells are null without a warning."""
+    cell = {k: N.blank_to_null(k) for k in FIELDS}
+    by_name = {"metal_type": N.atomic_number, "metal_ratio": N.ratio, "metal_valence": N.valence, "size_nm": N.size, "buffer_ph_value": N.condition, "temperature_c": N.condition}
+    read = {k: cell[k] if t == _S else (by_name.get(k) or (N.flag if k.startswith("doped_") else N.quantity))(cell[k]).cast(t) for k, t in FIELDS.items()}
+    bad = [F.when(cell[k].isNotNull() & read[k].isNull(), F.lit(k)) for k in FIELDS]
+    lost = F.when(cell["nanozyme"].isNull(), F.lit("nanozyme"))
+    return raw.select(*[read[k].alias(k) for k in FIELDS], *(carry or []), F.array_compact(F.array(lost, *bad)).alias("warnings"), lost.isNotNull().alias("rejected"))
+
+
+@dataclass(frozen=True)
+class Source:
+    """How a source's columns become fields: names to try in order for each field, exponent columns, the unit of Vmax (None: µM/s,
+    "?": not known), the activity where a row has none, and whether the substrate is written "A + B"."""
+
+    provenance: str
+    columns: dict[str, tuple[str, ...]]
+    exponents: dict[str, str] = field(default_factory=dict)
+    vmax_unit: str | None = None
+    activity: str | None = None
+    paired: bool = False
+
+
+def map_source(df: DataFrame, source: Source) -> DataFrame:
+    """A source's rows as typed fields with provenance, warnings and rejected; the first non-blank of a field's columns counts."""
+    own = {c.strip().lower(): c for c in df.columns}
+    named = lambda names: [F.col(f"`{own[n.strip().lower()]}`").cast("string") for n in names if n.strip().lower() in own]
+    found = {k: F.coalesce(*map(N.blank_to_null, cs)) if (cs := named(source.columns.get(k, ()))) else F.lit(None).cast("string") for k in FIELDS}
+    powers = {k: N.number(cs[0]) if (cs := named([c])) else F.lit(None).cast("double") for k, c in source.exponents.items()}
+    if source.paired:
+        wide = df.withColumn("_pair", found["substrate1"])
+        df, (found["substrate1"], found["substrate2"]) = wide, pair_substrates("_pair")
+    if source.activity:
+        found["mimic_enzyme_activity"] = F.coalesce(found["mimic_enzyme_activity"], F.lit(source.activity))
+    made = coerce(df.select(*[c.alias(k) for k, c in found.items()], *[c.alias(f"_power_{k}") for k, c in powers.items()]), [f"_power_{k}" for k in powers])
+    for k in powers:
+        made = made.withColumn(k, N.rescale(k, f"_power_{k}"))
+    uncertain = F.lit(False)
+    for k in powers:
+        uncertain = uncertain | (F.col(k).isNotNull() & F.col(f"_power_{k}").isNull())
+    made = made.withColumn("km_uncertain", uncertain)
+    if source.vmax_unit:
+        made = made.withColumn("Vmax_uM_s_minus1", N.rescale("Vmax_uM_s_minus1", unit=F.lit(source.vmax_unit)))
+    return made.drop(*[f"_power_{k}" for k in powers]).withColumn("provenance", F.lit(source.provenance))
+
+
 def pair_substrates(c: str) -> tuple:
     """The two substrates of "A + B"."""
     parts = F.split(c, "\\s*\\+\\s*")
