@@ -210,7 +210,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
 def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> DataFrame:
     """Read a table of write_tokens: per_document(ids) gives a tuple for the columns of schema, kept next to doc_id, start
-    (ids of all documents before it) and n_tokens. Documents come back one row each."""
+    (ids of all documents before it) and n_tokens. Documents come back one row each, those without id with a null one; a table
+    without files gives no rows."""
     files = spark.read.parquet(path)
     # One row per part, of which there are as many as range partitions.
     totals = sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_ids")).collect())
@@ -250,6 +251,8 @@ def _crc(ids: np.ndarray) -> tuple[int]:
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written and read back. Null and empty texts have the end id alone; repeats are encoded like others; an
+    empty table gives no rows; further columns are ignored."""
     path = fresh_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, vocabulary_file("byte_bpe_50k.json"))
     return read_tokens(spark, path, _crc, "ids_crc32 long")

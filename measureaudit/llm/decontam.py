@@ -287,4 +287,6 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, as contaminated() says. Null and empty texts hold none; repeats give a pair
+    once; an empty table gives no rows; further columns are ignored."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

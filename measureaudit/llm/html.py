@@ -454,6 +454,8 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null and empty pages, and pages without main text, have an empty one; repeats are read like
+    others; an empty table gives no rows; further columns are ignored."""
     pages = table(spark, sf_dir, "pages")
     keyed = pages.select(F.struct("page_id", "url").alias("k"), "html")
     made = extract(keyed, train_on(pages), "k")

@@ -374,7 +374,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS) -> bytes:
     """The automaton of the most frequent words of docs, as bytes. It takes the words of the highest counts, as many counts
-    as keep it within `words`; words seen once never enter. So what reaches the driver is bounded by `words` and LONGEST."""
+    as keep it within `words`; words seen once never enter. So what reaches the driver is bounded by `words` and LONGEST.
+    Null and empty texts add nothing; a table without words gives an empty automaton, with which every word is merged."""
     counts = cut(word_counts(docs, text_col).where("n > 1"))
     sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
     # How many words have a count of n or more, for the counts that matter: the running sum is over distinct counts only.
@@ -406,7 +407,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_i
 
 
 def digests(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass, without shipping the ids."""
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass, without shipping the ids. One row per
+    input row, as encode() has them; a text without ids decodes to an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,5 +427,7 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of their decoding. Null and empty texts have no ids and decode to an empty text; repeats
+    are encoded like others; an empty table gives no rows; further columns are ignored."""
     docs, own = table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json")
     return digests(docs, own, build_lexicon(docs, own))

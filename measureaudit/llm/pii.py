@@ -192,6 +192,8 @@ def written(found: Column) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document. Null and empty texts have none; repeats are searched like others; an empty table gives no rows;
+    further columns are ignored."""
     found = find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     return found.select(

@@ -94,6 +94,8 @@ def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document. Null and empty texts have no words and fail; repeats are measured like others; an empty table
+    gives no rows; further columns are ignored."""
     book = ledger(table(spark, sf_dir, "documents"))
     return book.select("doc_id", *(m for m in MEASURES if m != "n_lines"), (~kept("base")).alias("base_failed"), kept("v1").alias("kept"), "failed")
 

@@ -42,7 +42,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     n_bytes is the UTF-8 size of the text; a null text has 0 bytes and hashes like an empty one, a null id like an empty
     string. The sizes of a shard's records sum to max_bytes at most, unless it is one record alone. Page is 0 but for copies
     that agree in id and text and are too many for one shard. Shards depend on the records only, not on their order or
-    partitions. An empty table gives an empty result; further columns are ignored. With
+    partitions; which copy of a record is on which page may. An empty table gives an empty result; further columns are ignored. With
     carry, a column row holds the whole input row.
     """
     more = ["row"] if carry else []
@@ -75,13 +75,16 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> None:
-    """Write docs as Parquet with columns _shard and _page added; a shard is one run of rows of one file."""
+    """Write docs as Parquet with columns _shard and _page added; a shard is one run of rows of one file. Nulls, copies and an
+    empty table are as in shards()."""
     made = shards(docs, id_col, text_col, max_bytes, carry=True)
     rows = made.select("row.*", F.col("shard").alias("_shard"), F.col("page").alias("_page"))
     rows.repartition("_shard", "_page").sortWithinPartitions("_shard", "_page").write.parquet(path)
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document. A null text has 0 bytes, copies share a shard while it has room, an empty table gives no rows,
+    and further columns are ignored."""
     return shards(table(spark, sf_dir, "documents"))
 
 

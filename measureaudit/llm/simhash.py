@@ -373,4 +373,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates over documents. Null and empty texts share fingerprint zero and so a component; ties, repeats and rows given
+    twice share theirs; an empty table gives no rows; further columns are ignored."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -129,6 +129,8 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict. A null URL, or one without ://, has empty host and path and no rule; repeats are judged like others; an
+    empty table gives no rows; further columns are ignored."""
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
 
 
