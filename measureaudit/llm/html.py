@@ -26,7 +26,7 @@ from .base import in_arrow, pieces, table
 #: Pages that train the labeller, those of the smallest hashes of their distinct content, and the stretches of so many blocks
 #: that train it of one page, spread from its start to its end. The bounds hold for tables of any size.
 TRAIN_PAGES, TRAIN_STRETCHES, STRETCH = 160, 2, 80
-HIDDEN, PATH_BITS, WORD_BITS = 12, 8, 6
+HIDDEN, PATH_BITS, WORD_BITS = 12, 9, 6
 _EPOCHS, _BATCH = 24, 32
 
 # Elements whose content is never text of the page: _RAW reach to the end of the page if they aren't closed, _HIDDEN only to
@@ -384,13 +384,20 @@ _SIDE = (
 _TOP = ("<header>{}</header>", '<header class="masthead">{}</header>', '<div id="header">{}</div>', '<div class="topbar">{}</div>', "<nav><ul><li><a href=\"/x\">{}</a></li></ul></nav>", '<div class="menu"><ul><li>{}</li></ul></div>', '<div role="navigation">{}</div>')
 _END = ("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="footer"><p>{}</p></div>', '<div role="contentinfo">{}</div>', '<div class="copyright">{}</div>')
 _MAIN = ("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post-body">{}</div>', '<article class="post"><header>{}</header></article>', '<div role="main">{}</div>', "<section>{}</section>")
-_TEXT = ("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>", "<p><b>{}</b><br>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>")
+_TEXT = ("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<blockquote>{}</blockquote>", "<div>{}</div>", "<p><b>{}</b><br>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>")
+
+
+def _named(words: list[str], rng: np.random.Generator) -> str:
+    """An element that one of the words names."""
+    tag, attr, word = (str(rng.choice(x)) for x in (("div", "div", "section"), ("class", "id"), words))
+    return f'<{tag} {attr}="{word}">{{}}</{tag}>'
 
 
 def composed(texts: list[str], rng: np.random.Generator) -> str:
     """A page of usual layout with texts in random places."""
+    beside, main = sorted(ASIDE_WORDS), sorted(MAIN_WORDS)
     take = lambda forms: html.escape(texts[rng.integers(len(texts))])[: int(rng.choice([40, 90, 200, 2000]))].join(str(rng.choice(forms)).split("{}"))
-    side = lambda: "".join(str(rng.choice(_SIDE)).replace("{}", take(_TEXT) if rng.random() < 0.6 else take(("{}",))) for _ in range(rng.integers(0, 4)))
+    side = lambda: "".join((_named(beside, rng) if rng.random() < 0.4 else str(rng.choice(_SIDE))).replace("{}", take(_TEXT) if rng.random() < 0.6 else take(("{}",))) for _ in range(rng.integers(0, 4)))
     top = "".join(take(_TOP) for _ in range(rng.integers(0, 4)))
     body = take(("<h1>{}</h1>",)) if rng.random() < 0.8 else ""
     for _ in range(rng.integers(0, 14)):
@@ -399,18 +406,18 @@ def composed(texts: list[str], rng: np.random.Generator) -> str:
             body += side()
     if rng.random() < 0.3:
         body += side()
-    return f"<html><body>{top}{side()}{str(rng.choice(_MAIN)).replace('{}', body)}{side()}{''.join(take(_END) for _ in range(rng.integers(0, 3)))}</body></html>"
+    return f"<html><body>{top}{side()}{(_named(main, rng) if rng.random() < 0.4 else str(rng.choice(_MAIN))).replace('{}', body)}{side()}{''.join(take(_END) for _ in range(rng.integers(0, 3)))}</body></html>"
 
 
 def train(pages: list[str], seed: int = 5) -> Labeller:
-    """Fit a labeller on the given pages and as many composed ones, and half as many again."""
+    """Fit a labeller on the given pages and twice as many composed ones."""
     rng = np.random.default_rng(seed)
     own = [b for p in pages if (b := blocks(p))]
     # Blocks, not pages, set the cost of training: long pages give TRAIN_STRETCHES stretches, the first and the last among them.
     starts = lambda n: sorted({round(k * max(0, n - STRETCH) / (TRAIN_STRETCHES - 1)) for k in range(TRAIN_STRETCHES)})
     own = [p[i : i + STRETCH] for p in own for i in starts(len(p))]
     texts = sorted({b.text for p in own for b in p if len(b.text) > 3}) or ["text"]
-    made = [blocks(composed(texts, rng)) for _ in range(3 * max(len(own), 60) // 2)]
+    made = [blocks(composed(texts, rng)) for _ in range(2 * max(len(own), 60))]
     given = [p for p in own + made if p]
     return Labeller((1 << PATH_BITS) + (1 << WORD_BITS) + N_MEASURES).fit([vectors(p) for p in given], [labels(p).astype(np.float32) for p in given])
 
