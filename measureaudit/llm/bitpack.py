@@ -124,49 +124,49 @@ class ByteEncoder:
         for s, i in self.own.get_vocab().items():
             self.spaced[i] = s.startswith("\u0120")  # the byte-level letter of a space
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # parts that open with their only space, named without it
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """(parts, words): a text's parts in order, the last of which, each a word after a space, are given without it."""
         if _ODD.search(text) or any(s in text for s in self.special):
             if _SEPARATORS.search(text) or any(s in text for s in self.special):
-                return [text]
-            return _CHUNK.findall(text)
-        if "  " in text or "\n " in text or " \n" in text:
-            return _CHUNK.findall(text)
+                return [text], []
+            return _CHUNK.findall(text), []
+        if "  " in text or "\n " in text or " \n" in text or text[-1:] == " ":
+            return _CHUNK.findall(text), []
         first, *rest = text.split(" ")
-        if not rest or text[-1] == " ":
-            return _CHUNK.findall(text)
-        own = [" " + p for p in rest]
-        return [first, *own] if first else own
+        return ([first] if first else []), rest
 
     def _learn(self, new: list[str]) -> None:
-        """Cache the ids of parts. Parts that open with their only space go to the library as one text, in which each of
-        them starts at a token that opens with a space; others go one by one."""
-        plain, other = [], []
-        for p in new:
-            (plain if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and " " not in p[1:] else other).append(p)
-        for p, e in zip(other, self.own.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Cache the ids of words after a space. They go to the library as one text, in which each of them starts at a token that
+        opens with a space; words that could be cut or joined otherwise go one by one."""
+        plain = [w for w in new if not w[0].isspace() and not w[-1].isspace()]
+        other = [w for w in new if w[0].isspace() or w[-1].isspace()] if len(plain) < len(new) else []
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            ids = np.array(self.own.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.own.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(some):  # parts that the library joins or cuts elsewhere are encoded one by one
-                for p, e in zip(some, self.own.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.cache[p] = np.array(e.ids, "<u4").tobytes()
+            if len(starts) != len(some):
+                other += some
                 continue
             data, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
-            self.cache.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+            self.words.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+        for w, e in zip(other, self.own.encode_batch_fast([" " + w for w in other], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.parts(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = [p for p in set().union(*cut) if p not in cache]
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
+        for known, used, learn in ((self.cache, [p for p, _ in cut], self._learn), (self.words, [w for _, w in cut], self._learn_words)):
+            if len(known) > CACHE:
+                known.clear()
+            if new := list(set().union(*used).difference(known)):
+                learn(new)
+        part, word = self.cache.__getitem__, self.words.__getitem__
+        return [np.frombuffer(b"".join([*map(part, p), *map(word, w)]), "<u4") for p, w in cut]
 
 
 @cache
