@@ -301,8 +301,9 @@ def test_pipeline_stages(spark, docs, sf_dir):
             path = fresh_path(spark, name)
             out.write.parquet(path)
             now = spark.read.parquet(path)
-    assert ids(now) == [None, 1, 3, 7, 8, 11]
-    assert out.count() == 6
+    # Row 3 is a near copy of row 1 by shingles, so it goes.
+    assert ids(now) == [None, 1, 7, 8, 11]
+    assert out.count() == 5
 
 
 def test_pipeline_over_documents_matches_brute_force(spark, sf_dir):
@@ -319,7 +320,7 @@ def test_pipeline_over_documents_matches_brute_force(spark, sf_dir):
         return x
 
     for a, b in itertools.combinations(sorted(left), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3:
+        if (fps[a] ^ fps[b]).bit_count() <= 3 or simhash.similarity(left[a], left[b]) >= 0.8:
             x, y = sorted((find(a), find(b)))
             root[y] = x
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
