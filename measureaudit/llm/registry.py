@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontam, html, lexicon, pii, quality, sharding, simhash, urls
+from . import bitpack, chat, decontam, html, infill, lexicon, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_bpe": lexicon.op9_bpe,
     "op10_decontam": decontam.op10_decontam,
+    "op11_infill": infill.op11_infill,
 }
-ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL}
+ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL, "op11_infill": infill.OP11_SQL}
