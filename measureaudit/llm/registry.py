@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontam, html, infill, lexicon, pii, quality, sharding, simhash, urls
+from . import bitpack, chat, decontam, html, infill, lexicon, pii, quality, ranked, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_bpe": lexicon.op9_bpe,
     "op10_decontam": decontam.op10_decontam,
     "op11_infill": infill.op11_infill,
+    "op12_search": ranked.op12_search,
 }
-ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL, "op11_infill": infill.OP11_SQL}
+ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL, "op11_infill": infill.OP11_SQL, "op12_search": ranked.OP12_SQL}
