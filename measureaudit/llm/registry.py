@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontam, html, infill, lexicon, pii, quality, ranked, sharding, simhash, urls
+from . import bestfit, bitpack, chat, decontam, html, infill, lexicon, pii, quality, ranked, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_decontam": decontam.op10_decontam,
     "op11_infill": infill.op11_infill,
     "op12_search": ranked.op12_search,
+    "op13_packing": bestfit.op13_packing,
 }
 ORACLES = {"op2_chat": chat.OP2_SQL, "op3_urls": urls.OP3_SQL, "op6_shards": sharding.OP6_SQL, "op8_quality": quality.OP8_SQL, "op11_infill": infill.OP11_SQL, "op12_search": ranked.OP12_SQL}
