@@ -28,8 +28,8 @@ from .bitpack import vocabulary_file
 from .lexicon import _PIECES, _SEPARATORS, chunks, normal, word_bpe
 
 SIZE, END_ID = 4096, 1
-#: Cached chunks and words of a worker: so many, and of so many characters and bytes of ids; beyond either a cache starts anew.
-CACHE, CACHE_BYTES = 700_000, 40 << 20
+#: Cached chunks and words of a worker, in each of two generations: so many, and of so many characters and bytes of ids.
+CACHE, CACHE_BYTES = 600_000, 24 << 20
 #: Up to so many (part, length) rows are broadcast; more are joined by a shuffle.
 MAX_SHIPPED = 400_000
 
@@ -231,37 +231,54 @@ def slots(plan: list[Batch]) -> np.ndarray:
 # The pieces -------------------------------------------------------------------------------------------------------------
 
 
+class Recent:
+    """A map from text to ids that forgets what hasn't been asked for long: when it is full, the entries become the old ones, from which
+    those still in use are taken back, and the old ones before them go."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def add(self, new: dict[str, bytes]) -> None:
+        if len(self.now) + len(new) > CACHE or self.held > CACHE_BYTES:
+            self.now, self.old, self.held = {}, self.now, 0
+        self.now.update(new)
+        self.held += sum(map(len, new)) + sum(map(len, new.values()))
+
+    def back(self, keys: list[str]) -> dict[str, bytes]:
+        """The old entries among keys that are not in `now`; they are new again."""
+        found = {k: x for k in keys if (x := self.old.get(k)) is not None}
+        self.add(found)
+        return found
+
+
 class PieceEncoder:
     """The ids of a word-level BPE file of the tokenizers library, as bytes of little-endian unsigned 32-bit ids, with caches of chunks
     between white space and of the words in them. Texts with special tokens go to the library."""
 
     def __init__(self, path: str):
         self.bpe, self.path, self.whole = word_bpe(path), path, None
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.held = [0, 0]
-
-    def _of_words(self, new: list[str]) -> None:
-        if len(self.words) > CACHE or self.held[1] > CACHE_BYTES:
-            self.words.clear()
-            self.held[1] = 0
-        for w, ids in zip(new, self.bpe.merge_all([w.encode() for w in new]), strict=True):
-            self.words[w] = ids
-            self.held[1] += len(w) + len(ids)
+        self.chunks, self.words = Recent(), Recent()
+
+    def _of_words(self, used: list[str]) -> dict[str, bytes]:
+        known = {w: x for w in used if (x := self.words.now.get(w)) is not None}
+        known.update(self.words.back([w for w in used if w not in known]))
+        unseen = [w for w in used if w not in known]
+        made = dict(zip(unseen, self.bpe.merge_all([w.encode() for w in unseen]), strict=True))
+        self.words.add(made)
+        return known | made
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of chunks; they stay in the cache, which starts anew when it is full."""
-        cut = [_PIECES.findall(normal(c)) for c in new]
-        used = set().union(*cut)
-        known = {w: x for w in used if (x := self.words.get(w)) is not None}
-        self._of_words(unseen := [w for w in used if w not in known])
-        known.update((w, self.words[w]) for w in unseen)
-        out = {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(new, cut, strict=True)}
-        if len(self.chunks) > CACHE or self.held[0] > CACHE_BYTES:
-            self.chunks.clear()
-            self.held[0] = 0
-        self.chunks.update(out)
-        self.held[0] += sum(map(len, new)) + sum(map(len, out.values()))
+        """The ids of chunks that the cache of chunks lacks; they are put there."""
+        out = self.chunks.back(new)
+        if len(out) < len(new):
+            new = [c for c in new if c not in out]
+            cut = [_PIECES.findall(normal(c)) for c in new]
+            known = self._of_words(list(set().union(*cut)))
+            made = {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(new, cut, strict=True)}
+            self.chunks.add(made)
+            out |= made
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -280,7 +297,7 @@ class PieceEncoder:
                 out.append(self._whole(t))
                 continue
             own = chunks(t) if _SEPARATORS.search(t) else t.split()
-            found = [*map(self.chunks.get, own)]
+            found = [*map(self.chunks.now.get, own)]
             out.append((own, found) if None in found else b"".join(found))
         late = [k for k, x in enumerate(out) if type(x) is tuple]
         if late:
