@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 
+#: Parts whose key 13 divides are materials that many papers measure closely alike; papers 7 and 9 of each 40 vary T or pH alone.
 REC = """
 b AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_returnflag, l.l_linestatus,
          p.p_name, p.p_type, p.p_size,
          CAST(l.l_suppkey % 5 AS INT) AS src,
          CAST(floor(l.l_orderkey / 16) AS BIGINT) AS paper,
+         CASE floor(l.l_orderkey / 16) % 40 WHEN 7 THEN 'T' WHEN 9 THEN 'P' ELSE '' END AS series,
          CAST(round(l.l_discount * 100) AS INT) AS d,
          CAST(round(l.l_tax * 100) AS INT) AS x,
          CAST(l.l_quantity AS INT) AS q,
@@ -26,14 +28,18 @@ b AS (
       CASE l_linenumber % 4 WHEN 0 THEN 'https://doi.org/10.1000/P' WHEN 1 THEN 'doi: 10.1000/p'
                             WHEN 2 THEN 'http://dx.doi.org/10.1000/P' ELSE '10.1000/p' END
       || CAST(paper AS STRING) || CASE l_linenumber % 4 WHEN 0 THEN '.' ELSE '' END END AS doi_raw,
-    CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-')
-                    ELSE p_name || ' ' || CAST(p_size % 4 AS STRING) END AS nanozyme,
-    CASE p_type WHEN 'STANDARD' THEN 'POD' WHEN 'SMALL' THEN 'Peroxidase-like' WHEN 'LARGE' THEN 'oxidase'
-                WHEN 'PROMO' THEN 'catalase like' WHEN 'ECONOMY' THEN 'SOD' ELSE 'GPx' END AS activity_raw,
-    CASE l_returnflag WHEN 'A' THEN 'TMB' WHEN 'N' THEN 'H2O2' ELSE 'ABTS' END AS substrate,
-    CASE WHEN x = 8 THEN NULL ELSE 3.0E0 + 0.5E0 * d END AS ph,
-    CASE WHEN l_linestatus = 'O' AND q % 10 = 0 THEN NULL ELSE 25.0E0 + 4.0E0 * (q % 4) END AS temperature_c,
+    CASE WHEN series <> '' THEN 'Series ' || series || CAST(CAST(floor(paper / 40) AS BIGINT) % 20 AS STRING)
+         WHEN l_partkey % 13 = 0 THEN upper(translate(substr(md5(CAST(CAST(floor(l_partkey / 52) AS BIGINT) AS STRING) || 'x' || CAST(l_partkey % 3 AS STRING)), 1, 7), '0123456789', 'ghijklmnop'))
+                                      || CASE WHEN l_partkey % 39 = 0 THEN CAST(l_partkey % 10 AS STRING) ELSE '' END
+         WHEN p_size % 3 = 0 THEN upper(p_name) WHEN p_size % 3 = 1 THEN replace(p_name, ' ', '-')
+         ELSE p_name || ' ' || CAST(p_size % 4 AS STRING) END AS nanozyme,
+    CASE WHEN series <> '' THEN 'POD' ELSE CASE p_type WHEN 'STANDARD' THEN 'POD' WHEN 'SMALL' THEN 'Peroxidase-like' WHEN 'LARGE' THEN 'oxidase'
+                WHEN 'PROMO' THEN 'catalase like' WHEN 'ECONOMY' THEN 'SOD' ELSE 'GPx' END END AS activity_raw,
+    CASE WHEN series <> '' OR l_returnflag = 'A' THEN 'TMB' WHEN l_returnflag = 'N' THEN 'H2O2' ELSE 'ABTS' END AS substrate,
+    CASE WHEN series = 'T' THEN 4.0E0 WHEN x = 8 THEN NULL ELSE 3.0E0 + 0.5E0 * d END AS ph,
+    CASE WHEN series = 'P' THEN 25.0E0 WHEN l_linestatus = 'O' AND q % 10 = 0 THEN NULL ELSE 25.0E0 + 4.0E0 * (q % 4) END AS temperature_c,
     CASE WHEN q = 1 THEN NULL WHEN q = 2 THEN 0.0E0
+         WHEN series = '' AND l_partkey % 13 = 0 THEN (500 + 20 * (l_partkey % 7) + cents % 90) / 1000.0E0
          WHEN src = 2 AND l_partkey % 7 = 0 THEN cents / 1000.0E0
          WHEN src = 3 AND l_partkey % 11 = 0 THEN cents / 10000000.0E0
          ELSE cents / 1000000.0E0 END AS km_mm,

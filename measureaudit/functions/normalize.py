@@ -219,11 +219,15 @@ def clipped_log(c: Column | str) -> Column:
     return F.log10(F.greatest(_col(c), F.lit(1e-6)))
 
 
+#: The words of a name that tell a variant's shape or size.
+VARIANT_WORDS = ("nc", "nrs", "nus", "nps", "nws", "nds", "omc", "nfs", "ons", "mcs")
+
+
 def family(c: Column | str) -> Column:
     """A name without percentages, zero-led numbers and size or shape words: the key of a material's variants."""
     s = F.regexp_replace(_col(c), "[0-9]+(\\.[0-9]+)?\\s*%", "")
     s = F.regexp_replace(s, "\\b0[0-9]+\\b", "")
-    s = F.regexp_replace(s, "(?i)\\b(nc|nrs|nus|nps|nws|nds|omc|nfs|ons|mcs)\\b", "")
+    s = F.regexp_replace(s, "(?i)\\b(" + "|".join(VARIANT_WORDS) + ")\\b", "")
     return F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
 
 
