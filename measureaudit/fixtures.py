@@ -46,6 +46,9 @@ b AS (
     CASE WHEN q % 3 = 0 THEN NULL ELSE (cents % 9973 + 1) / 1000.0E0 END AS vmax_um_s,
     CASE WHEN q % 7 <> 0 THEN NULL ELSE (cents % 997 + 1) / 10.0E0 END AS kcat_s,
     CAST(p_size AS DOUBLE) AS size_nm,
+    CASE l_partkey % 7 WHEN 0 THEN 26 WHEN 1 THEN 58 WHEN 2 THEN 29 WHEN 3 THEN 79 WHEN 4 THEN 25 ELSE NULL END AS metal_no,
+    CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 90 AS DOUBLE) END AS metal_ratio,
+    CAST(l_partkey % 4 AS INT) AS metal_valence, CAST(l_partkey % 8 AS INT) AS dopant,
     (src = 4 AND x < 7) AS km_uncertain
   FROM b
 )"""
@@ -75,6 +78,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = N.doi("doi_raw")
     return rec(spark, sf_dir).select(
         "rec_id", "provenance", F.col("nanozyme").alias("material"), F.col("substrate").alias("sub"), "ph", F.col("temperature_c").alias("t"), "km_mm", "vmax_um_s", "kcat_s", "size_nm", "km_uncertain",
+        N.symbol("metal_no").alias("metal_type"), "metal_ratio", "metal_valence", *[F.when(F.col("dopant") == k, 1).otherwise(0).alias(f"doped_{x}") for k, x in enumerate("npsbf", 1)],
         doi.alias("doi"), N.alnum_key("nanozyme").alias("mat"), N.activity("activity_raw").alias("act"), F.when(doi == "", F.concat(F.lit("na-"), "rec_id")).otherwise(doi).alias("paper"),
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .elements import ATTRIBUTES, NUMBERS
+
 # Activity names and their short forms.
 ACTIVITIES = {
     "peroxidase": "peroxidase", "pod": "peroxidase", "oxidase": "oxidase", "oxd": "oxidase", "catalase": "catalase", "cat": "catalase", "superoxide dismutase": "superoxide dismutase", "sod": "superoxide dismutase",
@@ -157,7 +159,8 @@ def atomic_number(c: Column | str) -> Column:
 
 
 def symbol(c: Column | str) -> Column:
-    return lookup(_col(c).cast("int"), {z: s for s, z in ATOMIC.items()})
+    """The element of that atomic number; null for others and for what is no number."""
+    return lookup(_col(c).try_cast("int"), NUMBERS)
 
 
 def ratio(c: Column | str) -> Column:
@@ -212,7 +215,7 @@ def metal(metal_type: Column | str, name: Column | str) -> Column:
     """The main metal's symbol: of the metal column up to a dash, else the leading known element of the name."""
     own = blank_to_null(metal_type)
     lead = F.regexp_extract(_col(name), "^([A-Z][a-z]?)", 1)
-    return F.coalesce(F.when(~F.lower(own).isin("nan", "none", "null", "0"), F.trim(F.split(own, "-")[0])), F.when(lead.isin(*ELEMENTS), lead))
+    return F.coalesce(F.when(~F.lower(own).isin("nan", "none", "null", "0"), F.trim(F.split(own, "-")[0])), F.when(lead.isin(*ATTRIBUTES), lead))
 
 
 def clipped_log(c: Column | str) -> Column:
