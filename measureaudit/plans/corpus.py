@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixtures import entries, sql
+from ..operators.containment import paper_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +49,12 @@ def link_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOIs whose trailing number ends the path of a page, three pages each at most."""
-    dois = entries(spark, sf_dir).where("doi <> ''").select("doi", F.regexp_extract("doi", "([0-9]+)$", 1).alias("token")).distinct()
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "/([0-9]+)(\\.html|/)?$", 1).alias("token")).where("token <> ''")
-    met = dois.join(pages, "token").withColumn("r", F.row_number().over(W.partitionBy("doi").orderBy("page_id"))).where("r <= 3")
-    return met.select("doi", "token", "page_id")
+    """The files of each DOI, three at most. Files are named after the numbers of pages, in three spellings."""
+    number = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "/([0-9]+)(\\.html|/)?$", 1)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", number.alias("number")).where("number <> ''")
+    kind = F.col("page_id") % 3
+    name = F.when(kind == 0, F.concat(F.lit("Scan_p"), "number", F.lit(".pdf"))).when(kind == 1, F.concat(F.lit("si-"), F.lit("p-"), "number", F.lit(" x.pdf"))).otherwise(F.concat(F.lit("P"), "number", F.lit(".pdf")))
+    return paper_files(entries(spark, sf_dir).where("doi <> ''").select("doi"), pages.select(F.lpad(F.col("page_id").cast("string"), 8, "0").alias("path"), name.alias("name")))
 
 
 QUERIES = {f.__name__: f for f in (search_notes, keyword_context, link_neighbors, suffix_match)}
@@ -64,6 +66,10 @@ ORACLES = {
       c AS (SELECT doc_id, CAST(place AS BIGINT) AS place, substr(text, CAST(greatest(0, place - 160) AS BIGINT) + 1, CAST(place - greatest(0, place - 160) + 227 AS BIGINT)) AS context FROM l)
       SELECT doc_id, place, context FROM (SELECT * FROM c WHERE contains(context, 'MIT') OR contains(context, 'Apache') QUALIFY row_number() OVER (PARTITION BY doc_id, substr(context, 1, 80) ORDER BY place) = 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) <= 12""",
     "link_neighbors": """SELECT target, count(*) AS n_links, count(DISTINCT page_id) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages) GROUP BY 1""",
-    "suffix_match": sql("""SELECT doi, token, page_id FROM (SELECT doi, d.token, page_id, row_number() OVER (PARTITION BY doi ORDER BY page_id) AS r FROM (SELECT DISTINCT doi, regexp_extract(doi, '([0-9]+)$', 1) AS token FROM ent WHERE doi <> '') AS d
-      JOIN (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([0-9]+)(\\.html|/)?$', 1) AS token FROM pages) AS p ON d.token = p.token AND d.token <> '') WHERE r <= 3"""),
+    "suffix_match": sql(r"""SELECT doi, path, tier FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY path) AS r FROM (
+      WITH n AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([0-9]+)(\.html|/)?$', 1) AS number FROM pages),
+      f AS (SELECT lpad(CAST(page_id AS VARCHAR), 8, '0') AS path, CASE page_id % 3 WHEN 0 THEN 'Scan_p' || number || '.pdf' WHEN 1 THEN 'si-p-' || number || ' x.pdf' ELSE 'P' || number || '.pdf' END AS name FROM n WHERE number <> ''),
+      d AS (SELECT DISTINCT doi, replace(split_part(doi, '/', -1), '.', '') AS key, lower(list_extract(regexp_split_to_array(split_part(doi, '/', -1), '[.-]'), -1)) AS piece FROM ent WHERE doi <> ''),
+      a AS (SELECT doi, path, 1 AS tier FROM d JOIN f ON contains(translate(name, '._- ', ''), key))
+      SELECT * FROM a UNION ALL SELECT doi, path, 2 FROM d JOIN f ON contains(lower(name), piece) WHERE length(piece) >= 5 AND doi NOT IN (SELECT doi FROM a))) WHERE r <= 3"""),
 }
