@@ -12,36 +12,88 @@ from pyspark.sql import functions as F
 PH_TOL, T_TOL = 0.2, 2.0
 
 
-class _Median:
-    """The median of values that come one by one, with counts."""
+class _Rising:
+    """The median of counted values that come in ascending order: their running counts are all that is kept."""
 
     def __init__(self):
         self.values: list[float] = []
+        self.upto: list[int] = []
 
     def add(self, value: float, n: int) -> None:
-        at = bisect.bisect_left(self.values, value)
-        self.values[at:at] = [value] * n
+        self.values.append(value)
+        self.upto.append(n + (self.upto[-1] if self.upto else 0))
 
     @property
     def now(self) -> float:
-        v, n = self.values, len(self.values)
-        return v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2
+        n = self.upto[-1]
+        low, high = (self.values[bisect.bisect_right(self.upto, k)] for k in ((n - 1) // 2, n // 2))
+        return high if low == high else (low + high) / 2
+
+
+class _Counted:
+    """The median of counted values in any order, all of them among `places` (sorted): a binary indexed tree of counts, of the places between the
+    smallest and the largest value so far at most."""
+
+    def __init__(self, places: list[float]):
+        self.places, self.tree, self.total = places, {}, 0
+        self.top = 1 << (len(places).bit_length() - 1)
+
+    def add(self, value: float, n: int) -> None:
+        self.total += n
+        k = bisect.bisect_left(self.places, value) + 1
+        while k <= len(self.places):
+            self.tree[k] = self.tree.get(k, 0) + n
+            k += k & -k
+
+    def _at(self, rank: int) -> float:
+        k, step, left = 0, self.top, rank
+        while step:
+            if k + step <= len(self.places) and self.tree.get(k + step, 0) <= left:
+                k += step
+                left -= self.tree.get(k, 0)
+            step >>= 1
+        return self.places[k]
+
+    @property
+    def now(self) -> float:
+        low, high = self._at((self.total - 1) // 2), self._at(self.total // 2)
+        return high if low == high else (low + high) / 2
 
 
 def greedy(points: list[tuple[float, float, int]], ph_tol: float = PH_TOL, t_tol: float = T_TOL) -> list[int]:
-    """The cluster number of each (pH, T, count), given in (pH, T) order."""
-    clusters: list[tuple[_Median, _Median]] = []
+    """The cluster number of each (pH, T, count), given in (pH, T) order: the first cluster whose medians are within both tolerances, else a new
+    one.
+
+    pH only rises, so a cluster whose pH median has fallen behind is closed for good. Open ones are kept in the order of their T medians;
+    a point looks among those within tolerance of its T."""
+    places = sorted({t for _, t, _ in points})
+    ph_of: list[_Rising] = []
+    t_of: list[_Counted] = []
+    open_: list[tuple[float, int]] = []  # (T median, cluster)
     out = []
     for ph, t, n in points:
-        for k, (a, b) in enumerate(clusters):
-            if abs(ph - a.now) <= ph_tol and abs(t - b.now) <= t_tol:
+        at, found, closed = bisect.bisect_left(open_, (t - t_tol * (1 + 1e-9) - 1e-9, -1)), -1, []
+        for k in range(at, len(open_)):
+            mid, c = open_[k]
+            if mid > t + t_tol * (1 + 1e-9) + 1e-9:
                 break
+            behind = ph - ph_of[c].now
+            if behind > ph_tol:
+                closed.append(k)
+            elif abs(behind) <= ph_tol and abs(t - mid) <= t_tol and (found < 0 or c < open_[found][1]):
+                found = k
+        c = open_[found][1] if found >= 0 else len(ph_of)
+        if found < 0:
+            ph_of.append(_Rising())
+            t_of.append(_Counted(places))
         else:
-            k = len(clusters)
-            clusters.append((_Median(), _Median()))
-        clusters[k][0].add(ph, n)
-        clusters[k][1].add(t, n)
-        out.append(k)
+            closed.append(found)
+        for k in sorted(closed, reverse=True):
+            del open_[k]
+        ph_of[c].add(ph, n)
+        t_of[c].add(t, n)
+        bisect.insort(open_, (t_of[c].now, c))
+        out.append(c)
     return out
 
 
