@@ -48,6 +48,7 @@ b AS (
     CAST(p_size AS DOUBLE) AS size_nm,
     CASE l_partkey % 7 WHEN 0 THEN 26 WHEN 1 THEN 58 WHEN 2 THEN 29 WHEN 3 THEN 79 WHEN 4 THEN 25 ELSE NULL END AS metal_no,
     CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 90 AS DOUBLE) END AS metal_ratio,
+    CASE q % 7 WHEN 0 THEN NULL WHEN 1 THEN 'hydrothermal' WHEN 2 THEN 'coprecipitation' WHEN 3 THEN 'sol-gel' WHEN 4 THEN 'calcination' WHEN 5 THEN 'pyrolysis' ELSE 'reduction ' || CAST(l_partkey % 3 AS STRING) END AS method,
     CAST(l_partkey % 4 AS INT) AS metal_valence, CAST(l_partkey % 8 AS INT) AS dopant,
     (src = 4 AND x < 7) AS km_uncertain
   FROM b
@@ -58,7 +59,7 @@ ENTRIES = (
     REC
     + r""", ent AS (
   SELECT *, CASE WHEN doi = '' THEN 'na-' || rec_id ELSE doi END AS paper FROM (
-    SELECT rec_id, provenance, nanozyme AS material, substrate AS sub, ph, temperature_c AS t, km_mm, vmax_um_s, kcat_s, size_nm, km_uncertain,
+    SELECT rec_id, provenance, nanozyme AS material, substrate AS sub, ph, temperature_c AS t, km_mm, vmax_um_s, kcat_s, size_nm, km_uncertain, method,
            lower(regexp_replace(regexp_replace(regexp_replace(trim(doi_raw), '^(?i)https?://(dx\.)?doi\.org/', ''), '^(?i)doi:\s*', ''), '\.+$', '')) AS doi,
            regexp_replace(lower(nanozyme), '[^a-z0-9]', '', 'g') AS mat,
            CASE activity_raw WHEN 'POD' THEN 'peroxidase' WHEN 'Peroxidase-like' THEN 'peroxidase' WHEN 'oxidase' THEN 'oxidase'
@@ -77,7 +78,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat entries: keys, condition and values of every measurement. A row without DOI is a paper of its own."""
     doi = N.doi("doi_raw")
     return rec(spark, sf_dir).select(
-        "rec_id", "provenance", F.col("nanozyme").alias("material"), F.col("substrate").alias("sub"), "ph", F.col("temperature_c").alias("t"), "km_mm", "vmax_um_s", "kcat_s", "size_nm", "km_uncertain",
+        "rec_id", "provenance", F.col("nanozyme").alias("material"), F.col("substrate").alias("sub"), "ph", F.col("temperature_c").alias("t"), "km_mm", "vmax_um_s", "kcat_s", "size_nm", "km_uncertain", "method",
         N.symbol("metal_no").alias("metal_type"), "metal_ratio", "metal_valence", *[F.when(F.col("dopant") == k, 1).otherwise(0).alias(f"doped_{x}") for k, x in enumerate("npsbf", 1)],
         doi.alias("doi"), N.alnum_key("nanozyme").alias("mat"), N.activity("activity_raw").alias("act"), F.when(doi == "", F.concat(F.lit("na-"), "rec_id")).otherwise(doi).alias("paper"),
     )

@@ -50,13 +50,22 @@ def lineage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count("*").alias("n_dois"), one("multi")("n_multi"), one("sources = 'human'")("n_human_only"), one("sources not like '%human%'")("n_db_only"), F.max("n_sources").cast("long").alias("max_sources"))
 
 
+def gaps(e: DataFrame) -> DataFrame:
+    """(kind, name, only_in): materials, activities and systems that only the curated (human) or only the other sources (db) have, in one
+    pass over the rows."""
+    system = F.concat_ws("|", "mat", "act", "sub", F.col("ph").cast("decimal(4,1)").cast("string"), F.col("t").cast("int").cast("string"))
+    items = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("material", F.col("material")), ("activity", F.col("act")), ("system", system))])
+    sides = e.select((F.col("provenance") == "human").alias("h"), F.explode(items).alias("i")).where("i.name <> ''").groupBy("i.kind", "i.name").agg(F.bool_or("h").alias("human"), F.bool_or(~F.col("h")).alias("db"))
+    return sides.where("human <> db").select("kind", "name", F.when(F.col("human"), "human").otherwise("db").alias("only_in"))
+
+
+def coverage_gap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps(entries(spark, sf_dir))
+
+
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materials and activities that only the curated or only the other sources have."""
-    e = entries(spark, sf_dir)
-    items = e.select("provenance", F.explode(F.array(F.struct(F.lit("material").alias("kind"), F.col("material").alias("name")), F.struct(F.lit("system").alias("kind"), F.concat_ws("|", "mat", "act", "sub", F.col("ph").cast("decimal(4,1)").cast("string"), F.col("t").cast("int").cast("string")).alias("name")))).alias("i"))
-    sides = [items.where(c).select("i.kind", "i.name").distinct() for c in ("provenance = 'human'", "provenance <> 'human'")]
-    a, b = sides
-    return a.exceptAll(b).withColumn("only_in", F.lit("human")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("db"))).groupBy("kind", "only_in").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+    """How many materials, activities and systems one side lacks, and the first of each."""
+    return gaps(entries(spark, sf_dir)).groupBy("kind", "only_in").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
 
 
 def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +148,11 @@ def _with(ctes: str, body: str) -> str:
     return sql("SELECT 1").rsplit("\nSELECT 1", 1)[0] + ctes + "\n" + body
 
 
-QUERIES = {f.__name__: f for f in (cross_source_conflicts, unit_mismatch, sameph_census, lineage_matrix, lineage_summary, coverage_gaps, provenance_counts, source_profile, identity_conditions, dedupe_records, paper_stats, integrated_layer, unit_rescale, review_sample, holdout_split)}
+_GAPS = """, i AS (SELECT provenance = 'human' AS h, 'material' AS kind, material AS name FROM ent UNION ALL SELECT provenance = 'human', 'activity', act FROM ent UNION ALL
+  SELECT provenance = 'human', 'system', mat || '|' || act || '|' || sub || CASE WHEN ph IS NULL THEN '' ELSE '|' || CAST(CAST(ph AS DECIMAL(4, 1)) AS VARCHAR) END || CASE WHEN t IS NULL THEN '' ELSE '|' || CAST(CAST(t AS INT) AS VARCHAR) END FROM ent),
+  gaps AS (SELECT kind, name, CASE WHEN bool_and(h) THEN 'human' ELSE 'db' END AS only_in FROM i GROUP BY 1, 2 HAVING bool_and(h) OR NOT bool_or(h))"""
+
+QUERIES = {f.__name__: f for f in (cross_source_conflicts, unit_mismatch, sameph_census, lineage_matrix, lineage_summary, coverage_gaps, coverage_gap_lists, provenance_counts, source_profile, identity_conditions, dedupe_records, paper_stats, integrated_layer, unit_rescale, review_sample, holdout_split)}
 ORACLES = {
     "cross_source_conflicts": _with(_X, "SELECT * FROM x WHERE fold >= 2"),
     "unit_mismatch": _with(_X, "SELECT doi, material, sub, fold, CASE WHEN abs(fold - 10) / 10 <= 0.15 THEN '~10×' WHEN abs(fold - 100) / 100 <= 0.15 THEN '~100×' WHEN abs(fold - 1000) / 1000 <= 0.15 THEN '~1000×' ELSE '>100×' END AS suspect_unit FROM x WHERE fold >= 2 AND (abs(fold - 10) / 10 <= 0.15 OR fold >= 85 AND abs(fold - 100) / 100 <= 0.15 OR fold >= 100)"),
@@ -148,9 +161,8 @@ ORACLES = {
       count(*) FILTER (fold >= 10) AS buckets_10, count(*) FILTER (fold >= 100) AS buckets_100, (SELECT count(*) FROM s WHERE widest >= 10) AS systems_10, (SELECT count(*) FROM s WHERE widest >= 100) AS systems_100, max(fold) AS widest_fold FROM p"""),
     "lineage_matrix": _with(_M, "SELECT * FROM m"),
     "lineage_summary": _with(_M, "SELECT count(*) AS n_dois, count(*) FILTER (multi) AS n_multi, count(*) FILTER (sources = 'human') AS n_human_only, count(*) FILTER (sources NOT LIKE '%human%') AS n_db_only, max(n_sources) AS max_sources FROM m"),
-    "coverage_gaps": _with(""", i AS (SELECT provenance = 'human' AS h, 'material' AS kind, material AS name FROM ent UNION ALL
-      SELECT provenance = 'human', 'system', mat || '|' || act || '|' || sub || CASE WHEN ph IS NULL THEN '' ELSE '|' || CAST(CAST(ph AS DECIMAL(4, 1)) AS VARCHAR) END || CASE WHEN t IS NULL THEN '' ELSE '|' || CAST(CAST(t AS INT) AS VARCHAR) END FROM ent)""",
-      """SELECT kind, CASE WHEN bool_and(h) THEN 'human' ELSE 'db' END AS only_in, count(*) AS n, min(name) AS first_name FROM (SELECT kind, name, bool_and(h) AS h, bool_or(h) AS o FROM i GROUP BY 1, 2) AS g WHERE h OR NOT o GROUP BY kind, h"""),
+    "coverage_gaps": _with(_GAPS, "SELECT kind, only_in, count(*) AS n, min(name) AS first_name FROM gaps GROUP BY 1, 2"),
+    "coverage_gap_lists": _with(_GAPS, "SELECT * FROM gaps"),
     "provenance_counts": sql("SELECT provenance, count(*) AS n FROM ent GROUP BY 1"),
     "source_profile": sql("SELECT provenance, count(*) AS n_rows, 3 + CAST(count(ph) > 0 AS BIGINT) + CAST(count(t) > 0 AS BIGINT) + CAST(count(km_mm) > 0 AS BIGINT) + CAST(count(vmax_um_s) > 0 AS BIGINT) + CAST(count(kcat_s) > 0 AS BIGINT) + CAST(count(size_nm) > 0 AS BIGINT) AS n_fields, count(*) FILTER (doi = '') AS n_no_doi, count(*) FILTER (km_uncertain) AS n_uncertain FROM ent GROUP BY 1"),
     "identity_conditions": sql("SELECT n_conditions, count(*) AS n_identities, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n_rows - n_conditions) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n_conditions, sum(n) AS n_rows FROM (SELECT paper, material, act, sub, ph, t, count(*) AS n FROM ent GROUP BY ALL) GROUP BY paper, material, act, sub) GROUP BY 1"),

@@ -36,10 +36,66 @@ def hub_top_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("place", place).where("place <= 12")
 
 
+def hub_top_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent methods of each hub; rows without a method don't count."""
+    counts = entries(spark, sf_dir).where("method <> ''").groupBy("act", "sub", "method").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("act", "sub").orderBy(F.desc("n"), "method"))
+    return counts.withColumn("place", place).where("place <= 5")
+
+
+#: Rows that represent a hub.
+SHOWN = 25
+
+
+def representatives(e: DataFrame, most: int = SHOWN) -> DataFrame:
+    """Up to `most` rows of each hub, those of its twelve most frequent materials first and in their order, then by name and id.
+
+    Ranks are taken where the rows are before any are shuffled: Spark limits each task's rows of a hub to `most`, and a hub's last task ranks those."""
+    counts = e.groupBy("act", "sub", "mat").agg(F.count("*").alias("n"))
+    order = counts.withColumn("place", F.row_number().over(W.partitionBy("act", "sub").orderBy(F.desc("n"), "mat"))).where("place <= 12").drop("n")
+    # Twelve rows for each pair of an activity and a substrate.
+    met = e.join(F.broadcast(order) if order.limit(100_001).count() <= 100_000 else order, ["act", "sub", "mat"], "left").withColumn("place", F.coalesce("place", F.lit(999)))
+    rank = F.row_number().over(W.partitionBy("act", "sub").orderBy("place", "mat", "rec_id"))
+    return met.withColumn("shown", rank).where(F.col("shown") <= most).select("act", "sub", "shown", "place", "mat", "rec_id", "method", "ph", "t", "km_mm", "vmax_um_s", "kcat_s")
+
+
+def hub_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives(entries(spark, sf_dir))
+
+
 def entity_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).groupBy("mat").agg(F.count("*").alias("n"), F.count_distinct("paper").alias("n_papers"), F.array_join(F.slice(F.array_sort(F.collect_set("material")), 1, 8), " | ").alias("names"))
 
 
+def taxonomies(e: DataFrame) -> DataFrame:
+    """(kind, key, n, n_papers, names): materials, activities and substrates of rows with a kinetic value, in one pass: each row stands once for each kind.
+    Names are the first eight, sorted; rows without DOI are papers of their own. Blank keys are left out."""
+    kinetic = e.where("km_mm is not null or vmax_um_s is not null or kcat_s is not null")
+    low = F.lower(F.trim("sub"))
+    sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c) if isinstance(c, str) else c, F.col(raw).alias("name")) for k, c, raw in (("material", F.col("mat").alias("key"), "material"), ("activity", F.col("act").alias("key"), "act"), ("substrate", low.alias("key"), "sub"))])
+    each = kinetic.select("paper", F.explode(sides).alias("x")).select("paper", "x.*").where("key <> ''")
+    return each.groupBy("kind", "key").agg(F.count("*").alias("n"), F.count_distinct("paper").alias("n_papers"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 8), " | ").alias("names"))
+
+
+def entity_taxonomies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomies(entries(spark, sf_dir))
+
+
+def in_categories(materials: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, place, key, n, n_papers): materials by category, most papers first, then most rows, then by key; those that `categories` (key,
+    category) lacks are 'unknown'."""
+    own = categories.groupBy("key").agg(F.min("category").alias("category"))
+    met = materials.join(own, "key", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    place = F.row_number().over(W.partitionBy("category").orderBy(F.desc("n_papers"), F.desc("n"), "key"))
+    return met.select("category", place.cast("long").alias("place"), "key", "n", "n_papers")
+
+
+def category_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materials by the brand of the parts that are named like them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return in_categories(taxonomies(entries(spark, sf_dir)).where("kind = 'material'"), parts.select(N.alnum_key("p_name").alias("key"), F.col("p_brand").alias("category")))
+
+
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mat, n, n_papers, family): a key with trailing digits joins its base if the base is a key, has no digit and three
     letters or more."""
@@ -134,7 +190,10 @@ _FOLD = "CAST(CAST('0x' || substr(md5('7' || paper), 1, 8) AS BIGINT) % 5 AS INT
 _LABEL = "CASE WHEN act LIKE '%superoxide%' THEN 'SOD' WHEN act LIKE '%catalase%' THEN 'CAT' WHEN act LIKE '%peroxidase%' THEN 'POD' WHEN act LIKE '%oxidase%' THEN 'OXD' ELSE 'OTHER' END"
 _RANDOM = f"(SELECT rec_id, paper, {_LABEL} AS label, CAST((row_number() OVER (PARTITION BY {_LABEL} ORDER BY md5(rec_id)) - 1) % 5 AS INTEGER) AS fold, {_FOLD} AS g FROM ent WHERE {_U})"
 
-QUERIES = {f.__name__: f for f in (hub_digest, hub_sizes, hub_top_materials, entity_materials, material_families, grouped_folds, random_folds, leakage_audit, target_encoding, oof_encoding, material_atoms, external_split)}
+_TAXONOMY = """(SELECT kind, key, count(*) AS n, count(DISTINCT paper) AS n_papers, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 8), ' | ') AS names FROM (
+  SELECT paper, unnest([{'kind': 'material', 'key': mat, 'name': material}, {'kind': 'activity', 'key': act, 'name': act}, {'kind': 'substrate', 'key': lower(sub), 'name': sub}], recursive := true) FROM ent WHERE coalesce(km_mm, vmax_um_s, kcat_s) IS NOT NULL) GROUP BY 1, 2)"""
+
+QUERIES = {f.__name__: f for f in (hub_digest, hub_sizes, hub_top_materials, hub_top_methods, hub_representatives, entity_materials, entity_taxonomies, category_groups, material_families, grouped_folds, random_folds, leakage_audit, target_encoding, oof_encoding, material_atoms, external_split)}
 ORACLES = {
     "hub_digest": sql("""SELECT s.act, s.sub, field, n_rows, n_papers, n_materials, count(*) AS n, min(value) AS lo, max(value) AS hi, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median,
       round(quantile_cont(value, 0.75), 9) AS q3, round(log10(max(value) FILTER (value > 0) / min(value) FILTER (value > 0)), 6) AS orders
@@ -142,6 +201,12 @@ ORACLES = {
       JOIN (SELECT act, sub, count(*) AS n_rows, count(DISTINCT paper) AS n_papers, count(DISTINCT mat) AS n_materials FROM ent GROUP BY 1, 2) AS s ON v.act = s.act AND v.sub = s.sub WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6"""),
     "hub_sizes": sql("SELECT act, sub, count(*) AS n FROM ent GROUP BY 1, 2"),
     "hub_top_materials": sql("SELECT act, sub, mat, n, place FROM (SELECT *, row_number() OVER (PARTITION BY act, sub ORDER BY n DESC, mat) AS place FROM (SELECT act, sub, mat, count(*) AS n FROM ent GROUP BY 1, 2, 3)) WHERE place <= 12"),
+    "hub_top_methods": sql("SELECT act, sub, method, n, place FROM (SELECT *, row_number() OVER (PARTITION BY act, sub ORDER BY n DESC, method) AS place FROM (SELECT act, sub, method, count(*) AS n FROM ent WHERE method <> '' GROUP BY 1, 2, 3)) WHERE place <= 5"),
+    "hub_representatives": sql("""SELECT act, sub, shown, place, mat, rec_id, method, ph, t, km_mm, vmax_um_s, kcat_s FROM (SELECT e.*, coalesce(o.place, 999) AS place, row_number() OVER (PARTITION BY e.act, e.sub ORDER BY coalesce(o.place, 999), e.mat, e.rec_id) AS shown FROM ent AS e LEFT JOIN (
+      SELECT * FROM (SELECT act, sub, mat, row_number() OVER (PARTITION BY act, sub ORDER BY count(*) DESC, mat) AS place FROM ent GROUP BY 1, 2, 3) WHERE place <= 12) AS o ON e.act = o.act AND e.sub = o.sub AND e.mat = o.mat) WHERE shown <= 25"""),
+    "entity_taxonomies": sql(f"SELECT kind, key, n, n_papers, names FROM {_TAXONOMY}"),
+    "category_groups": sql(f"""SELECT category, row_number() OVER (PARTITION BY category ORDER BY n_papers DESC, n DESC, key) AS place, key, n, n_papers FROM (SELECT t.*, coalesce(c.category, 'unknown') AS category FROM {_TAXONOMY} AS t
+      LEFT JOIN (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, min(p_brand) AS category FROM part GROUP BY 1) AS c ON t.key = c.key WHERE kind = 'material')"""),
     "entity_materials": sql("SELECT mat, count(*) AS n, count(DISTINCT paper) AS n_papers, array_to_string(list_slice(list_sort(list(DISTINCT material)), 1, 8), ' | ') AS names FROM ent GROUP BY 1"),
     "material_families": sql("""SELECT family, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_members, string_agg(mat, ',' ORDER BY p DESC, n DESC, mat) AS members FROM (
       SELECT mat, n, p, CASE WHEN regexp_extract(mat, '^([a-z]{3,})[0-9]+$', 1) IN (SELECT mat FROM ent) THEN regexp_extract(mat, '^([a-z]{3,})[0-9]+$', 1) ELSE mat END AS family
