@@ -9,6 +9,7 @@ from ..fixtures import entries, sql
 from ..functions import normalize as N
 from ..operators import conflicts as C
 from ..operators.cluster import condition_clusters
+from ..store import kept
 
 # On the fixture grid (0.5 in pH, 4 in T) the greedy clusters are the exact condition points.
 LONG = """, v AS (
@@ -34,8 +35,13 @@ def _sql(body: str, ctes: str = CLUSTERS) -> str:
     return f"{LONG_SQL}{ctes}\n{body}"
 
 
+def _values(spark: SparkSession, sf_dir: str, metrics: dict[str, str] = C.METRICS) -> DataFrame:
+    """The long form, written once: clustering reads it for the points and again for the rows."""
+    return kept(C.long_form(entries(spark, sf_dir), metrics), "values")
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.conflict_clusters(C.long_form(entries(spark, sf_dir)))
+    return C.conflict_clusters(_values(spark, sf_dir))
 
 
 def conflict_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +59,18 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cluster with its tier, reason tags, and its values as DOI=value, by DOI and value."""
-    values = C.long_form(entries(spark, sf_dir))
-    rows = C.clustered(values)
+    return register(_values(spark, sf_dir))
+
+
+def register(values: DataFrame) -> DataFrame:
+    """audit_register over long-form values. Rows are clustered once and written; a value is shown as the number it is."""
+    rows = kept(C.clustered(values).select("rec_id", "material", "doi", "paper", *C.KEYS, "ph", "t", "value", "c_ph", "c_t"), "clustered")
     keys = [*C.KEYS, "c_ph", "c_t"]
     found = C.conflict_clusters(values, rows).withColumn("tier", C.tier(F.col("severity")))
     # Equal items of a paper are one; only clusters of the register gather theirs.
     items = rows.where("value > 0").select(*keys, "paper", "value").distinct().join(found.select(*keys), keys, "left_semi")
     texts = items.groupBy(*keys).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("paper", "value"))).alias("items"))
-    shown = lambda x: F.concat(x["paper"], F.lit("="), F.format_number(x["value"], 6))
+    shown = lambda x: F.concat(x["paper"], F.lit("="), x["value"].cast("string"))
     tags = F.array_compact(F.array(F.when(N.magnitude_hint(F.col("fold")).isNotNull(), F.lit("magnitude")), F.when(F.col("n_papers") >= 2, F.lit("cross-paper")).otherwise(F.lit("same-paper"))))
     return found.join(texts, keys).select(
         *C.KEYS, "ph", "t", "severity", "tier", (F.col("tier") >= 2).alias("review"), "n_papers", "fold", F.coalesce(N.magnitude_hint(F.col("fold")), F.lit("")).alias("hint"), F.array_join(F.array_sort(tags), "/").alias("tags"), "n_items",
@@ -97,14 +107,14 @@ def robustness_no_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atlas clusters: a missing or zero temperature counts as 25 for clustering, and two points suffice."""
-    values = C.long_form(entries(spark, sf_dir)).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
+    values = _values(spark, sf_dir).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
     found = C.clustered(values).groupBy(*C.KEYS, "c_ph", "c_t").agg(F.count("*").alias("n_points"), F.count_distinct("paper").alias("n_papers"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(F.struct("ph", "doi")).alias("first"))
     return found.where("n_points >= 2").withColumn("fold", F.col("hi") / F.col("lo"))
 
 
 def atlas_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of the atlas, in long form: a cluster of any size is rows, not one array."""
-    values = C.long_form(entries(spark, sf_dir)).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
+    values = _values(spark, sf_dir).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
     rows = C.clustered(values)
     keys = [*C.KEYS, "c_ph", "c_t"]
     several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys)
@@ -150,7 +160,7 @@ ORACLES = {
     "severity_summary": _sql("SELECT metric, severity, count(*) AS n FROM c GROUP BY 1, 2 UNION ALL SELECT metric, 'all', count(*) FROM c GROUP BY 1 UNION ALL SELECT 'all', 'all', count(*) FROM c"),
     "audit_register": _sql(f"""SELECT c.metric, c.mat, c.act, c.sub, c.ph, c.t, severity, CASE severity WHEN 'severe' THEN 3 WHEN 'suspicious' THEN 2 ELSE 1 END AS tier, severity <> 'consistent' AS review, n_papers, fold,
       coalesce({_HINT}, '') AS hint, CASE WHEN {_HINT} IS NULL THEN 'cross-paper' ELSE 'cross-paper/magnitude' END AS tags, n_items, items
-      FROM c JOIN (SELECT metric, mat, act, sub, ph, t, count(*) AS n_items, string_agg(paper || '=' || format('{{:,.6f}}', value), ' | ' ORDER BY paper, value) AS items FROM (SELECT DISTINCT metric, mat, act, sub, ph, t, paper, value FROM v WHERE value > 0) GROUP BY 1, 2, 3, 4, 5, 6) AS i
+      FROM c JOIN (SELECT metric, mat, act, sub, ph, t, count(*) AS n_items, string_agg(paper || '=' || CAST(value AS VARCHAR), ' | ' ORDER BY paper, value) AS items FROM (SELECT DISTINCT metric, mat, act, sub, ph, t, paper, value FROM v WHERE value > 0) GROUP BY 1, 2, 3, 4, 5, 6) AS i
       ON c.metric = i.metric AND c.mat = i.mat AND c.act = i.act AND c.sub = i.sub AND c.ph = i.ph AND c.t = i.t"""),
     "magnitude_hint": _sql(f"SELECT metric, mat, act, sub, ph, t, fold, {_HINT} AS hint FROM c WHERE {_HINT} IS NOT NULL"),
     "severe_cases": _sql("SELECT metric, mat, act, sub, ph, t, fold, n_papers FROM c WHERE severity = 'severe' ORDER BY fold DESC, metric, mat, act, sub, ph, t LIMIT 20"),

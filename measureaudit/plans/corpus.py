@@ -33,10 +33,12 @@ def contexts(docs: DataFrame, pattern: str, before: int, after: int, keep: tuple
     Nothing leaves its row: looking back and ahead takes a hit's sides without using them up, so that contexts may overlap. Null texts, and
     texts without a kept context, have no rows; rows with equal ids are searched one by one."""
     side = "[\\s\\S]"
-    # A hit is found first, as looking back costs more.
-    whole = f"(?={pattern})(?<=((?:\\A{side}{{0,{before}}})|{side}{{{before}}}))({pattern})(?=({side}{{0,{after}}}))"
-    parts = [F.regexp_extract_all("text", F.lit(whole), k) for k in (1, 2, 3)]
-    made = docs.where(F.col("text").rlike(pattern)).select(id_col, F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abc", strict=True)]), lambda x: F.trim(F.regexp_replace(F.concat(x["a"], x["b"], x["c"]), "\\s+", " "))).alias("c"))
+    # A hit is found first, as looking back costs more. Looking back steps by halves of rare characters, so one more than asked is taken.
+    back = f"(?<=({side}{{{before + 1},{2 * before + 2}}}?))|(?<=(\\A{side}{{0,{2 * before + 2}}}))"
+    whole = f"(?={pattern})(?:{back})({pattern})(?=({side}{{0,{after}}}))"
+    zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(whole), k).alias(n) for k, n in enumerate("fshl", 1)])
+    one = lambda x: F.concat(F.right(F.concat(x["f"], x["s"]), F.lit(before)), x["h"], x["l"])
+    made = docs.where(F.col("text").rlike(pattern)).select(id_col, F.transform(zipped, lambda x: F.trim(F.regexp_replace(one(x), "\\s+", " "))).alias("c"))
     held = made.select(id_col, F.filter("c", lambda x: reduce(lambda a, b: a | b, [x.contains(k) for k in keep], F.lit(False))).alias("c"))
     heads = held.withColumn("h", F.transform("c", lambda x: F.substr(x, F.lit(1), F.lit(80))))
     first = F.transform(F.slice(F.array_distinct("h"), 1, most), lambda h: F.element_at("c", F.array_position("h", h).cast("int")))

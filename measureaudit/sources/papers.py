@@ -46,7 +46,10 @@ def read_source_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 
 
 def read_curated_list(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file whose top level is an array of records."""
+    """A JSON file whose top level is an array of records; anything else is an error, found by the first character of each file."""
+    first = spark.read.text(path, wholetext=True).select(F.substr(F.regexp_replace("value", "^[\\uFEFF\\s]+", ""), F.lit(1), F.lit(1)).alias("c"))
+    if other := first.where("c <> '['").limit(1).collect():
+        raise ValueError(f"not an array of records: the file begins with {other[0].c!r}")
     return spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
 
 
