@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixtures import entries, rec, sql
 from ..functions import normalize as N
+from ..sources import registry as R
+from ..sources.papers import map_source
+from ..store import kept
 
 
 def cross_source(rows: DataFrame, keys: list[str], least_fold: float = 2.0) -> DataFrame:
@@ -112,6 +117,36 @@ def integrated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("rec_id", "provenance", F.coalesce(F.when(F.col("doi") != "", F.col("doi")), F.concat(F.lit("na-"), "rec_id")).alias("paper"), "mat", "act", "km_mm", "vmax_um_s")
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, R.Source]]:
+    """The raw rows as each source exports them: text cells under the source's own headers."""
+    r = rec(spark, sf_dir).withColumn("digit", F.conv(F.substr("rec_id", F.lit(1), F.lit(1)), 16, 10).cast("int"))
+    text = lambda c: F.col(c).cast("string")
+    power = F.when(F.col("digit") % 7 != 0, (F.col("digit") % 3 - 1).cast("string"))
+
+    def table(where: str, **cells) -> DataFrame:
+        return r.where(where).select("rec_id", *[(c if isinstance(c, Column) else text(c)).alias(h) for h, c in cells.items()])
+
+    return [
+        (table("provenance = 'human'", **{"Name": "nanozyme", "Mimic enzyme activity": F.when(F.col("digit") % 4 != 0, F.col("activity_raw")), "Size/nm": "size_nm", "Buffer pH value": "ph", "Temperature/℃": "temperature_c", "Substrate1 ": "substrate", "Km/mM": "km_mm", "Vmax/μM s-1": "vmax_um_s", "Kcat/s-1 ": "kcat_s", "data reference doi": "doi_raw", "Metal type": "metal_no"}), R.CURATED_ONE),
+        (table("provenance = 'db:a'", name="nanozyme", mimic_enzyme_activity="activity_raw", buffer_ph_value="ph", temperature="temperature_c", km_per_mm="km_mm", vmax_micro_m_per_s="vmax_um_s", kcat_per_s="kcat_s", substrate1="substrate", data_reference_doi="doi_raw"), R.AI_ZYMES),
+        (table("provenance = 'db:b'", **{"formula": "nanozyme", "activity": "activity_raw", "ph": "ph", "temp, °C": "temperature_c", "Km, mM": "km_mm", "Vmax, mM/s": "vmax_um_s", "ReactionType": F.concat("substrate", F.when(F.col("digit") % 2 == 0, " + OPD").otherwise("")), "link": "doi_raw"}), R.DIZYME),
+        (table("provenance = 'db:c'", **{"Nanozyme Name/ Monomaterial": "nanozyme", "Enzyme Like Activity": "activity_raw", "pH": "ph", "Temp (℃)": "temperature_c", "Kₘ (mM)": "km_mm", "Vmax(nM s⁻¹)": "vmax_um_s", "kcat (s⁻¹)": "kcat_s", "Substrate/Activity": "substrate", "DOI": "doi_raw"}), R.NANOZYME_DB),
+        (table("provenance = 'db:k'", **{"material": "nanozyme", "enzyme type": "activity_raw", "pH": "ph", "T": "temperature_c", "km": "km_mm", "km 10n": power, "vmax": "vmax_um_s", "vmax 10n": power, "kcat": "kcat_s", "kcat 10n": power, "substrate": "substrate"}), R.NANOZYME_NET_K),
+    ]
+
+
+def mapped_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's export, mapped by its own headers, units and defaults, coerced to typed fields, and merged; kinetic rows are kept."""
+    parts = [map_source(df, source, ["rec_id"]) for df, source in _exported(spark, sf_dir)]
+    # Written before it is filtered: else the filter would read the cells of each row once more.
+    merged = kept(reduce(DataFrame.unionByName, parts), "mapped")
+    kinetic = merged.where("Km_mM is not null or Vmax_uM_s_minus1 is not null or (provenance <> 'human' and Kcat_s_minus1 is not null)")
+    return kinetic.select(
+        "rec_id", "provenance", N.alnum_key("nanozyme").alias("mat"), N.activity("mimic_enzyme_activity").alias("act"), N.doi("doi").alias("doi"), F.col("buffer_ph_value").alias("ph"), F.col("temperature_c").alias("t"), F.col("Km_mM").alias("km_mm"), F.col("Vmax_uM_s_minus1").alias("vmax_um_s"),
+        F.col("Kcat_s_minus1").alias("kcat_s"), "substrate1", "substrate2", "metal_type", "km_uncertain", F.size("warnings").alias("n_warnings"),
+    )
+
+
 def unit_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values written as mantissa and exponent, one exponent missing in seven, and Vmax in three unit styles."""
     r = rec(spark, sf_dir).withColumn("digit", F.conv(F.substr("rec_id", F.lit(1), F.lit(1)), 16, 10).cast("int"))
@@ -152,7 +187,7 @@ _GAPS = """, i AS (SELECT provenance = 'human' AS h, 'material' AS kind, materia
   SELECT provenance = 'human', 'system', mat || '|' || act || '|' || sub || CASE WHEN ph IS NULL THEN '' ELSE '|' || CAST(CAST(ph AS DECIMAL(4, 1)) AS VARCHAR) END || CASE WHEN t IS NULL THEN '' ELSE '|' || CAST(CAST(t AS INT) AS VARCHAR) END FROM ent),
   gaps AS (SELECT kind, name, CASE WHEN bool_and(h) THEN 'human' ELSE 'db' END AS only_in FROM i GROUP BY 1, 2 HAVING bool_and(h) OR NOT bool_or(h))"""
 
-QUERIES = {f.__name__: f for f in (cross_source_conflicts, unit_mismatch, sameph_census, lineage_matrix, lineage_summary, coverage_gaps, coverage_gap_lists, provenance_counts, source_profile, identity_conditions, dedupe_records, paper_stats, integrated_layer, unit_rescale, review_sample, holdout_split)}
+QUERIES = {f.__name__: f for f in (cross_source_conflicts, unit_mismatch, sameph_census, lineage_matrix, lineage_summary, coverage_gaps, coverage_gap_lists, provenance_counts, source_profile, identity_conditions, dedupe_records, paper_stats, integrated_layer, mapped_layer, unit_rescale, review_sample, holdout_split)}
 ORACLES = {
     "cross_source_conflicts": _with(_X, "SELECT * FROM x WHERE fold >= 2"),
     "unit_mismatch": _with(_X, "SELECT doi, material, sub, fold, CASE WHEN abs(fold - 10) / 10 <= 0.15 THEN '~10×' WHEN abs(fold - 100) / 100 <= 0.15 THEN '~100×' WHEN abs(fold - 1000) / 1000 <= 0.15 THEN '~1000×' ELSE '>100×' END AS suspect_unit FROM x WHERE fold >= 2 AND (abs(fold - 10) / 10 <= 0.15 OR fold >= 85 AND abs(fold - 100) / 100 <= 0.15 OR fold >= 100)"),
@@ -169,6 +204,13 @@ ORACLES = {
     "dedupe_records": sql("SELECT provenance, count(*) FILTER (k = 1) AS n_kept, count(*) FILTER (k > 1) AS n_dropped FROM (SELECT provenance, row_number() OVER (PARTITION BY paper, material, act, sub, km_mm ORDER BY rec_id) AS k FROM ent) GROUP BY 1"),
     "paper_stats": sql("SELECT provenance, count(DISTINCT paper) AS n_papers, count(*) AS n_records, count(*) FILTER (km_mm IS NOT NULL OR vmax_um_s IS NOT NULL) AS n_kinetic FROM ent GROUP BY 1"),
     "integrated_layer": sql("SELECT rec_id, provenance, paper, mat, CASE WHEN provenance = 'db:a' THEN 'peroxidase' ELSE act END AS act, km_mm, v AS vmax_um_s FROM (SELECT *, CASE provenance WHEN 'db:b' THEN vmax_um_s * 1000.0 WHEN 'db:c' THEN NULL ELSE vmax_um_s END AS v FROM ent) WHERE km_mm IS NOT NULL OR v IS NOT NULL OR (provenance = 'db:k' AND kcat_s IS NOT NULL)"),
+    "mapped_layer": sql("""SELECT rec_id, provenance, mat, act, doi, ph, t, km_mm, vmax_um_s, kcat_s, substrate1, substrate2, metal_type, km_uncertain, 0 AS n_warnings FROM (
+      SELECT r.rec_id, CASE r.provenance WHEN 'db:a' THEN 'db:ai-zymes' WHEN 'db:b' THEN 'db:dizyme' WHEN 'db:c' THEN 'db:nanozymedb' WHEN 'db:k' THEN 'db:nanozymenet-k' ELSE 'human' END AS provenance, e.mat,
+        CASE WHEN r.provenance = 'human' AND d % 4 = 0 THEN 'peroxidase' ELSE e.act END AS act, CASE WHEN r.provenance = 'db:k' THEN '' ELSE e.doi END AS doi, e.ph, e.t, r.km_mm * CASE WHEN r.provenance = 'db:k' THEN p ELSE 1.0 END AS km_mm,
+        CASE r.provenance WHEN 'db:b' THEN r.vmax_um_s * 1000.0 WHEN 'db:c' THEN NULL WHEN 'db:k' THEN r.vmax_um_s * p ELSE r.vmax_um_s END AS vmax_um_s, CASE r.provenance WHEN 'db:b' THEN NULL WHEN 'db:k' THEN r.kcat_s * p ELSE r.kcat_s END AS kcat_s,
+        r.substrate AS substrate1, CASE WHEN r.provenance = 'db:b' AND d % 2 = 0 THEN 'OPD' END AS substrate2, CASE WHEN r.provenance = 'human' THEN metal_no END AS metal_type, r.provenance = 'db:k' AND d % 7 = 0 AS km_uncertain
+      FROM (SELECT *, CASE WHEN d % 7 = 0 THEN 1.0 ELSE pow(10.0, d % 3 - 1) END AS p FROM (SELECT *, CAST('0x' || substr(rec_id, 1, 1) AS INTEGER) AS d FROM rec)) AS r JOIN ent AS e ON r.rec_id = e.rec_id)
+      WHERE km_mm IS NOT NULL OR vmax_um_s IS NOT NULL OR (provenance <> 'human' AND kcat_s IS NOT NULL)"""),
     "unit_rescale": sql("SELECT rec_id, size_nm * CASE WHEN d % 7 = 0 THEN 1.0 ELSE pow(10.0, d % 3 - 1) END AS value, CASE d % 3 WHEN 0 THEN vmax_um_s * 1000.0 WHEN 1 THEN NULL ELSE vmax_um_s END AS vmax, d % 7 = 0 AS uncertain FROM (SELECT *, CAST('0x' || substr(rec_id, 1, 1) AS INTEGER) AS d FROM rec)"),
     "review_sample": sql("SELECT doi, rec_id, material, act, sub FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY md5('7' || rec_id)) AS k FROM ent WHERE doi <> '' AND km_mm IS NOT NULL) WHERE k = 1 ORDER BY md5('7' || doi) LIMIT 25"),
     "holdout_split": _with(", p AS (SELECT *, split_part(provenance, ':', 1) AS origin, doi <> '' AND substr(md5(doi), 1, 2) IN ('00', '01', '02', '03') AS picked FROM ent)", "SELECT provenance, CASE WHEN picked THEN 'test' WHEN (material, origin) IN (SELECT (material, origin) FROM p WHERE picked) THEN 'family' ELSE 'train' END AS side, count(*) AS n FROM p GROUP BY 1, 2"),

@@ -69,12 +69,15 @@ def read_gold(df: DataFrame, explicit: dict[str, str], wanted: list[str]) -> Dat
 def coerce(raw: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Records of text cells as the typed fields, with warnings (the optional cells that can't be read, and a missing name) and
     whether the record is rejected. Blank cells are null without a warning."""
-    cell = {k: N.blank_to_null(k) for k in FIELDS}
     by_name = {"metal_type": N.atomic_number, "metal_ratio": N.ratio, "metal_valence": N.valence, "size_nm": N.size, "buffer_ph_value": N.condition, "temperature_c": N.condition}
-    read = {k: cell[k] if t == _S else (by_name.get(k) or (N.flag if k.startswith("doped_") else N.quantity))(cell[k]).cast(t) for k, t in FIELDS.items()}
-    bad = [F.when(cell[k].isNotNull() & read[k].isNull(), F.lit(k)) for k in FIELDS]
-    lost = F.when(cell["nanozyme"].isNull(), F.lit("nanozyme"))
-    return raw.select(*[read[k].alias(k) for k in FIELDS], *(carry or []), F.array_compact(F.array(lost, *bad)).alias("warnings"), lost.isNotNull().alias("rejected"))
+    own = {k: f"_cell_{k}" for k in FIELDS}
+    read = {k: F.col(c) if FIELDS[k] == _S else (by_name.get(k) or (N.flag if k.startswith("doped_") else N.quantity))(F.col(c)).cast(FIELDS[k]) for k, c in own.items()}
+    # One step after the other, so that each cell is cleaned once and read once; Spark keeps steps apart whose results are used more than once.
+    cleaned = raw.select(*[N.blank_to_null(k).alias(c) for k, c in own.items()], *(carry or []))
+    typed = cleaned.select(*own.values(), *[x.alias(k) for k, x in read.items()], *(carry or []))
+    lost = F.when(F.col("nanozyme").isNull(), F.lit("nanozyme"))
+    bad = [F.when(F.col(c).isNotNull() & F.col(k).isNull(), F.lit(k)) for k, c in own.items() if FIELDS[k] != _S]
+    return typed.select(*FIELDS, *(carry or []), F.array_compact(F.array(lost, *bad)).alias("warnings"), F.col("nanozyme").isNull().alias("rejected"))
 
 
 @dataclass(frozen=True)
@@ -90,8 +93,9 @@ class Source:
     paired: bool = False
 
 
-def map_source(df: DataFrame, source: Source) -> DataFrame:
-    """A source's rows as typed fields with provenance, warnings and rejected; the first non-blank of a field's columns counts."""
+def map_source(df: DataFrame, source: Source, carry: list[str] | None = None) -> DataFrame:
+    """A source's rows as typed fields with provenance, warnings and rejected; the first non-blank of a field's columns counts. Columns of
+    carry stay as they are. Km is uncertain where the source writes its exponent apart and a row has none."""
     own = {c.strip().lower(): c for c in df.columns}
     named = lambda names: [F.col(f"`{own[n.strip().lower()]}`").cast("string") for n in names if n.strip().lower() in own]
     found = {k: F.coalesce(*map(N.blank_to_null, cs)) if (cs := named(source.columns.get(k, ()))) else F.lit(None).cast("string") for k in FIELDS}
@@ -101,13 +105,10 @@ def map_source(df: DataFrame, source: Source) -> DataFrame:
         df, (found["substrate1"], found["substrate2"]) = wide, pair_substrates("_pair")
     if source.activity:
         found["mimic_enzyme_activity"] = F.coalesce(found["mimic_enzyme_activity"], F.lit(source.activity))
-    made = coerce(df.select(*[c.alias(k) for k, c in found.items()], *[c.alias(f"_power_{k}") for k, c in powers.items()]), [f"_power_{k}" for k in powers])
+    made = coerce(df.select(*[c.alias(k) for k, c in found.items()], *[c.alias(f"_power_{k}") for k, c in powers.items()], *(carry or [])), [*(f"_power_{k}" for k in powers), *(carry or [])])
     for k in powers:
         made = made.withColumn(k, N.rescale(k, f"_power_{k}"))
-    uncertain = F.lit(False)
-    for k in powers:
-        uncertain = uncertain | (F.col(k).isNotNull() & F.col(f"_power_{k}").isNull())
-    made = made.withColumn("km_uncertain", uncertain)
+    made = made.withColumn("km_uncertain", F.col("_power_Km_mM").isNull() if "Km_mM" in powers else F.lit(False))
     if source.vmax_unit:
         made = made.withColumn("Vmax_uM_s_minus1", N.rescale("Vmax_uM_s_minus1", unit=F.lit(source.vmax_unit)))
     return made.drop(*[f"_power_{k}" for k in powers]).withColumn("provenance", F.lit(source.provenance))
