@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import fresh_path, in_arrow, pieces, shipped, table
 from .bitpack import vocabulary_file
-from .lexicon import _PIECES, _SEPARATORS, chunks, normal, word_bpe
+from .lexicon import _PIECES, chunks, normal, word_bpe
 
 SIZE, END_ID = 4096, 1
 #: Cached chunks and words of a worker, in each of two generations: so many, and of so many characters and bytes of ids.
@@ -231,6 +231,19 @@ def slots(plan: list[Batch]) -> np.ndarray:
 # The pieces -------------------------------------------------------------------------------------------------------------
 
 
+#: Marks that often follow a word.
+_AFTER = frozenset(".,;:!?")
+#: White space to Python, but not to the tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _words(chunk: str) -> list[str]:
+    """The words of a chunk by the tokenizer's pattern; letters with one mark behind are told without it."""
+    if chunk[-1] in _AFTER and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return _PIECES.findall(chunk)
+
+
 class Recent:
     """A map from text to ids that forgets what hasn't been asked for long: when it is full, the entries become the old ones, from which
     those still in use are taken back, and the old ones before them go."""
@@ -248,6 +261,8 @@ class Recent:
 
     def back(self, keys: list[str]) -> dict[str, bytes]:
         """The old entries among keys that are not in `now`; they are new again."""
+        if not self.old:
+            return {}
         found = {k: x for k in keys if (x := self.old.get(k)) is not None}
         self.add(found)
         return found
@@ -274,7 +289,8 @@ class PieceEncoder:
         out = self.chunks.back(new)
         if len(out) < len(new):
             new = [c for c in new if c not in out]
-            cut = [_PIECES.findall(normal(c)) for c in new]
+            # Chunks hold no white space, so that all of them are normalised as one text.
+            cut = [[c] if c.isalpha() else _words(c) for c in normal("\n".join(new)).split("\n")]
             known = self._of_words(list(set().union(*cut)))
             made = {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(new, cut, strict=True)}
             self.chunks.add(made)
@@ -296,7 +312,7 @@ class PieceEncoder:
             if "<|" in t and self.bpe.cut.search(t):
                 out.append(self._whole(t))
                 continue
-            own = chunks(t) if _SEPARATORS.search(t) else t.split()
+            own = chunks(t) if any(c in t for c in _SEPARATORS) else t.split()
             found = [*map(self.chunks.now.get, own)]
             out.append((own, found) if None in found else b"".join(found))
         late = [k for k, x in enumerate(out) if type(x) is tuple]
