@@ -9,7 +9,9 @@ from .compare import spark_rows, sql_rows
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_agrees_with_sql(spark, sf_dir, name):
-    assert spark_rows(catalog.QUERIES[name](spark, sf_dir)) == sql_rows(catalog.ORACLES[name], sf_dir)
+    got = spark_rows(catalog.QUERIES[name](spark, sf_dir))
+    assert got == sql_rows(catalog.ORACLES[name], sf_dir)
+    assert got[1], "a query that finds nothing shows nothing"
 
 
 def test_entry_and_names(spark):
