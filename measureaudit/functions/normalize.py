@@ -23,8 +23,8 @@ ELEMENTS = (
 ).split()
 # Suffixes of material names, in order.
 SUFFIXES = ("nps", "ncs", "nanoparticles", "nanozyme", "cds", "nanosheets", "nanorods", "nanotubes", "nanoflowers", "particles", "dots")
-# Unit texts that may follow a quantity.
-UNITS = ("mM", "uM", "µM", "μM", "nM", "M", "nm", "um", "µm", "°C", "℃", "s-1", "s−1", "/s", "K", "%")
+# Unit texts that a quantity may hold, in the order in which they are tried.
+UNITS = ("mM", "nM", "μM", "uM", "μm", "µm", "Å", "pm", "umol/L", "mmol/L", "nm", "nmol/L", "℃", "°C", "s⁻¹", "min⁻¹", "M⁻¹", "L/mol", "mol/L")
 # Short forms of activities, and names of media and shapes, that mean the same when two records are compared.
 COMPARED_ACTIVITIES = {"sod": "superoxide dismutase", "pod": "peroxidase", "cat": "catalase", "gox": "glucose oxidase", "lope": "laccase-like", "oxd": "oxidase"}
 MEDIA = {
@@ -128,11 +128,10 @@ def scientific(c: Column | str) -> Column:
 
 
 def quantity(c: Column | str) -> Column:
-    """The value of "value unit" or "value ± error": parsed, else parsed without unit, else the first number in it."""
+    """The value of "value unit" or "value ± error": parsed, else parsed without units, wherever they stand, else the first number that is then left."""
     s = F.trim(F.split(scientific(c), "±")[0])
-    units = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
-    bare = F.trim(F.regexp_replace(s, f"(?i)\\s*({units})\\s*$", ""))
-    first = F.regexp_extract(s, "[-+]?[0-9]*\\.?[0-9]+([eE][-+]?[0-9]+)?", 0)
+    bare = F.regexp_replace(s, "(?iu)\\s*(" + "|".join(UNITS) + ")\\s*", "")
+    first = F.regexp_extract(bare, "[-+]?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?", 0)
     return F.coalesce(finite(s.try_cast("double")), finite(bare.try_cast("double")), finite(first.try_cast("double")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import REC, rec
 from ..functions import normalize as N
 from ..operators import evaluate as E
+from ..store import kept
 
 
 def _by(place: int, *values: str) -> str:
@@ -42,18 +45,18 @@ _SYSTEM = {
 _RENAMED = "CASE WHEN substr(rec_id, 3, 1) IN ('0', '1', '2') THEN upper(nanozyme) || ' NPs' ELSE nanozyme END"
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = rec(spark, sf_dir).where("provenance = 'human'")
+def _rows(spark: SparkSession, sf_dir: str, source: str = "human") -> DataFrame:
+    own = rec(spark, sf_dir).where(F.col("provenance") == source)
     return own.select("rec_id", "nanozyme", N.doi("doi_raw").alias("doi"), "activity_raw", *[F.expr(x).alias(f) for f, x in _GOLD.items() if f != "act"], F.col("activity_raw").alias("act"))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).select("rec_id", "doi", F.col("nanozyme").alias("material"), *_GOLD)
+def gold(spark: SparkSession, sf_dir: str, source: str = "human") -> DataFrame:
+    return _rows(spark, sf_dir, source).select("rec_id", "doi", F.col("nanozyme").alias("material"), *_GOLD)
 
 
-def system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture's second side: most curated rows, some renamed, some values missing or changed."""
-    kept = _rows(spark, sf_dir).where("substr(rec_id, 1, 1) not in ('0', '1')")
+def system(spark: SparkSession, sf_dir: str, source: str = "human") -> DataFrame:
+    """What the fixture's system extracts from the papers of a source: most rows, some renamed, some values missing or changed."""
+    kept = _rows(spark, sf_dir, source).where("substr(rec_id, 1, 1) not in ('0', '1')")
     return kept.select("rec_id", "doi", F.expr(_RENAMED).alias("material"), *[F.expr(x).alias(f) for f, x in _SYSTEM.items()])
 
 
@@ -135,6 +138,24 @@ def agreement_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.counts(_cells(spark, sf_dir).where("s_id is not null"), ["field"], "agreed")
 
 
+#: The sides that a system is held against, and whose rows they are.
+SIDES = {"curated": "human", "database": "db:a"}
+
+
+def agreement(source: DataFrame, found: DataFrame) -> DataFrame:
+    """(field, ..., n_groups, n_matched): scores of each field under the agreement rule against one source's records, by groups of a paper's records of one
+    name; groups without a system record count among n_groups alone. A source without a match has no rows."""
+    cells = kept(E.outcomes(source, found).select("doi", "key", "field", "agreed", "s_id"), "agreement")
+    both = cells.select("doi", "key", F.col("s_id").isNotNull().alias("met")).distinct().agg(F.struct(F.count("*").alias("n_groups"), F.count_if("met").alias("n_matched"))).scalar()
+    return E.counts(cells.where("s_id is not null"), ["field"], "agreed").select("*", both.getField("n_groups").alias("n_groups"), both.getField("n_matched").alias("n_matched"))
+
+
+def agreement_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The system against the curated records and against a database's."""
+    parts = [agreement(gold(spark, sf_dir, own), system(spark, sf_dir, own)).withColumn("side", F.lit(side)) for side, own in SIDES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rule_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all fields under the agreement rule and with values compared as they stand, over the same pairs."""
     both = _cells(spark, sf_dir).where("s_id is not null").select(F.explode(F.array(F.struct(F.lit("normalised").alias("rule"), F.col("agreed").alias("outcome")), F.struct(F.lit("verbatim").alias("rule"), F.col("own").alias("outcome")))).alias("r"))
@@ -283,7 +304,7 @@ _ERRS = "CASE WHEN outcome = 'fn' THEN 'missing' WHEN dev < 30 THEN 'small_error
 _PARTS = " ".join(f"WHEN '{f}' THEN '{p}'" for p, fields in E.GROUPS.items() for f in fields)
 _PLACE = "l[1 + least(n - 1, CAST(floor({} * n) AS BIGINT))]"
 
-QUERIES = {f.__name__: f for f in (eval_match, eval_fields, eval_strict, eval_groups, eval_overall, eval_errors, eval_failure_modes, eval_dver, eval_coverage, eval_diagnostics, agreement_side, rule_sensitivity, km_fold_quantiles, paper_dispersion, bundle_match)}
+QUERIES = {f.__name__: f for f in (eval_match, eval_fields, eval_strict, eval_groups, eval_overall, eval_errors, eval_failure_modes, eval_dver, eval_coverage, eval_diagnostics, agreement_side, agreement_sides, rule_sensitivity, km_fold_quantiles, paper_dispersion, bundle_match)}
 ORACLES = {
     "eval_match": _sql("SELECT * FROM best", cells=False),
     "eval_fields": _sql(_counts("field")),
@@ -299,6 +320,10 @@ ORACLES = {
     "eval_coverage": _sql("SELECT (SELECT count(DISTINCT doi) FROM g) AS gold_dois, (SELECT count(DISTINCT doi) FROM s) AS system_dois, (SELECT count(DISTINCT doi) FROM g WHERE doi NOT IN (SELECT doi FROM s)) AS zero_dois", cells=False),
     "eval_diagnostics": _sql(f"SELECT doi, count(*) AS n_system, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g WHERE g.doi = s.doi AND {_ALIKE})) AS n_unknown FROM s GROUP BY 1", cells=False),
     "agreement_side": _sql(_counts("field", outcome="agreed", where="s_id IS NOT NULL")),
+    "agreement_sides": " UNION ALL ".join(
+        "SELECT *, '" + side + "' AS side FROM (" + _sql(f", q AS ({_counts('field', outcome='agreed', where='s_id IS NOT NULL')}) SELECT q.*, (SELECT count(DISTINCT (doi, key)) FROM o) AS n_groups, (SELECT count(DISTINCT (doi, key)) FROM o WHERE s_id IS NOT NULL) AS n_matched FROM q").replace("provenance = 'human'", f"provenance = '{own}'") + ")"
+        for side, own in SIDES.items()
+    ),
     "rule_sensitivity": _sql(_counts("rule", "(SELECT 'normalised' AS rule, agreed AS v, s_id FROM o UNION ALL SELECT 'verbatim', own, s_id FROM o)", "v", "s_id IS NOT NULL")),
     "km_fold_quantiles": _sql(f""", d AS (SELECT round(abs(log10(g_km) - log10(s_km)), 6) AS d FROM g JOIN best ON g.doi = best.doi AND g.g_key = best.key JOIN s ON s.s_id = best.s_id WHERE g_km > 0 AND s_km > 0), l AS (SELECT list(d ORDER BY d) AS l, count(*) AS n FROM d)
       SELECT n, {_PLACE.format(0.5)} AS median, {_PLACE.format(0.75)} AS p75, {_PLACE.format(0.9)} AS p90, l[-1] AS max FROM l""", cells=False),

@@ -74,3 +74,11 @@ def test_curated_lists_are_arrays(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"nanozyme": "x"}))
     with pytest.raises(ValueError, match="array"):
         papers.read_curated_list(spark, str(tmp_path / "b.json"))
+
+
+def test_quantities_lose_their_units_wherever_these_stand(spark):
+    from measureaudit.functions import normalize as N
+
+    cells = {"0.1 μm": 0.1, "100 Å": 100.0, "5 µM": 5.0, "5 ΜM": 5.0, "mM 3.5": 3.5, "2 mmol/L (n=3)": 2.0, "1.5e-3 s⁻¹": 0.0015, "ca. 12 units": 12.0, "3 ± 1 mM": 3.0, "none": None, "7.25 M⁻¹ s⁻¹": 7.25, "": None}
+    df = spark.createDataFrame(list(enumerate(cells)), "k int, c string")
+    assert [r.v for r in df.select("k", N.quantity("c").alias("v")).orderBy("k").collect()] == list(cells.values())
