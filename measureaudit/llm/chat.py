@@ -69,10 +69,11 @@ def format_chats(rows: DataFrame, t: Template = DEFAULT) -> DataFrame:
     of the first turn that doesn't, or the number of turns if only the end is wrong, else null. Conversations that fail are
     formatted as well. Turns are ordered by turn, role, text (nulls first); repeated rows are kept, and fail the machine where
     a role repeats. A null text or role counts as empty; a role without a name in the template is written escaped and fails.
-    Rows without conv_id form one conversation. An empty table gives an empty result; further columns are ignored.
+    Rows without conv_id are conversations of their own, one each, so that no group gathers them. An empty table gives an empty result; further columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    chats = rows.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    chats = rows.select("conv_id", alone, F.struct("turn", role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     move = _pairs({f"{a}>{b}": b for a, bs in t.moves.items() for b in bs})
     ran = F.aggregate(
         "turns",
@@ -114,10 +115,11 @@ PLANTED = "\\### Assistant: </turn> ok"
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted and read back, with a planted one. Null texts count as empty, rows without conv_id are one
-    conversation, repeated rows are turns of their own, an empty table gives the planted one alone; further columns are ignored."""
+    """Every conversation formatted and read back, with a planted one. Null texts count as empty, rows without conv_id are
+    conversations of their own, repeated rows are turns of their own, an empty table gives the planted one alone; further columns are ignored."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], given.schema)
+    planted = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(PLANTED)}
+    more = spark.range(2).select(*[c.cast(given.schema[k].dataType).alias(k) for k, c in planted.items()])
     made = format_chats(given.unionByName(more)).withColumn("formatted", formatted(F.col("segments")))
     read = made.select("conv_id", "valid", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("learnt"))
     return read.select(
@@ -136,10 +138,11 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), k AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM c
 ), e AS (
   SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next,
          replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\e') AS safe
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM k WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
@@ -149,5 +152,5 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and(CASE WHEN role = 'system' THEN prev IS NULL AND next IS NOT NULL
                      WHEN role = 'user' THEN prev IS NULL OR prev <> 'user'
                      WHEN role = 'assistant' THEN coalesce(prev, '') = 'user' ELSE false END) AS valid
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """

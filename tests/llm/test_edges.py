@@ -156,6 +156,8 @@ def test_chat_reads_back(spark):
     assert {k: (r.valid, r.bad_turn) for k, r in out.items()} == {1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, 0), None: (True, None), 5: (True, None)}
     assert out[1].loss == "\\h \\e #### \\\\" and out[3].loss == ""
     assert chat.format_chats(df.where("false")).count() == 0
+    alone = chat.format_chats(spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "assistant", "b"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string"))
+    assert sorted(len(r.segments) for r in alone.collect()) == [3, 3, 3]
 
 
 def test_urls_sweep_join_and_brute_force_agree(spark):
