@@ -25,10 +25,11 @@ def add_batch(rows: DataFrame, number: int, store: str, buckets: int = BUCKETS)
     """Put a batch's rows (long-form values) into the store and replace the clusters of the buckets that they touch.
 
     Both writes overwrite whole partitions, (bucket, batch) of the values and bucket of the clusters, so a batch that is run again after a
-    failure leaves the same store. An empty batch changes nothing."""
+    failure leaves the same store. An empty batch changes nothing. A task writes one bucket's rows or a part of them: rebalancing cuts a
+    bucket that is large, so that no task's rows grow with the store."""
     session = rows.sparkSession
     own = with_bucket(rows, buckets).withColumn("batch", F.lit(number))
-    own.repartition("bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket", "batch").parquet(f"{store}/values")
+    own.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket", "batch").parquet(f"{store}/values")
     # As many numbers at most as there are buckets.
     touched = [r.bucket for r in session.read.parquet(f"{store}/values").where(F.col("batch") == number).select("bucket").distinct().collect()]
     if not touched:
@@ -37,7 +38,7 @@ def add_batch(rows: DataFrame, number: int, store: str, buckets: int = BUCKETS)
     # A bucket without clusters leaves a row too: it replaces what was said of it before.
     marks = session.range(1).select(F.explode(F.array(*map(F.lit, touched))).alias("bucket"))
     both = found.unionByName(marks, allowMissingColumns=True)
-    both.repartition("bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket").parquet(f"{store}/clusters")
+    both.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket").parquet(f"{store}/clusters")
 
 
 def clusters(spark: SparkSession, store: str) -> DataFrame:
