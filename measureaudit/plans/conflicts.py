@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixtures import entries, sql
@@ -36,8 +37,9 @@ def _sql(body: str, ctes: str = CLUSTERS) -> str:
 
 
 def _values(spark: SparkSession, sf_dir: str, metrics: dict[str, str] = C.METRICS) -> DataFrame:
-    """The long form, written once: clustering reads it for the points and again for the rows."""
-    return kept(C.long_form(entries(spark, sf_dir), metrics), "values")
+    """The long form of entries that are written once: clustering reads them for the points and again for the rows."""
+    own = entries(spark, sf_dir).select("rec_id", "provenance", "material", "mat", "act", "sub", "ph", "t", "doi", *metrics.values()).where(F.coalesce(*metrics.values()).isNotNull())
+    return C.long_form(kept(own, "values").withColumn("paper", F.when(F.col("doi") == "", F.concat(F.lit("na-"), "rec_id")).otherwise(F.col("doi"))), metrics)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,17 +65,14 @@ def audit_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(values: DataFrame) -> DataFrame:
-    """audit_register over long-form values. Rows are clustered once and written; a value is shown as the number it is."""
-    rows = kept(C.clustered(values).select("rec_id", "material", "doi", "paper", *C.KEYS, "ph", "t", "value", "c_ph", "c_t"), "clustered")
-    keys = [*C.KEYS, "c_ph", "c_t"]
-    found = C.conflict_clusters(values, rows).withColumn("tier", C.tier(F.col("severity")))
-    # Equal items of a paper are one; only clusters of the register gather theirs.
-    items = rows.where("value > 0").select(*keys, "paper", "value").distinct().join(found.select(*keys), keys, "left_semi")
-    texts = items.groupBy(*keys).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("paper", "value"))).alias("items"))
+    """audit_register over long-form values, in the one pass that finds the clusters; a value is shown as the number it is."""
+    # Equal items of a paper are one.
+    items = F.sort_array(F.collect_set(F.when(F.col("value") > 0, F.struct("paper", "value")))).alias("items")
+    found = C.conflict_clusters(values, items).withColumn("tier", C.tier(F.col("severity")))
     shown = lambda x: F.concat(x["paper"], F.lit("="), x["value"].cast("string"))
     tags = F.array_compact(F.array(F.when(N.magnitude_hint(F.col("fold")).isNotNull(), F.lit("magnitude")), F.when(F.col("n_papers") >= 2, F.lit("cross-paper")).otherwise(F.lit("same-paper"))))
-    return found.join(texts, keys).select(
-        *C.KEYS, "ph", "t", "severity", "tier", (F.col("tier") >= 2).alias("review"), "n_papers", "fold", F.coalesce(N.magnitude_hint(F.col("fold")), F.lit("")).alias("hint"), F.array_join(F.array_sort(tags), "/").alias("tags"), "n_items",
+    return found.select(
+        *C.KEYS, "ph", "t", "severity", "tier", (F.col("tier") >= 2).alias("review"), "n_papers", "fold", F.coalesce(N.magnitude_hint(F.col("fold")), F.lit("")).alias("hint"), F.array_join(F.array_sort(tags), "/").alias("tags"), F.size("items").cast("long").alias("n_items"),
         F.array_join(F.transform("items", shown), " | ").alias("items"),
     )
 
@@ -115,10 +114,8 @@ def _atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def atlas_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of the atlas, in long form: a cluster of any size is rows, not one array."""
     values = _values(spark, sf_dir).where("value > 0 and ph is not null").withColumn("t", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(25.0)))
-    rows = C.clustered(values)
-    keys = [*C.KEYS, "c_ph", "c_t"]
-    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys)
-    return rows.join(several, keys, "left_semi").select(*C.KEYS, F.col("c_ph").alias("cluster_ph"), F.col("c_t").alias("cluster_t"), "ph", "t", "doi", "value", "rec_id")
+    rows = C.dealt(C.clustered(values)).withColumn("n", F.count("*").over(W.partitionBy(*C.PLACE))).where("n >= 2")
+    return rows.select(*C.KEYS, F.col("c_ph").alias("cluster_ph"), F.col("c_t").alias("cluster_t"), "ph", "t", "doi", "value", "rec_id")
 
 
 def atlas_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
