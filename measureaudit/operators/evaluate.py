@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..store import kept
 
 # The fields that are compared, and their groups in reports.
 GROUPS = {
@@ -93,6 +94,24 @@ def alike() -> Column:
     return F.coalesce(((k != "") & (s != "") & _either_inside(k, s)) | ((F.size("g_elements") >= 2) & (F.col("g_elements") == F.col("s_elements"))), F.lit(False))
 
 
+def pairs(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """normalised() reference rows, each with the records of its DOI that bear on its group (nulls where there are none); first marks a group's first
+    row, beside which stand the values given by the group."""
+    g, s = normalised(gold, "g").where("doi <> ''").repartition("doi"), kept(normalised(system, "s").where("doi <> ''"), "system")
+    group = W.partitionBy("doi", "g_key").orderBy("g_id")
+    # The first value that a group gives of each field stands beside its first row; a group is one paper's rows of a material.
+    rows = F.collect_list("g_values").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    place = lambda i: lambda v: F.get(v, i)
+    given = F.array(*[F.get(F.filter(F.transform("rows", place(i)), lambda x: x.isNotNull()), 0) for i in range(len(GIVEN))])
+    own = g.withColumn("first", F.row_number().over(group) == 1).withColumn("rows", rows).withColumn("given", F.when(F.col("first"), given)).drop("rows")
+    # A group's first row says which names are alike. Where a record has the group's very name, records of other names can be neither its best nor
+    # of its material: such pairs are not made.
+    names = s.groupBy("doi").agg(F.collect_set("s_key").alias("names")).withColumnRenamed("doi", "n_doi")
+    own = own.withColumn("g_elements", F.first("g_elements").over(group)).join(names, F.col("doi") == F.col("n_doi"), "left")
+    own = own.withColumn("named", F.coalesce((F.col("g_key") != "") & F.array_contains("names", F.col("g_key")), F.lit(False))).drop("names", "n_doi")
+    return own.join(s.withColumnRenamed("doi", "s_doi"), (F.col("doi") == F.col("s_doi")) & (~F.col("named") | alike()), "left").drop("s_doi")
+
+
 def groups(gold: DataFrame, system: DataFrame) -> DataFrame:
     """One row per reference group, by DOI and name key, with its best system record and field bits.
 
@@ -102,14 +121,7 @@ def groups(gold: DataFrame, system: DataFrame) -> DataFrame:
     agreed those in which any row agrees with it under the agreement rule, own under the standard one; has the values that the
     best record gives; present those that the group gives. Rows without DOI are left out; groups of a DOI without system
     records have a null s_id."""
-    g = normalised(gold, "g").where("doi <> ''").repartition("doi")
-    group = W.partitionBy("doi", "g_key").orderBy("g_id")
-    # The first value that a group gives of each field stands beside its first row; a group is one paper's rows of a material.
-    rows = F.collect_list("g_values").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    place = lambda i: lambda v: F.get(v, i)
-    given = F.array(*[F.get(F.filter(F.transform("rows", place(i)), lambda x: x.isNotNull()), 0) for i in range(len(GIVEN))])
-    own = g.withColumn("first", F.row_number().over(group) == 1).withColumn("rows", rows).withColumn("given", F.when(F.col("first"), given)).drop("rows")
-    both = own.join(normalised(system, "s"), "doi", "left")
+    both = pairs(gold, system)
     bits = both.select(
         "doi", F.col("g_key").alias("key"), "g_id", "s_id", "first", "given", alike().alias("alike"), _bits({f: standard(f) for f in FIELDS}).alias("bits"), _bits(_agreement()).alias("apart"), F.coalesce("s_has", F.lit(0).cast("long")).alias("has"),
         F.col("g_has").alias("present"), "g_zero", F.col("s_values").alias("said"),
