@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import kept
+
 GRAM = 3
 #: Files of one paper, and the shortest last piece of a DOI that is looked for by itself.
 MOST_FILES, LEAST_PIECE = 3, 5
@@ -38,14 +40,15 @@ def paper_files(dois: DataFrame, files: DataFrame, most: int = MOST_FILES) -> Da
     First by the DOI's tail without dots, held by the name without dots, lines, dashes and spaces; a DOI without such a file by the last piece of its
     tail, of LEAST_PIECE characters or more, in the name as it is, whatever the case. A DOI without a file has no row."""
     tail = F.substring_index("doi", "/", -1)
-    own = dois.select("doi").distinct().select("doi", F.translate(tail, ".", "").alias("key"), F.lower(F.element_at(F.split(tail, "[.-]"), -1)).alias("piece"))
-    named = files.select("path", F.translate("name", "._- ", "").alias("bare"), F.lower("name").alias("low"))
+    # Both sides are asked several times: they are written once.
+    own = kept(dois.select("doi").distinct().select("doi", F.translate(tail, ".", "").alias("key"), F.lower(F.element_at(F.split(tail, "[.-]"), -1)).alias("piece")), "dois")
+    named = kept(files.select("path", F.translate("name", "._- ", "").alias("bare"), F.lower("name").alias("low")), "files")
 
     def found(keys: DataFrame, key: str, name: str, tier: int) -> DataFrame:
         pairs = containing(keys.select(F.col(key).alias("asked")), named.select(F.col(name).alias("name")))
         met = keys.select("doi", F.col(key).alias("asked")).join(pairs, "asked").join(named.select("path", F.col(name).alias("name")), "name")
         return met.select("doi", "path", F.lit(tier).alias("tier")).distinct()
 
-    first = found(own, "key", "bare", 1)
+    first = kept(found(own, "key", "bare", 1), "first")
     second = found(own.where(F.length("piece") >= LEAST_PIECE).join(first.select("doi").distinct(), "doi", "left_anti"), "piece", "low", 2)
     return first.unionByName(second).withColumn("r", F.row_number().over(W.partitionBy("doi").orderBy("path"))).where(F.col("r") <= most).drop("r")

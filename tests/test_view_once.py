@@ -6,7 +6,7 @@ from measureaudit import catalog
 from measureaudit.plans import network
 
 
-@pytest.mark.parametrize("name", ["retrieval_coverage", "retrieval_answers", "oof_encoding"])
+@pytest.mark.parametrize("name", ["retrieval_coverage", "retrieval_answers", "oof_encoding", "suffix_match"])
 def test_the_answer_is_made_from_written_rows(spark, sf_dir, name):
     assert not [f for f in catalog.QUERIES[name](spark, sf_dir).inputFiles() if "lineitem" in f]
 
