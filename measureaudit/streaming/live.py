@@ -9,6 +9,8 @@ from ..operators import conflicts as C
 
 #: A store deals its systems to so many buckets, by a hash; a store keeps the number that it was made with.
 BUCKETS = 64
+#: Ids are hexadecimal: half their bytes say nothing, and only a codec that counts bytes notices.
+CODEC = "zstd"
 _DYNAMIC = {"partitionOverwriteMode": "dynamic"}
 
 
@@ -29,7 +31,7 @@ def add_batch(rows: DataFrame, number: int, store: str, buckets: int = BUCKETS)
     bucket that is large, so that no task's rows grow with the store."""
     session = rows.sparkSession
     own = with_bucket(rows, buckets).withColumn("batch", F.lit(number))
-    own.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket", "batch").parquet(f"{store}/values")
+    own.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC, compression=CODEC).partitionBy("bucket", "batch").parquet(f"{store}/values")
     # As many numbers at most as there are buckets.
     touched = [r.bucket for r in session.read.parquet(f"{store}/values").where(F.col("batch") == number).select("bucket").distinct().collect()]
     if not touched:
@@ -38,7 +40,7 @@ def add_batch(rows: DataFrame, number: int, store: str, buckets: int = BUCKETS)
     # A bucket without clusters leaves a row too: it replaces what was said of it before.
     marks = session.range(1).select(F.explode(F.array(*map(F.lit, touched))).alias("bucket"))
     both = found.unionByName(marks, allowMissingColumns=True)
-    both.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC).partitionBy("bucket").parquet(f"{store}/clusters")
+    both.hint("rebalance", "bucket").write.mode("overwrite").options(**_DYNAMIC, compression=CODEC).partitionBy("bucket").parquet(f"{store}/clusters")
 
 
 def clusters(spark: SparkSession, store: str) -> DataFrame:
